@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmesh.functions.binding import bind, bind_all
+
 # Token pattern, reserved ids, separators.
 WORD_PATTERN = r"[\p{L}\p{N}]+"
 TAG_PATTERN = r"<[^>]+>"
@@ -53,6 +55,10 @@ def _ids(*values: int) -> Column:
 
 
 def _attended(input_ids: Column, pad_to: int | None) -> Column:
+    return bind(input_ids, lambda ids: _padded(ids, pad_to))
+
+
+def _padded(input_ids: Column, pad_to: int | None) -> Column:
     n = F.size(input_ids)
     ones = F.array_repeat(F.lit(1), n)
     if pad_to is None:
@@ -91,17 +97,21 @@ def pack_pair(
     Only the text is shortened. A query that leaves it no room yields NULL ids and an ``error``.
     """
     q = F.slice(query_ids, 1, query_max_length) if query_max_length else query_ids
-    d = F.slice(text_ids, 1, max_length)
+    return bind_all([q, F.slice(text_ids, 1, max_length)], lambda q, d: _packed(q, d, max_length))
+
+
+def _packed(q: Column, d: Column, max_length: int) -> Column:
     room = F.lit(max_length - 4) - F.size(q)
     fits = (F.size(d) <= room) | (room >= 1)
-    joined = F.concat(
-        _ids(CLS_ID), q, _ids(EOS_ID, EOS_ID), F.slice(d, F.lit(1), F.greatest(F.lit(0), room)), _ids(EOS_ID)
-    )
-    row = _attended(joined, max_length)
-    return F.struct(
-        F.when(fits, row["input_ids"]).alias("input_ids"),
-        F.when(fits, row["attention_mask"]).alias("attention_mask"),
-        F.when(~fits, F.lit("query leaves no room for the text")).alias("error"),
+    kept = F.slice(d, F.lit(1), F.greatest(F.lit(0), room))
+    row = _attended(F.concat(_ids(CLS_ID), q, _ids(EOS_ID, EOS_ID), kept, _ids(EOS_ID)), max_length)
+    return bind(
+        row,
+        lambda r: F.struct(
+            F.when(fits, r["input_ids"]).alias("input_ids"),
+            F.when(fits, r["attention_mask"]).alias("attention_mask"),
+            F.when(~fits, F.lit("query leaves no room for the text")).alias("error"),
+        ),
     )
 
 

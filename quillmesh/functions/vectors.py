@@ -7,17 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmesh.functions.binding import bind, bind_all
 from quillmesh.functions.text import SPECIAL_IDS
 
 NAN = float("nan")
 INF = float("inf")
 
 
-def bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times inside ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def token_weights(ids: Column, weights: Column, special: Sequence[int] = SPECIAL_IDS) -> Column:
     """Token id -> largest positive weight; special ids dropped; empty map when nothing is left.
 
@@ -38,13 +34,33 @@ def trim_colbert(vecs: Column, mask: Column) -> Column:
     return F.slice(vecs, F.lit(1), F.greatest(attended - 1, F.lit(0)))
 
 
+def common_values(left: Column, right: Column) -> Column:
+    """``array<struct<key, l, r>>`` of the keys two maps share.
+
+    Both entry lists are sorted together, so that equal keys become neighbours: looking each key up
+    in the other map would cost the product of the sizes.
+    """
+
+    def tagged(entries: Column, side: int) -> Column:
+        return F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.lit(side).alias("side"), e["value"].alias("value")))
+
+    def neighbours(s: Column) -> Column:
+        pairs = F.transform(
+            s,
+            lambda e, i: F.when(
+                F.get(s, i + 1)["key"] == e["key"],
+                F.struct(e["key"].alias("key"), e["value"].alias("l"), F.get(s, i + 1)["value"].alias("r")),
+            ),
+        )
+        return F.filter(pairs, lambda p: p.isNotNull())
+
+    merged = F.concat(tagged(F.map_entries(left), 0), tagged(F.map_entries(right), 1))
+    return bind(F.sort_array(merged), neighbours)
+
+
 def lexical_score(left: Column, right: Column) -> Column:
     """Sum of weight products over the common tokens of two sparse maps; 0.0 when there are none."""
-    return F.aggregate(
-        F.map_entries(left),
-        F.lit(0.0),
-        lambda acc, e: acc + e["value"] * F.coalesce(right[e["key"]], F.lit(0.0)),
-    )
+    return F.aggregate(common_values(left, right), F.lit(0.0), lambda acc, e: acc + e["l"] * e["r"])
 
 
 def sigmoid(score: Column) -> Column:
@@ -97,6 +113,10 @@ def dense_metrics(a: Column, b: Column) -> Column:
 
     One pass over the zipped vectors. A zero norm gives NaN for the cosine.
     """
+    return bind_all([a, b], _dense_metrics)
+
+
+def _dense_metrics(a: Column, b: Column) -> Column:
     zero = F.struct(*[F.lit(0.0).alias(n) for n in ("ab", "aa", "bb", "sq", "ad")])
 
     def step(acc: Column, p: Column) -> Column:
@@ -124,27 +144,25 @@ def dense_metrics(a: Column, b: Column) -> Column:
 
 def sparse_metrics(a: Column, b: Column) -> Column:
     """Key Jaccard, key counts, and value MSE / MAE over the common keys of two sparse maps."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("sq"), F.lit(0.0).alias("ad"))
+    return bind_all([a, b], _sparse_metrics)
 
-    def step(acc: Column, e: Column) -> Column:
-        other = b[e["key"]]
-        hit = other.isNotNull()
-        diff = F.coalesce(e["value"] - other, F.lit(0.0))
-        return F.struct(
-            (acc["n"] + hit.cast("bigint")).alias("n"),
-            (acc["sq"] + diff * diff).alias("sq"),
-            (acc["ad"] + F.abs(diff)).alias("ad"),
-        )
 
-    def finish(acc: Column) -> Column:
-        na, nb = F.size(a).cast("bigint"), F.size(b).cast("bigint")
-        return F.struct(
-            F.coalesce(F.try_divide(acc["n"], na + nb - acc["n"]), F.lit(0.0)).alias("jaccard_similarity"),
-            acc["n"].alias("common_keys_count"),
-            na.alias("generated_keys_count"),
-            nb.alias("reference_keys_count"),
-            F.coalesce(F.try_divide(acc["sq"], acc["n"]), F.lit(INF)).alias("value_mse"),
-            F.coalesce(F.try_divide(acc["ad"], acc["n"]), F.lit(INF)).alias("value_mae"),
-        )
+def _sparse_metrics(a: Column, b: Column) -> Column:
+    return bind(common_values(a, b), lambda common: _value_metrics(a, b, common))
+
+
+def _value_metrics(a: Column, b: Column, common: Column) -> Column:
+    n, na, nb = (F.size(x).cast("bigint") for x in (common, a, b))
 
-    return F.aggregate(F.map_entries(a), zero, step, finish)
+    def mean(term) -> Column:
+        total = F.aggregate(common, F.lit(0.0), lambda acc, e: acc + term(e["l"] - e["r"]))
+        return F.coalesce(F.try_divide(total, n), F.lit(INF))
+
+    return F.struct(
+        F.coalesce(F.try_divide(n, na + nb - n), F.lit(0.0)).alias("jaccard_similarity"),
+        n.alias("common_keys_count"),
+        na.alias("generated_keys_count"),
+        nb.alias("reference_keys_count"),
+        mean(lambda d: d * d).alias("value_mse"),
+        mean(F.abs).alias("value_mae"),
+    )

@@ -210,7 +210,7 @@ def embed(
     sparse = F.lit(None)
     if want_sparse:
         ids, weights = F.col("_ids"), F.col("_weights")
-        sparse = F.zip_with(ids, weights, token_weights) if nested else token_weights(ids, weights)
+        sparse = F.zip_with(ids, weights, lambda i, w: token_weights(i, w)) if nested else token_weights(ids, weights)
         sparse = F.when(weights.isNotNull(), sparse)
     kinds = ("array<array<float>>", "array<map<bigint,double>>") if nested else ("array<float>", "map<bigint,double>")
     return done.withColumns({"dense_embed": dense.cast(kinds[0]), "sparse_embed": sparse.cast(kinds[1])}).drop(

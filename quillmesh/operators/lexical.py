@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.functions.binding import bind
 from quillmesh.functions.text import SPECIAL_IDS, token_id, tokens
-from quillmesh.functions.vectors import bind, lexical_score
+from quillmesh.functions.vectors import lexical_score
 from quillmesh.operators.skew import spread_join, spread_lookup
 
 # Fixed value: how fast an occurrence loses weight with its position.

@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.functions.binding import bind, bind_all
 from quillmesh.functions.text import EOS_ID, CLS_ID, PAD_ID, UNK_ID, join_history, tokens
 from quillmesh.functions.vectors import score_head
 
@@ -167,32 +168,35 @@ class HeadRerankRunner:
         self.batch_size = batch_size
         self.normalize = normalize
 
-    def with_features(self, df: DataFrame, query: str, text: str) -> DataFrame:
-        q, d, common = F.col("_q"), F.col("_d"), F.col("_common")
+    @staticmethod
+    def features(query: Column, text: Column) -> Column:
+        def of_tokens(q: Column, d: Column) -> Column:
+            return bind(F.array_intersect(q, d), lambda common: of_overlap(q, d, common))
 
         def weight(items: Column, token: Column) -> Column:
             return F.lit(1.0) / (F.lit(1.0) + (F.array_position(items, token) - 1) / F.lit(512.0))
 
-        overlap = F.aggregate(common, F.lit(0.0), lambda acc, t: acc + weight(q, t) * weight(d, t))
-        n_common = F.size(common)
-        n_q, n_d = F.size(F.array_distinct(q)), F.size(F.array_distinct(d))
-        longest = F.greatest(F.size(q), F.size(d))
-        features = F.array(
-            F.coalesce(F.try_divide(overlap, n_q), F.lit(0.0)),
-            F.coalesce(F.try_divide(n_common, n_q + n_d - n_common), F.lit(0.0)),
-            F.coalesce(F.try_divide(n_common, n_q), F.lit(0.0)),
-            F.coalesce(F.try_divide(F.least(F.size(q), F.size(d)), longest), F.lit(0.0)),
-        )
-        return (
-            df.withColumns({"_q": tokens(F.col(query)), "_d": tokens(F.col(text))})
-            .withColumn("_common", F.array_intersect("_q", "_d"))
-            .withColumn("_features", features)
-            .drop("_q", "_d", "_common")
-        )
+        def ratio(a: Column, b: Column) -> Column:
+            return F.coalesce(F.try_divide(a, b), F.lit(0.0))
+
+        def of_overlap(q: Column, d: Column, common: Column) -> Column:
+            overlap = F.aggregate(common, F.lit(0.0), lambda acc, t: acc + weight(q, t) * weight(d, t))
+            n_q, n_d, n_common = F.size(F.array_distinct(q)), F.size(F.array_distinct(d)), F.size(common)
+            return F.array(
+                ratio(overlap, n_q),
+                ratio(n_common, n_q + n_d - n_common),
+                ratio(n_common, n_q),
+                ratio(F.least(F.size(q), F.size(d)), F.greatest(F.size(q), F.size(d))),
+            )
+
+        return bind_all([tokens(query), tokens(text)], of_tokens)
 
     def apply(self, df: DataFrame, query: str, text: str, out: str) -> DataFrame:
-        logit = score_head(F.col("_features"), HEAD_W, HEAD_B, HEAD_W_OUT, HEAD_B_OUT)
-        return self.with_features(df, query, text).withColumn(out, logit).drop("_features")
+        logit = bind(
+            self.features(F.col(query), F.col(text)),
+            lambda f: score_head(f, HEAD_W, HEAD_B, HEAD_W_OUT, HEAD_B_OUT),
+        )
+        return df.withColumn(out, logit)
 
 
 class ContextRewriteRunner:
@@ -209,22 +213,17 @@ class ContextRewriteRunner:
         self.batch_size = batch_size
 
     def apply(self, df: DataFrame, turns: str, out: str) -> DataFrame:
-        said = F.split(F.col("_dialogue"), r"\[SEP\]")
-        last = tokens(F.element_at(said, -1))
-        # -1 means "all but the last turn", also for a one-turn dialogue.
-        before = F.slice(said, F.lit(1), F.size(said) - 1)
-        earlier = F.array_distinct(F.flatten(F.transform(before, tokens)))
-        words = F.filter(
-            F.array_except(earlier, F.col("_last")), lambda w: F.char_length(w) >= self.MIN_WORD
-        )
-        return (
-            df.withColumn("_dialogue", join_history(F.col(turns)))
-            .withColumn("_last", last)
-            .withColumn(
-                out, F.array_join(F.slice(F.concat(F.col("_last"), words), 1, self.MAX_TOKENS), " ")
-            )
-            .drop("_dialogue", "_last")
-        )
+        def of_turns(said: Column) -> Column:
+            before = F.slice(said, F.lit(1), F.size(said) - 1)
+            return bind_all([tokens(F.element_at(said, -1)), F.transform(before, tokens)], of_tokens)
+
+        def of_tokens(last: Column, before: Column) -> Column:
+            long_words = F.filter(F.flatten(before), lambda w: F.char_length(w) >= self.MIN_WORD)
+            words = F.concat(last, F.array_except(long_words, last))
+            return F.array_join(F.slice(words, 1, self.MAX_TOKENS), " ")
+
+        dialogue = join_history(F.col(turns))
+        return df.withColumn(out, bind(F.split(dialogue, r"\[SEP\]"), of_turns))
 
 
 RUNNERS: dict[str, dict[str, Any]] = {
