@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.functions.binding import bind
 from quillmesh.functions.vectors import INF, NAN, dense_metrics, sparse_metrics
 
 # Metric names and quality gates.
@@ -50,22 +51,29 @@ def compare_dense(df: DataFrame, generated: str, reference: str, strict: bool =
     """
     a = F.col(generated).cast("array<double>")
     b = F.col(reference).cast("array<double>")
-    both = df.where(F.col(generated).isNotNull() & F.col(reference).isNotNull())
     mismatch = F.size(generated) != F.size(reference)
     found = F.when(~mismatch, dense_metrics(a, b))
     if strict:
         found = F.when(mismatch, F.raise_error(F.lit("vectors of different length"))).otherwise(found)
-    rows = both.withColumn("shape_mismatch", mismatch).withColumn("_m", found)
-    return rows.select("*", *[F.col(f"_m.{m}").alias(m) for m in DENSE_METRICS]).drop("_m")
+    row = bind(
+        found, lambda m: F.struct(mismatch.alias("shape_mismatch"), *[m[n].alias(n) for n in DENSE_METRICS])
+    )
+    return _once_per_row(df, F.col(generated).isNotNull() & F.col(reference).isNotNull(), row)
+
+
+def _once_per_row(df: DataFrame, condition: Column, row: Column) -> DataFrame:
+    """Add the fields of ``row`` and keep the rows that meet ``condition``.
+
+    The generator drops the other rows itself and later filters on the new fields stay above it. A
+    plain filter would be pushed below the projection together with a copy of the whole computation.
+    """
+    return df.select("*", F.inline(F.when(condition, F.array(row))))
 
 
 def compare_sparse(df: DataFrame, generated: str, reference: str) -> DataFrame:
     """Sparse metrics per row from two maps; rows lacking a map on either side are left out."""
-    rows = df.where(F.col(generated).isNotNull() & F.col(reference).isNotNull())
-    names = ("jaccard_similarity", "common_keys_count", "generated_keys_count", "reference_keys_count")
-    names += ("value_mse", "value_mae")
-    rows = rows.withColumn("_m", sparse_metrics(F.col(generated), F.col(reference)))
-    return rows.select("*", *[F.col(f"_m.{m}").alias(m) for m in names]).drop("_m")
+    present = F.col(generated).isNotNull() & F.col(reference).isNotNull()
+    return _once_per_row(df, present, sparse_metrics(F.col(generated), F.col(reference)))
 
 
 def compare_sparse_long(

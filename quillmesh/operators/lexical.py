@@ -67,6 +67,16 @@ def lexical_postings(
     )
 
 
+def long_form(df: DataFrame, row_id: str, sparse: str) -> DataFrame:
+    """Map column -> rows ``(row_id, token_id, weight)``.
+
+    The empty maps are dropped after the generator: an inner explode would have the optimiser push
+    a size check, and with it a second evaluation of the map, below every projection.
+    """
+    rows = df.select(row_id, F.explode_outer(sparse).alias("token_id", "weight"))
+    return rows.where(F.col("token_id").isNotNull())
+
+
 def lexical_weights(postings: DataFrame, ids: DataFrame, row_id: str) -> DataFrame:
     """Map form ``(row_id, sparse_embed)``; rows of ``ids`` without tokens get an empty map.
 

@@ -81,24 +81,21 @@ def fixed(value: Column, digits: int) -> Column:
     )
 
 
-def verdict(summary: DataFrame) -> DataFrame:
-    """One row ``(embedding_good, reranker_good, label, message)`` from a ``summarize`` table.
-
-    A part without any summary counts as not evaluated. NaN never fails a gate.
-    """
-    def mean_of(kind: str, metric: str) -> Column:
-        return F.max(F.when((F.col("kind") == kind) & (F.col("metric") == metric), F.col("mean")))
-
-    means = summary.agg(
-        mean_of("dense", "cosine_similarity").alias("_cos"), mean_of("rerank", "correlation").alias("_corr")
-    )
-    rows = means.select(
-        "*",
-        (F.col("_cos") >= COSINE_GATE).alias("embedding_good"),
-        (F.col("_corr") >= CORRELATION_GATE).alias("reranker_good"),
-    )
+def _one_row(summary: DataFrame) -> DataFrame:
+    """The dozen summary rows as one row of ``struct<mean, std>`` columns ``kind_metric``."""
+    cells = []
+    for kind, lines in (("dense", DENSE_LINES), ("sparse", SPARSE_LINES), ("rerank", SCORE_LINES)):
+        for metric, _, _ in lines:
+            here = (F.col("kind") == kind) & (F.col("metric") == metric)
+            cells.append(F.max(F.when(here, F.struct("mean", "std"))).alias(f"{kind}_{metric}"))
+    return summary.agg(*cells)
+
+
+def _verdict(row: DataFrame) -> DataFrame:
+    cos_mean, corr_mean = F.col("dense_cosine_similarity.mean"), F.col("rerank_correlation.mean")
+    rows = row.withColumns({"embedding_good": cos_mean >= COSINE_GATE, "reranker_good": corr_mean >= CORRELATION_GATE})
     e, r = F.col("embedding_good"), F.col("reranker_good")
-    cos, corr = fixed(F.col("_cos"), 4), fixed(F.col("_corr"), 4)
+    cos, corr = fixed(cos_mean, 4), fixed(corr_mean, 4)
     label = (
         F.when(e.isNull() & r.isNull(), "NOT EVALUATED")
         .when(F.coalesce(e, F.lit(True)) & F.coalesce(r, F.lit(True)), "GOOD")
@@ -113,37 +110,43 @@ def verdict(summary: DataFrame) -> DataFrame:
         .when(~e & ~r, F.format_string(BAD_BOTH, cos, corr))
         .otherwise(F.format_string(MIXED, cos, corr))
     )
-    return rows.select("embedding_good", "reranker_good", label.alias("label"), message.alias("message"))
+    return rows.withColumns({"label": label, "message": message})
+
+
+def verdict(summary: DataFrame) -> DataFrame:
+    """One row ``(embedding_good, reranker_good, label, message)`` from a ``summarize`` table.
+
+    A part without any summary counts as not evaluated. NaN never fails a gate.
+    """
+    return _verdict(_one_row(summary)).select("embedding_good", "reranker_good", "label", "message")
 
 
 def evaluation_report(summary: DataFrame) -> DataFrame:
-    """The evaluation report as ``(line_no, line)``. The summary has a dozen rows at most."""
+    """The evaluation report as ``(line_no, line)``; the summary is reduced to one row and read once."""
+    lines: list[tuple[int, Column]] = []
+
+    def titles(start: int, texts: list[str], shown: Column | None = None) -> None:
+        for i, text in enumerate(texts):
+            lines.append((start + i, F.lit(text) if shown is None else F.when(shown, F.lit(text))))
+
+    titles(0, [RULE, EVALUATION_TITLE, RULE])
     sections = [
         ("dense", [EMBEDDING_TITLE, THIN_RULE, DENSE_TITLE], DENSE_LINES, 100),
         ("sparse", [SPARSE_TITLE], SPARSE_LINES, 200),
         ("rerank", [RERANKER_TITLE, THIN_RULE, SCORES_TITLE], SCORE_LINES, 300),
     ]
-
-    def titled(df: DataFrame, start: int, lines: list[str]) -> DataFrame:
-        items = [F.struct(F.lit(start + i).alias("line_no"), F.lit(t).alias("line")) for i, t in enumerate(lines)]
-        return df.select(F.inline(F.array(*items)))
-
-    spark = summary.sparkSession
-    report = titled(spark.range(1), 0, [RULE, EVALUATION_TITLE, RULE])
-    for kind, titles, formats, start in sections:
-        part = summary.where(F.col("kind") == kind)
-        report = report.unionByName(titled(part.select("kind").distinct(), start, titles))
-        number, line = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for kind, heads, formats, start in sections:
+        present = F.coalesce(*[F.col(f"{kind}_{m}") for m, _, _ in formats]).isNotNull()
+        titles(start, heads, present)
         for i, (metric, form, digits) in enumerate(formats):
-            here = F.col("metric") == metric
-            text = F.format_string(form, fixed(F.col("mean"), digits), fixed(F.col("std"), digits))
-            number = F.when(here, F.lit(start + 10 + i)).otherwise(number)
-            line = F.when(here, text).otherwise(line)
-        lines = part.select(number.alias("line_no"), line.alias("line"))
-        report = report.unionByName(lines.where(F.col("line_no").isNotNull()))
-    report = report.unionByName(titled(spark.range(1), 400, [ASSESSMENT_TITLE, THIN_RULE]))
-    report = report.unionByName(verdict(summary).select(F.lit(410).alias("line_no"), F.col("message").alias("line")))
-    return report.unionByName(titled(spark.range(1), 420, [RULE]))
+            cell = F.col(f"{kind}_{metric}")
+            text = F.format_string(form, fixed(cell["mean"], digits), fixed(cell["std"], digits))
+            lines.append((start + 10 + i, F.when(cell.isNotNull(), text)))
+    titles(400, [ASSESSMENT_TITLE, THIN_RULE])
+    lines.append((410, F.col("message")))
+    titles(420, [RULE])
+    items = F.array(*[F.struct(F.lit(n).alias("line_no"), text.alias("line")) for n, text in lines])
+    return _verdict(_one_row(summary)).select(F.inline(items)).where(F.col("line").isNotNull())
 
 
 def latency_report(stats: DataFrame) -> DataFrame:

@@ -158,6 +158,11 @@ HEAD_W_OUT = [2.0, 1.0, 0.5, 1.5]
 HEAD_B_OUT = -1.0
 
 
+def with_result(df: DataFrame, out: str, value: Column) -> DataFrame:
+    """Add a costly column behind a generator, so that no filter above it repeats the computation."""
+    return df.select("*", F.inline(F.array(F.struct(value.alias(out)))))
+
+
 class HeadRerankRunner:
     """Four overlap features of a pair and the scoring head, as one Spark expression.
 
@@ -196,7 +201,7 @@ class HeadRerankRunner:
             self.features(F.col(query), F.col(text)),
             lambda f: score_head(f, HEAD_W, HEAD_B, HEAD_W_OUT, HEAD_B_OUT),
         )
-        return df.withColumn(out, logit)
+        return with_result(df, out, logit)
 
 
 class ContextRewriteRunner:
@@ -223,7 +228,7 @@ class ContextRewriteRunner:
             return F.array_join(F.slice(words, 1, self.MAX_TOKENS), " ")
 
         dialogue = join_history(F.col(turns))
-        return df.withColumn(out, bind(F.split(dialogue, r"\[SEP\]"), of_turns))
+        return with_result(df, out, bind(F.split(dialogue, r"\[SEP\]"), of_turns))
 
 
 RUNNERS: dict[str, dict[str, Any]] = {

@@ -22,7 +22,7 @@ from quillmesh.plans import retrieval
 from quillmesh.plans.serving import serve_embed, serve_rerank, serve_rewrite
 from quillmesh.session import scratch_path
 from quillmesh.sources.sinks import write_results
-from quillmesh.sources.tables import read_results, retrieval_dataset, stream_table, table
+from quillmesh.sources.tables import read_results, retrieval_dataset, spread_out, stream_table, table
 from quillmesh.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,7 +52,11 @@ def joined_md5(ids: Column) -> Column:
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread_out(table(spark, sf, "documents"))
+
+
+def _stream_docs(spark, sf):
+    return stream_table(spark, sf, "documents", table(spark, sf, "documents").schema)
 
 
 def _queries(spark, sf):
@@ -206,7 +210,7 @@ def token_weights_max(spark, sf):
 @query
 def lexical_weights(spark, sf):
     docs = _docs(spark, sf)
-    total = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    total = table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n")).scalar()
     postings = lex.lexical_postings(docs, lex.fit_lexical(docs), total, "doc_id")
     return postings.select("doc_id", "token_id", r6("weight").alias("weight"))
 
@@ -217,7 +221,7 @@ def id_to_token(spark, sf):
     vocab = lex.fit_lexical(docs)
     # Every 9th id is missing from the vocabulary and must be skipped.
     known = vocab.where(F.pmod("token_id", F.lit(9)) != 0)
-    postings = fx.position_weights(docs, "doc_id").select("doc_id", F.explode("w").alias("token_id", "weight"))
+    postings = lex.long_form(fx.position_weights(docs, "doc_id"), "doc_id", "w")
     named = lex.id_to_token(postings, known, "doc_id")
     return named.select("doc_id", "token", r6("weight").alias("weight"))
 
@@ -386,8 +390,8 @@ def compare_sparse(spark, sf):
 @query
 def compare_sparse_long(spark, sf):
     pairs = fx.sparse_pairs(_docs(spark, sf))
-    long = [pairs.select("sample_id", F.explode(c).alias("token_id", "weight")) for c in ("a", "b")]
-    samples = _docs(spark, sf).select(F.col("doc_id").alias("sample_id"))
+    long = [lex.long_form(pairs, "sample_id", c) for c in ("a", "b")]
+    samples = table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"))
     rows = ev.compare_sparse_long(long[0], long[1], samples)
     return rows.select("sample_id", *_SPARSE_COLUMNS, *[r6(m).alias(m) for m in ev.SPARSE_METRICS])
 
@@ -542,7 +546,7 @@ def _run_append(spark, df, name):
 
 @query
 def embed_stream(spark, sf):
-    docs = stream_table(spark, sf, "documents", _docs(spark, sf).schema)
+    docs = _stream_docs(spark, sf)
     rows = _run_append(spark, jobs.embed_stream(fx.embed_requests(docs), default_registry()), "embed-stream")
     return rows.select(
         "request_id", "model", big(F.size("dense_embed")).alias("n_dense"), big(F.size("sparse_embed")).alias("n_sparse"),
@@ -552,7 +556,7 @@ def embed_stream(spark, sf):
 
 @query
 def rerank_stream(spark, sf):
-    docs = stream_table(spark, sf, "documents", _docs(spark, sf).schema)
+    docs = _stream_docs(spark, sf)
     requests = fx.rerank_requests_by_document(docs, _queries(spark, sf))
     rows = _run_append(spark, jobs.rerank_stream(requests, default_registry()), "rerank-stream")
     return rows.select("request_id", big("pos").alias("pos"), r6("score").alias("score"), big("status").alias("status"), "error")

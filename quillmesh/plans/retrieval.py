@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmesh.functions.text import tokens
 from quillmesh.operators.inference import rerank
 from quillmesh.operators.lexical import (
     POSITION_SCALE,
@@ -43,7 +44,8 @@ def match_corpus(
         doc_id, F.col("p.token").alias("token"), F.col("p.pos").alias("_dpos")
     )
     wanted = asked.select("token").distinct()
-    counts = found.join(F.broadcast(wanted), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    used = corpus.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    counts = used.join(F.broadcast(wanted), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = inverse_frequency(total, F.col("df"))
     weighted = asked.join(F.broadcast(counts), "token").select(
         query_id, "token", (idf * idf / (F.lit(1.0) + F.col("_qpos") / POSITION_SCALE)).alias("_wq")
