@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,9 +96,6 @@ def score_head_udf(w, b, w_out, b_out: float):
 
     Use it as ``df.withColumn('score', score_head_udf(...)(F.col('cls')))``.
     """
-    import numpy as np
-    import pandas as pd
-
     w, b, w_out = (np.asarray(x, dtype="float64") for x in (w, b, w_out))
 
     @F.pandas_udf("double")

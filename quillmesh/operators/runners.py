@@ -62,7 +62,7 @@ class HashedEmbedRunner(EmbedRunner):
                 row * self.dim + flat % self.dim, weights=sign, minlength=len(inputs) * self.dim
             ).reshape(len(inputs), self.dim)
             norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-            dense = list(np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0))
+            dense = list(np.divide(sums, norm, out=np.zeros(sums.shape), where=norm > 0))
         if self.supports_sparse:
             sparse = [1.0 / (1.0 + np.arange(n) / 512.0) for n in lengths]
         return [(d, None, w) for d, w in zip(dense, sparse)]

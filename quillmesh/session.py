@@ -13,8 +13,7 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Broadcast on measured sizes only: file-size estimates know nothing of what an explode yields.
-    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    # Sides whose measured size turns out small may still be broadcast at run time.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
     # Texts reach 100+ KB: keep the Arrow batches handed to the runners small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",

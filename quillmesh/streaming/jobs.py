@@ -37,15 +37,6 @@ def metrics_stream(log: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
     return request_counter(log, labels)
 
 
-def windowed_metrics(log: DataFrame, delay: str = "10 minutes", width: str = "1 minute") -> DataFrame:
-    """Extension: counts per time window with a watermark, so that the state stays bounded."""
-    return (
-        log.withWatermark("ts", delay)
-        .groupBy(F.window("ts", width), *LABELS, "status")
-        .agg(F.count(F.lit(1)).alias("requests"))
-    )
-
-
 def start_append(df: DataFrame, path: str, checkpoint: str, processing_time: str | None = None) -> StreamingQuery:
     """Append answers to Parquet (exactly once). Without an interval: all available input, then stop."""
     writer = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
