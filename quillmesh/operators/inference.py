@@ -25,7 +25,7 @@ from quillmesh.functions.vectors import sigmoid, token_weights
 from quillmesh.operators.requests import RUN_PREFIX
 from quillmesh.operators.runners import ModelRegistry, RunnerSpec, load_runner
 from quillmesh.operators.skew import spread_lookup
-from quillmesh.session import ship_package
+from quillmesh.session import materialize, ship_package
 
 Models = RunnerSpec | ModelRegistry | dict[str, RunnerSpec]
 
@@ -60,15 +60,18 @@ def run_isolated(run: Callable[[list], list], inputs: list) -> list[tuple[object
         return [run_isolated(run, [item])[0] for item in inputs]
 
 
-def _run_all(runners: dict, models: list, inputs: list) -> list[tuple[object, str | None]]:
-    """Group the inputs by model, slice each group by the runner's batch size, keep the order."""
+def _run_all(load: Callable, models: list, inputs: list) -> list[tuple[object, str | None]]:
+    """Group the inputs by model, slice each group by the runner's batch size, keep the order.
+
+    A model is loaded only where an input asks for it.
+    """
     answers: list = [(None, None)] * len(inputs)
     places: dict[object, list[int]] = {}
     for i, (model, item) in enumerate(zip(models, inputs, strict=True)):
         if item is not None:
             places.setdefault(model, []).append(i)
     for model, at in places.items():
-        runner = runners[model]
+        runner = load(model)
         for start in range(0, len(at), runner.batch_size):
             part = at[start : start + runner.batch_size]
             for i, answer in zip(part, run_isolated(runner.run, [inputs[i] for i in part]), strict=True):
@@ -120,7 +123,6 @@ def _map_runners(
     by_model = None not in specs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runners = {name: load_runner(spec, cls) for name, (spec, cls) in parts.items()}
         for batch in batches:
             n = batch.num_rows
             columns = [batch.column(c) for c in inputs]
@@ -135,18 +137,18 @@ def _map_runners(
             rows = zip(*[_to_inputs(c) for c in columns], strict=True)
             ready = [
                 (row[0] if len(row) == 1 else row)
-                if status[i] is None and model in runners and all(v is not None for v in row)
+                if status[i] is None and model in parts and all(v is not None for v in row)
                 else None
                 for i, model, row in zip(owner, models, rows, strict=True)
             ]
-            answers = _run_all(runners, models, ready)
+            answers = _run_all(lambda model: load_runner(*parts[model]), models, ready)
             for i, (_, failure) in zip(owner, answers, strict=True):
                 if failure is not None and status[i] is None:
                     status[i], error[i] = 500, failure
             values = [unpack(a) for a, _ in answers]
             made = [pa.array([v[k] for v in values], type=t) for k, t in enumerate(arrow_types)]
             if nested:
-                mine = np.array([names[i] in runners and status[i] is None for i in range(n)], dtype=bool)
+                mine = np.array([names[i] in parts and status[i] is None for i in range(n)], dtype=bool)
                 ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype("int32"))
                 made = [pa.ListArray.from_arrays(ends, m, mask=pa.array(~(valid & mine))) for m in made]
             yield pa.RecordBatch.from_arrays(
@@ -281,6 +283,16 @@ def _dispatch(
     return done.withColumn(out, F.when(F.col("status").isNull(), value)).drop(*made)
 
 
+def gather_models(df: DataFrame, row_id: str, partitions: int, salts: int = 16) -> DataFrame:
+    """Bring the rows of a model together before inference, so that a worker loads few models.
+
+    Each model is dealt over ``salts`` partitions; a model that most rows ask for is still run by
+    many workers.
+    """
+    salt = F.pmod(F.xxhash64(row_id), F.lit(salts))
+    return df.withColumn("_salt", salt).repartition(partitions, "model", "_salt").drop("_salt")
+
+
 def dedup_infer(
     df: DataFrame,
     infer: Callable[[DataFrame], DataFrame],
@@ -298,16 +310,18 @@ def dedup_infer(
     key = F.sha2(F.concat_ws("\u0001", *names), 256)
     distinct = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_key", key)
     answers = infer(distinct).select("_key", "_copies", *results)
-    joined = spread_lookup(df.withColumn("_key", key), answers, "_key", "_copies", [row_id])
+    joined = spread_lookup(df.withColumn("_key", key), answers, "_key", "_copies", [row_id], counts=distinct)
     return joined.drop("_key", "_copies")
 
 
 def fallback_scores(df: DataFrame, key: str = "request_id", score: str = "score", fallback: float = 1.0) -> DataFrame:
     """Where any pair of a request failed, every score of that request becomes ``fallback``.
 
+    The scores are written out first, because they are read twice and must not be inferred twice.
     The failed requests are found by a pre-aggregated grouping; scores are never windowed per
     request, so a huge request is not pulled into one task.
     """
+    df = materialize(df, "scores")
     failed = (
         df.groupBy(key)
         .agg(F.count_if(F.col("status") == 500).alias("_failures"), F.count(F.lit(1)).alias("_rows"))

@@ -96,17 +96,19 @@ def latency_stats(
     base = log.groupBy(*keys).agg(
         F.count(x).alias("iterations"),
         F.count_if(F.col("error").isNotNull()).alias("_failures"),
-        F.min("error").alias("error"),
         F.avg(x).alias("mean_ms"),
         F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std_ms"),
         F.min(x).alias("min_ms"),
         F.max(x).alias("max_ms"),
         *probes,
     )
+    # Kept apart: a text in the aggregation buffer would force a sort of the whole log.
+    reasons = log.where(F.col("error").isNotNull()).groupBy(*keys).agg(F.min("error").alias("error"))
     if approximate:
         joined = base.withColumns({f"q{i}": F.col("_q")[i] for i in range(len(QUANTILES))})
     else:
         joined = base.join(exact_quantiles(log, keys, latency), keys, "left")
+    joined = joined.join(reasons, keys, "left")
     ok = (F.col("_failures") == 0) & (F.col("iterations") > 0)
     # A log without a single measurement is an error record of its own.
     reason = F.when(F.col("_failures") > 0, F.col("error")).when(F.col("iterations") == 0, F.lit("No latency data"))

@@ -41,15 +41,18 @@ def spread_lookup(
     spread_by: list[str],
     how: str = "inner",
     rows_per_task: int = ROWS_PER_TASK,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which has one row per key and knows in ``left_rows`` how many
     rows of ``left`` carry that key.
 
     Hot keys get several salts: the left rows are dealt out by a hash of ``spread_by`` and the one
     right row is repeated per salt. Other keys join as usual (Spark picks broadcast or shuffle).
+    ``counts`` may name a cheaper table to read the hot keys from when ``right`` is costly.
     """
     fan = _fan(F.col(left_rows), rows_per_task)
-    hot = right.where(F.col(left_rows) > rows_per_task).select(on, fan.alias("_fan"))
+    known = right if counts is None else counts
+    hot = known.where(F.col(left_rows) > rows_per_task).select(on, fan.alias("_fan"))
     dealt = left.join(F.broadcast(hot), on, "left").withColumn(
         "_salt", F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_fan")).cast("int"), F.lit(0))
     )

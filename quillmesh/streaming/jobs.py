@@ -45,10 +45,14 @@ def start_append(df: DataFrame, path: str, checkpoint: str, processing_time: str
 
 
 def start_snapshot(df: DataFrame, path: str, checkpoint: str, processing_time: str | None = None) -> StreamingQuery:
-    """Rewrite the complete small aggregate after each micro-batch; the newest epoch wins."""
+    """Rewrite the complete small aggregate after each micro-batch.
+
+    Two slots take turns, so that one complete state is always there and storage stays bounded.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        stamped = batch.withColumn("epoch", F.lit(epoch).cast("bigint"))
+        stamped.write.mode("overwrite").parquet(f"{path}/slot={epoch % 2}")
 
     writer = df.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
     trigger = {"processingTime": processing_time} if processing_time else {"availableNow": True}
@@ -57,6 +61,6 @@ def start_snapshot(df: DataFrame, path: str, checkpoint: str, processing_time: s
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """The state after the newest micro-batch."""
-    epochs = spark.read.parquet(path)
-    newest = epochs.agg(F.max("epoch").alias("e")).scalar()
-    return epochs.where(F.col("epoch") == newest).drop("epoch")
+    slots = spark.read.parquet(path)
+    newest = slots.agg(F.max("epoch").alias("e")).scalar()
+    return slots.where(F.col("epoch") == newest).drop("epoch", "slot")

@@ -164,3 +164,10 @@ def test_onnx_rerank(spark, tmp_path):
     out = [r.score for r in inf.rerank(df, RunnerSpec("rerank", "OnnxRerankRunner", 12, kwargs)).collect()]
     # ids: 0 4 2 2 6 6 2 | 0 5 2 2 2
     assert out == pytest.approx([22 / 7, 11 / 5])
+
+
+def test_gather_models_changes_placement_only(spark, docs):
+    named = docs.withColumn("model", F.when(F.col("id") == 0, "default").otherwise("dense_only"))
+    moved = inf.gather_models(named, "id", 5, 3)
+    assert moved.columns == named.columns and moved.rdd.getNumPartitions() == 5
+    assert result(inf.embed(moved, default_registry())) == result(inf.embed(named, default_registry()))
