@@ -5,8 +5,8 @@ Python runners sit behind ``mapInArrow``: loaded once per worker process, fed sl
 fails alone. A Python stage is opaque to the optimiser, so each operator first narrows the table
 to the columns the runner and the result need.
 
-Every operator works on two layouts: row form (one text per row) and array form (one request per
-row, arrays in and out), the latter without any shuffle or state, for streams.
+``embed`` works on two layouts: row form (one text per row) and array form (one request per row,
+arrays in and out), the latter without any shuffle or state, for streams.
 """
 
 from __future__ import annotations
@@ -103,18 +103,22 @@ def _map_runners(
     fields: list[tuple[str, str]],
     unpack: Callable[[object], tuple],
     nested: bool = False,
+    echo: dict[str, str] | None = None,
 ) -> DataFrame:
     """``mapInArrow`` over ``df``: drops the ``inputs`` columns, adds ``fields``, ``status``, ``error``.
 
-    ``unpack`` turns one answer (None for an input that was not run) into the values of ``fields``.
+    ``echo`` names inputs that come back under another name, without being sent twice. ``unpack``
+    turns one answer (None for an input that was not run) into the values of ``fields``.
     """
     ship_package(df.sparkSession)
     keep = [c for c in df.columns if c not in inputs and c not in ("status", "error")]
     typed = {f.name: f.dataType for f in df.schema.fields}
     has_status = "status" in df.columns
+    echo = echo or {}
     element = [T._parse_datatype_string(t) for _, t in fields]
     schema = T.StructType(
         [T.StructField(c, typed[c]) for c in keep]
+        + [T.StructField(name, typed[c]) for c, name in echo.items()]
         + [T.StructField(n, T.ArrayType(t) if nested else t) for (n, _), t in zip(fields, element, strict=True)]
         + [T.StructField("status", T.IntegerType()), T.StructField("error", T.StringType())]
     )
@@ -152,7 +156,7 @@ def _map_runners(
                 ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype("int32"))
                 made = [pa.ListArray.from_arrays(ends, m, mask=pa.array(~(valid & mine))) for m in made]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep] + made + [pa.array(status, pa.int32()), pa.array(error, pa.string())],
+                [batch.column(c) for c in [*keep, *echo]] + made + [pa.array(status, pa.int32()), pa.array(error, pa.string())],
                 names=schema.names,
             )
 
@@ -191,8 +195,6 @@ def embed(
 
     if by_id:
         work = work.withColumn("_in", F.transform(F.col(text), token_ids) if nested else token_ids(F.col(text)))
-        if want_sparse:
-            work = work.withColumn("_ids", F.col("_in"))
     else:
         work = work.withColumn("_in", F.col(text))
     if text not in keep:
@@ -207,6 +209,7 @@ def embed(
         [(name, _EMBED_FIELDS[name]) for name in wanted],
         lambda answer: tuple(answer[i] if answer is not None else None for i in slots),
         nested,
+        {"_in": "_ids"} if by_id and want_sparse else None,
     )
     dense = F.col("_dense") if want_dense else F.lit(None)
     sparse = F.lit(None)

@@ -58,13 +58,14 @@ def _finish(
     checked = df.withColumn("_message", message)
     ok = F.col("_message").isNull()
     keep = [c for c in df.columns if not c.startswith("_") and c != body]
-    return checked.select(
-        *keep,
+    row = F.struct(
         *[F.when(ok, value).alias(name) for name, value in outputs.items()],
         F.when(~ok, F.lit(400)).alias("status"),
         F.concat(F.lit(VALID_PREFIX), F.col("_message")).alias("error"),
         F.when(~ok, F.lit("validation")).alias("error_stage"),
     )
+    # Behind a generator, so that filters on the status do not parse every body a second time.
+    return checked.select(*keep, F.inline(F.array(row)))
 
 
 def validate_embed(df: DataFrame, body: str = "body", strict: bool = False) -> DataFrame:
