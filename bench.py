@@ -17,7 +17,7 @@ from quillmesh.plans.catalog import CATALOG  # noqa: E402
 from quillmesh.session import get_session  # noqa: E402
 
 HEADLINE = [
-    "clean_html_pages", "tokenize_pad", "pack_pairs", "history_join", "validate_embed", "validate_rerank",
+    "clean_html", "tokenize_pad", "pack_pair", "history_join", "validate_embed", "validate_rerank",
     "route_and_capability", "token_weights_max", "lexical_weights", "id_to_token", "dense_embed", "sparse_embed",
     "embed_multi_model", "lexical_score_matrix", "rerank_scores", "rerank_fallback", "rewrite_context",
     "retrieve_then_rerank", "serve_embed_rows", "serve_rerank_rows", "compare_dense", "compare_sparse",

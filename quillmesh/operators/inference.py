@@ -11,17 +11,19 @@ arrays in and out), the latter without any shuffle or state, for streams.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quillmesh.functions.text import token_ids
-from quillmesh.functions.vectors import sigmoid, token_weights
+from quillmesh.functions.binding import bind
+from quillmesh.functions.text import token_ids, tokens
+from quillmesh.functions.vectors import score_head, score_head_udf, sigmoid, token_weights
 from quillmesh.operators.requests import RUN_PREFIX
 from quillmesh.operators.runners import ModelRegistry, RunnerSpec, load_runner
 from quillmesh.operators.skew import spread_lookup
@@ -247,6 +249,42 @@ def rerank(
     return logits.withColumn(out, mapped)
 
 
+@dataclass(frozen=True)
+class ScoreHead:
+    """Weights of ``tanh(cls . W^T + b) . w_out + b_out``."""
+
+    w: Sequence[Sequence[float]]
+    b: Sequence[float]
+    w_out: Sequence[float]
+    b_out: float
+
+    # Up to this many weights the head is a plain expression, beyond it a matrix product per batch.
+    SMALL = 4096
+
+    def column(self, cls: Column) -> Column:
+        if len(self.w) * len(self.w[0]) <= self.SMALL:
+            return bind(cls, lambda c: score_head(c, self.w, self.b, self.w_out, self.b_out))
+        return score_head_udf(self.w, self.b, self.w_out, self.b_out)(cls)
+
+
+def rerank_encoded(
+    df: DataFrame,
+    spec: RunnerSpec,
+    head: ScoreHead,
+    query: str = "query",
+    text: str = "text",
+    out: str = "score",
+    normalize: bool = False,
+) -> DataFrame:
+    """Rerank with the head outside the model: the runner gives one vector per pair."""
+    specs = _specs(spec, "rerank")
+    work = df.withColumns({"_in0": F.col(query), "_in1": F.col(text)})
+    done = _map_runners(work, specs, ["_in0", "_in1"], [("_cls", "array<double>")], lambda a: (a,))
+    score = head.column(F.col("_cls"))
+    score = sigmoid(score) if normalize else score
+    return done.withColumn(out, F.when(F.col("_cls").isNotNull(), score)).drop("_cls")
+
+
 def rewrite(df: DataFrame, models: Models, turns: str = "turns", out: str = "rewritten") -> DataFrame:
     """Add the rewritten query of a dialogue (``array<string>``, latest turn last)."""
     specs = _specs(models, "rewrite")
@@ -286,6 +324,16 @@ def _dispatch(
     return done.withColumn(out, F.when(F.col("status").isNull(), value)).drop(*made)
 
 
+def length_bucket_order(df: DataFrame, text: str = "text", partitions: int | None = None) -> DataFrame:
+    """Longest texts first inside each partition, so that a batch pads to similar lengths.
+
+    The results carry their keys, so no inverse permutation is needed afterwards.
+    """
+    rows = df.repartition(partitions) if partitions else df
+    sized = rows.withColumn("_tokens", F.size(tokens(F.col(text))))
+    return sized.sortWithinPartitions(F.desc("_tokens")).drop("_tokens")
+
+
 def gather_models(df: DataFrame, row_id: str, partitions: int, salts: int = 16) -> DataFrame:
     """Bring the rows of a model together before inference, so that a worker loads few models.
 

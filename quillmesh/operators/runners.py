@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions.binding import bind, bind_all
-from quillmesh.functions.text import EOS_ID, CLS_ID, PAD_ID, UNK_ID, join_history, tokens
+from quillmesh.functions.text import PAD_ID, join_history, tokens
 from quillmesh.functions.vectors import score_head
 
 MODEL_TYPES = ("embed", "rerank", "rewrite")
@@ -76,74 +76,84 @@ class PositionalSparseRunner(HashedEmbedRunner):
     supports_dense = False
 
 
-class OnnxEmbedRunner(EmbedRunner):
-    """ONNX Runtime session: output 0 is the dense vector, output 1 (optional) the token weights."""
+class OnnxRunner:
+    """Session and tokeniser of an ONNX model, opened in the worker.
+
+    ``fixed_batch`` always feeds ``batch_size`` rows, filling up with empty texts whose results are
+    dropped, for models exported with a fixed shape (use ``padding='max_length'`` with it).
+    """
+
+    truncation_strategy = "longest_first"
 
     def __init__(
         self,
         model_path: str,
         tokenizer_path: str,
         batch_size: int = 12,
-        max_length: int = 8192,
+        max_length: int = 512,
         padding: str = "longest",
-        truncation: bool = False,
+        truncation: bool = True,
+        fixed_batch: bool = False,
         providers: list[str] | None = None,
     ) -> None:
         import onnxruntime
+        from tokenizers import Tokenizer
 
         self.batch_size = batch_size
-        self.tokenizer = load_tokenizer(tokenizer_path, padding, max_length, truncation)
+        self.fixed_batch = fixed_batch
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer.enable_padding(pad_id=PAD_ID, length=max_length if padding == "max_length" else None)
+        if truncation:
+            self.tokenizer.enable_truncation(max_length, strategy=self.truncation_strategy)
         self.session = onnxruntime.InferenceSession(model_path, providers=providers or ["CPUExecutionProvider"])
 
-    def run(self, inputs: list[str]) -> list[tuple]:
-        encoded = self.tokenizer.encode_batch(inputs)
+    def outputs(self, inputs: list, filler) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Token ids and model outputs of the inputs."""
+        n = len(inputs)
+        rows = list(inputs) + [filler] * (self.batch_size - n if self.fixed_batch else 0)
+        encoded = self.tokenizer.encode_batch(rows)
         ids = np.array([e.ids for e in encoded], dtype="int64")
         mask = np.array([e.attention_mask for e in encoded], dtype="int64")
-        outputs = self.session.run(None, {"input_ids": ids, "attention_mask": mask})
-        if not outputs:
+        found = self.session.run(None, {"input_ids": ids, "attention_mask": mask})
+        if not found:
             raise RuntimeError("the model gave no output")
-        dense = outputs[0].reshape(len(inputs), -1)
-        if len(outputs) < 2:
+        return ids[:n], [np.asarray(o)[:n] for o in found]
+
+
+class OnnxEmbedRunner(OnnxRunner, EmbedRunner):
+    """Output 0 is the dense vector; output 1, if there is one, holds the token weights."""
+
+    def __init__(self, *args, max_length: int = 8192, truncation: bool = False, **kwargs) -> None:
+        super().__init__(*args, max_length=max_length, truncation=truncation, **kwargs)
+
+    def run(self, inputs: list[str]) -> list[tuple]:
+        ids, found = self.outputs(inputs, "")
+        dense = found[0].reshape(len(inputs), -1)
+        if len(found) < 2:
             return [(d, ids[i, :0], np.zeros(0)) for i, d in enumerate(dense)]
-        weights = outputs[1].reshape(len(inputs), -1)
+        weights = found[1].reshape(len(inputs), -1)
         return [(d, ids[i], weights[i]) for i, d in enumerate(dense)]
 
 
-class OnnxRerankRunner:
-    """ONNX cross-encoder: pair tokenisation, logits flattened; ``normalize`` is applied by ``rerank``."""
+class OnnxRerankRunner(OnnxRunner):
+    """Cross-encoder with its head inside the graph; ``normalize`` is applied by ``rerank``."""
 
-    def __init__(
-        self,
-        model_path: str,
-        tokenizer_path: str,
-        batch_size: int = 12,
-        max_length: int = 512,
-        normalize: bool = False,
-        providers: list[str] | None = None,
-    ) -> None:
-        import onnxruntime
-
-        self.batch_size = batch_size
-        self.tokenizer = load_tokenizer(tokenizer_path, "longest", max_length, True)
-        self.session = onnxruntime.InferenceSession(model_path, providers=providers or ["CPUExecutionProvider"])
+    def __init__(self, *args, normalize: bool = False, **kwargs) -> None:
+        super().__init__(*args, **kwargs)
 
     def run(self, inputs: list[tuple[str, str]]) -> list[float]:
-        encoded = self.tokenizer.encode_batch(list(inputs))
-        ids = np.array([e.ids for e in encoded], dtype="int64")
-        mask = np.array([e.attention_mask for e in encoded], dtype="int64")
-        logits = self.session.run(None, {"input_ids": ids, "attention_mask": mask})[0]
-        return [float(v) for v in np.asarray(logits).reshape(-1)]
+        _, found = self.outputs(inputs, ("", ""))
+        return [float(v) for v in found[0].reshape(-1)]
 
 
-def load_tokenizer(path: str, padding: str, max_length: int, truncation: bool):
-    """A ``tokenizer.json`` with the padding / truncation the model was exported with."""
-    from tokenizers import Tokenizer
+class OnnxPairEncoderRunner(OnnxRunner):
+    """Encoder without a head: the vector of the first token of a pair. Only the text is shortened."""
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.enable_padding(pad_id=PAD_ID, length=max_length if padding == "max_length" else None)
-    if truncation:
-        tokenizer.enable_truncation(max_length)
-    return tokenizer
+    truncation_strategy = "only_second"
+
+    def run(self, inputs: list[tuple[str, str]]) -> list[np.ndarray]:
+        _, found = self.outputs(inputs, ("", ""))
+        return list(found[0][:, 0, :].astype("float64"))
 
 
 # The stand-in scoring head (4 features -> 4 hidden units -> 1 logit).
@@ -238,7 +248,11 @@ RUNNERS: dict[str, dict[str, Any]] = {
         "PositionalSparseRunner": PositionalSparseRunner,
         "OnnxEmbedRunner": OnnxEmbedRunner,
     },
-    "rerank": {"HeadRerankRunner": HeadRerankRunner, "OnnxRerankRunner": OnnxRerankRunner},
+    "rerank": {
+        "HeadRerankRunner": HeadRerankRunner,
+        "OnnxRerankRunner": OnnxRerankRunner,
+        "OnnxPairEncoderRunner": OnnxPairEncoderRunner,
+    },
     "rewrite": {"ContextRewriteRunner": ContextRewriteRunner},
 }
 
@@ -336,10 +350,3 @@ def default_registry() -> ModelRegistry:
         .add("sigmoid", RunnerSpec("rerank", "HeadRerankRunner", kwargs={"normalize": True}))
         .add("default", RunnerSpec("rewrite", "ContextRewriteRunner", batch_size=256))
     )
-
-
-__all__ = [
-    "CLS_ID", "EOS_ID", "PAD_ID", "UNK_ID", "ContextRewriteRunner", "EmbedRunner", "HashedDenseRunner",
-    "HashedEmbedRunner", "HeadRerankRunner", "ModelRegistry", "OnnxEmbedRunner", "OnnxRerankRunner",
-    "PositionalSparseRunner", "RunnerSpec", "default_registry", "load_runner", "register_runner",
-]

@@ -14,7 +14,7 @@ from quillmesh.operators import latency as lat
 from quillmesh.operators import lexical as lex
 from quillmesh.operators import reports
 from quillmesh.operators import requests as req
-from quillmesh.operators.inference import dedup_infer, embed, fallback_scores, rerank, rewrite
+from quillmesh.operators.inference import dedup_infer, embed, fallback_scores, length_bucket_order, rerank, rewrite
 from quillmesh.operators.runners import HEAD_B_OUT, HEAD_W_OUT, RunnerSpec, default_registry
 from quillmesh.operators.sampling import zip_pairs
 from quillmesh.plans import fixtures as fx
@@ -34,7 +34,8 @@ SPARSE = RunnerSpec("embed", "PositionalSparseRunner", batch_size=4096)
 
 
 def query(fn: Query) -> Query:
-    CATALOG[fn.__name__] = fn
+    """Register under the function's name, less a trailing underscore."""
+    CATALOG[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -75,7 +76,7 @@ def _events(spark, sf):
 
 
 @query
-def clean_html_pages(spark, sf):
+def clean_html_(spark, sf):
     pages = table(spark, sf, "pages")
     return pages.select("page_id", clean_html(F.col("html")).alias("text"), strip(F.col("url")).alias("url"))
 
@@ -103,7 +104,7 @@ def tokenize_pad(spark, sf):
 
 
 @query
-def pack_pairs(spark, sf):
+def pack_pair_(spark, sf):
     pairs = fx.assigned_pairs(_docs(spark, sf), _queries(spark, sf))
     rows = pairs.select("doc_id", "item_id", token_ids(F.col("query")).alias("q"), token_ids(F.col("text")).alias("d"))
     rows = rows.withColumn("p", pack_pair(F.col("q"), F.col("d"), 48))
@@ -252,6 +253,13 @@ def sparse_embed(spark, sf):
     )
 
 
+@query
+def length_bucket_order_(spark, sf):
+    ordered = length_bucket_order(_docs(spark, sf).select("doc_id", "text"))
+    rows = embed(ordered, RunnerSpec("embed", "HashedEmbedRunner", batch_size=64))
+    return rows.select("doc_id", big(F.size("dense_embed")).alias("dims"), big(F.size("sparse_embed")).alias("n_tokens"))
+
+
 @query
 def embed_multi_model(spark, sf):
     names = F.array(F.lit("default"), F.lit("dense_only"), F.lit("sparse_only"))
@@ -291,7 +299,7 @@ def lexical_score_pair(spark, sf):
 
 
 @query
-def score_head_rows(spark, sf):
+def score_head_(spark, sf):
     rows = _embeddings(spark, sf).select("vec_id", F.col("embedding").cast("array<double>").alias("cls"))
     w = [[((i * 7 + j * 3) % 11 - 5) / 10 for j in range(64)] for i in range(4)]
     rows = rows.withColumn("logit", score_head(F.col("cls"), w, [0.1, -0.2, 0.3, 0.0], HEAD_W_OUT, HEAD_B_OUT))
@@ -320,7 +328,7 @@ def rerank_fallback(spark, sf):
     scored = rerank(pairs, RunnerSpec("rerank", "quillmesh.plans.fixtures:PoisonedRerankRunner", 256))
     rows = fallback_scores(scored.drop("query", "text"))
     return rows.select(
-        "request_id", big("pos").alias("pos"), r6("score").alias("score"), "fell_back", big("status").alias("status"), "error"
+        "request_id", big("pos").alias("pos"), "score", "fell_back", big("status").alias("status"), "error"
     )
 
 

@@ -98,7 +98,7 @@ windows AS (
 
 # Text ---------------------------------------------------------------------------------------------
 
-oracle("clean_html_pages", f"SELECT page_id, {clean('html')} AS text, {strip('url')} AS url FROM pages")
+oracle("clean_html", f"SELECT page_id, {clean('html')} AS text, {strip('url')} AS url FROM pages")
 
 oracle(
     "retrieval_dataset_texts",
@@ -119,7 +119,7 @@ FROM e""",
 )
 
 oracle(
-    "pack_pairs",
+    "pack_pair",
     cte(
         PAIRS,
         f"t AS (SELECT doc_id, item_id, {ids('query')} AS q, ({ids('text')})[1:48] AS d FROM pairs)",
@@ -358,7 +358,7 @@ LEFT JOIN doc_first d ON d.doc_id = p.doc_id AND d.token = i.token GROUP BY ALL"
 )
 
 oracle(
-    "score_head_rows",
+    "score_head",
     f"""
 WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS j FROM embeddings),
 h AS (SELECT vec_id, i, sum(v * ((i * 7 + j * 3) % 11 - 5) / 10.0) AS d
@@ -382,7 +382,7 @@ oracle(
     + f"""
 SELECT request_id, pos,
   CASE WHEN lost THEN 1.0
-       ELSE {r6('least(length(query), length(text))::DOUBLE / greatest(length(query), length(text), 1)')} END AS score,
+       ELSE least(length(query), length(text))::DOUBLE / greatest(length(query), length(text), 1) END AS score,
   lost AS fell_back, CASE WHEN bad THEN 500::BIGINT END AS status,
   CASE WHEN bad THEN 'run exception: poisoned text' END AS error
 FROM (SELECT *, length(text) % 25 = 0 AS bad, bool_or(length(text) % 25 = 0) OVER (PARTITION BY request_id) AS lost
@@ -480,10 +480,11 @@ SELECT conv_id, turn, NULL, NULL, 400, coalesce('valid error: ' || fault, 'model
 FROM rewrite_requests r WHERE r.k <> 0""",
 )
 
-oracle(
-    "result_sink",
-    f"SELECT doc_id, 64::BIGINT AS dims, len(list_distinct({toks('text')}))::BIGINT AS n_tokens FROM documents",
-)
+for _name in ("result_sink", "length_bucket_order"):
+    oracle(
+        _name,
+        f"SELECT doc_id, 64::BIGINT AS dims, len(list_distinct({toks('text')}))::BIGINT AS n_tokens FROM documents",
+    )
 
 # Evaluation -----------------------------------------------------------------------------------------
 

@@ -171,3 +171,41 @@ def test_gather_models_changes_placement_only(spark, docs):
     moved = inf.gather_models(named, "id", 5, 3)
     assert moved.columns == named.columns and moved.rdd.getNumPartitions() == 5
     assert result(inf.embed(moved, default_registry())) == result(inf.embed(named, default_registry()))
+
+
+def test_onnx_fixed_shape_drops_its_fillers(spark, tmp_path):
+    kwargs = {"model_path": tiny_model(tmp_path / "m.onnx"), "tokenizer_path": tiny_tokenizer(tmp_path / "t.json")}
+    fixed = {**kwargs, "padding": "max_length", "max_length": 6, "truncation": True, "fixed_batch": True}
+    df = spark.createDataFrame([(i, " ".join(["red", "blue"] * i)) for i in range(5)], "id bigint, text string")
+    out = result(inf.embed(df, RunnerSpec("embed", "OnnxEmbedRunner", 3, fixed)))
+    assert out == result(inf.embed(df, RunnerSpec("embed", "OnnxEmbedRunner", 4, fixed)))
+    # ids: 0 2 | 0 4 6 2 | 0 4 6 4 6 2, and the same for every longer text
+    assert [out[i][0] for i in range(5)] == [[2.0, 2.0], [12.0, 4.0]] + [[22.0, 6.0]] * 3
+
+
+def test_head_outside_the_graph(spark, tmp_path):
+    kwargs = {
+        "model_path": tiny_model(tmp_path / "h.onnx", hidden=True), "tokenizer_path": tiny_tokenizer(tmp_path / "t.json"),
+        "max_length": 8, "padding": "max_length",
+    }
+    spec = RunnerSpec("rerank", "OnnxPairEncoderRunner", 2, kwargs)
+    df = spark.createDataFrame([(0, "red", "blue blue"), (1, "green", ""), (2, "red", "blue " * 40)], "id int, query string, text string")
+    # ids: 0 4 2 2 6 6 2 | 0 5 2 2 2 | 0 4 2 2 6 6 6 2
+    cls = np.array([[22.0], [11.0], [28.0]])
+    w, b, wo, bo = [[0.1], [-0.02]], [0.0, 0.5], [1.0, 2.0], -0.25
+    expected = np.tanh(cls @ np.array(w).T + b) @ np.array(wo) + bo
+    head = inf.ScoreHead(w, b, wo, bo)
+    out = {r.id: r.score for r in inf.rerank_encoded(df, spec, head).collect()}
+    assert [out[i] for i in range(3)] == pytest.approx(expected.tolist())
+    big = inf.ScoreHead(w, b, wo, bo)
+    object.__setattr__(big, "SMALL", 0)
+    out = {r.id: r.score for r in inf.rerank_encoded(df, spec, big, normalize=True).collect()}
+    assert [out[i] for i in range(3)] == pytest.approx((1 / (1 + np.exp(-expected))).tolist())
+
+
+def test_length_order_keeps_results(docs):
+    spec = RunnerSpec("embed", "HashedEmbedRunner", 2)
+    ordered = inf.length_bucket_order(docs, partitions=1)
+    lengths = [len(r.text.split()) for r in ordered.collect()]
+    assert lengths[0] == 50 and ordered.columns == docs.columns
+    assert result(inf.embed(ordered, spec)) == result(inf.embed(docs, spec))

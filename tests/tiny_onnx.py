@@ -1,7 +1,8 @@
 """Write a tiny ONNX graph by hand (the ``onnx`` package is not needed).
 
 dense = [sum of attended ids, number of attended tokens], weights = ids * mask / 10,
-or only the first output with ``sparse=False``; ``logit=True`` gives one number per row.
+or only the first output with ``sparse=False``; ``logit=True`` gives one number per row and
+``hidden=True`` one vector per token (its first entry: token id plus the sum of attended ids).
 """
 
 
@@ -39,7 +40,7 @@ def value(tag, name, elem, dims):
     return chunk(tag, chunk(1, name) + chunk(2, chunk(1, number(1, elem) + chunk(2, shape))))
 
 
-def tiny_model(path, sparse=True, logit=False):
+def tiny_model(path, sparse=True, logit=False, hidden=False):
     nodes = [
         node("Cast", ["input_ids"], ["x"], to=1),
         node("Cast", ["attention_mask"], ["m"], to=1),
@@ -47,7 +48,10 @@ def tiny_model(path, sparse=True, logit=False):
         node("ReduceSum", ["xm"], ["s"], axes=[1], keepdims=1),
         node("ReduceSum", ["m"], ["n"], axes=[1], keepdims=1),
     ]
-    if logit:
+    if hidden:
+        nodes += [node("Add", ["x", "s"], ["xs"]), node("Unsqueeze", ["xs"], ["hidden"], axes=[2])]
+        outputs = [value(12, "hidden", 1, ["b", "l", "h"])]
+    elif logit:
         nodes.append(node("Div", ["s", "n"], ["logits"]))
         outputs = [value(12, "logits", 1, ["b", "one"])]
     else:
