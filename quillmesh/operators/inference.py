@@ -351,9 +351,13 @@ def dedup_infer(
     row_id: str,
     results: list[str],
     model: str | None = None,
+    keep_text: bool = False,
 ) -> DataFrame:
     """Run ``infer`` once per distinct (model, text) and join the results back to every row.
 
+    The rows meet their results by a hash of the text; the text itself stays behind unless
+    ``keep_text`` asks for it, so it is not shuffled a second time.
+
     Copies of one text may be a third of the table: the distinct step counts them with partial
     aggregation, and the join back splits such texts (see ``spread_lookup``).
     """
@@ -361,7 +365,9 @@ def dedup_infer(
     key = F.sha2(F.concat_ws("\u0001", *names), 256)
     distinct = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_key", key)
     answers = infer(distinct).select("_key", "_copies", *results)
-    joined = spread_lookup(df.withColumn("_key", key), answers, "_key", "_copies", [row_id], counts=distinct)
+    rows = df.withColumn("_key", key)
+    rows = rows if keep_text else rows.drop(text)
+    joined = spread_lookup(rows, answers, "_key", "_copies", [row_id], counts=distinct)
     return joined.drop("_key", "_copies")
 
 

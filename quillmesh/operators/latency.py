@@ -17,7 +17,7 @@ REST_TIMEOUT = 15.0
 WARMUP_RUNS = 5
 LABELS = ("model_type", "model_name", "model_cls")
 # The bracketing sketch is off by at most 1 / ACCURACY of the rows; brackets are three times as wide.
-ACCURACY = 10_000
+ACCURACY = 50_000
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float] = QUANTILES) -> DataFrame:

@@ -116,6 +116,9 @@ def test_dedup_runs_once_per_text_and_keeps_every_row(spark):
     out = inf.dedup_infer(df, infer, "text", "id", ["dense_embed", "sparse_embed"])
     assert result(out) == result(inf.embed(df, RunnerSpec("embed", "HashedEmbedRunner")))
     assert seen == [21]
+    assert "text" not in out.columns
+    kept = inf.dedup_infer(df, infer, "text", "id", ["dense_embed"], keep_text=True)
+    assert {(r.id, r.text) for r in kept.collect()} == set(rows)
 
 
 def test_python_rewrite_runner_and_registry_types(spark):
