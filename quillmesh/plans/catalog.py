@@ -22,7 +22,7 @@ from quillmesh.plans import retrieval
 from quillmesh.plans.serving import serve_embed, serve_rerank, serve_rewrite
 from quillmesh.session import scratch_path
 from quillmesh.sources.sinks import write_results
-from quillmesh.sources.tables import read_results, retrieval_dataset, spread_out, stream_table, table
+from quillmesh.sources.tables import read_results, retrieval_dataset, spread_out, spread_target, stream_table, table
 from quillmesh.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,9 +219,8 @@ def lexical_weights(spark, sf):
 @query
 def id_to_token(spark, sf):
     docs = _docs(spark, sf)
-    vocab = lex.fit_lexical(docs)
-    # Every 9th id is missing from the vocabulary and must be skipped.
-    known = vocab.where(F.pmod("token_id", F.lit(9)) != 0)
+    # Tokens of a single document are not in this vocabulary and must be skipped.
+    known = lex.fit_lexical(docs).where(F.col("df") >= 2)
     postings = lex.long_form(fx.position_weights(docs, "doc_id"), "doc_id", "w")
     named = lex.id_to_token(postings, known, "doc_id")
     return named.select("doc_id", "token", r6("weight").alias("weight"))
@@ -405,27 +404,30 @@ def compare_sparse_long(spark, sf):
 
 
 def _scores(spark, sf):
-    scores = _reranked(spark, sf).select(F.col("request_id").alias("sample_id"), "pos", r6("score").alias("score"))
-    return fx.golden_scores(scores)
+    return _reranked(spark, sf).select(
+        F.col("request_id").alias("sample_id"), "pos", "doc_id", r6("score").alias("score")
+    )
+
+
+def _partial_golden(spark, sf):
+    return fx.golden_scores(_scores(spark, sf), table(spark, sf, "labels"))
 
 
 @query
 def compare_scores(spark, sf):
-    rows = ev.compare_scores(*_scores(spark, sf))
+    rows = ev.compare_scores(_scores(spark, sf), _partial_golden(spark, sf))
     return rows.select("sample_id", *[r6(m).alias(m) for m in ev.SCORE_METRICS], "score_count")
 
 
 @query
 def alignment_report(spark, sf):
-    return ev.alignment_report(*_scores(spark, sf), ["sample_id", "pos"])
+    return ev.alignment_report(_scores(spark, sf), _partial_golden(spark, sf), ["sample_id", "pos"])
 
 
 def _summary(spark, sf):
-    dense = ev.compare_dense(fx.dense_pairs(_embeddings(spark, sf)), "a", "b").where(~F.col("shape_mismatch"))
-    # A zero vector has no cosine; such samples would turn the whole summary into NaN.
-    dense = dense.where(~F.isnan("cosine_similarity"))
-    sparse = ev.compare_sparse(fx.sparse_pairs(_docs(spark, sf)), "a", "b").where(F.col("common_keys_count") > 0)
-    scores = ev.compare_scores(*_scores(spark, sf)).where(~F.isnan("correlation"))
+    dense = ev.compare_dense(fx.dense_pairs(_embeddings(spark, sf), faults=False), "a", "b")
+    sparse = ev.compare_sparse(fx.sparse_pairs(_docs(spark, sf), lossy=False), "a", "b")
+    scores = ev.compare_scores(_scores(spark, sf), fx.golden_scores(_scores(spark, sf)))
     parts = [
         ev.summarize(dense, ev.DENSE_METRICS, "dense"),
         ev.summarize(sparse, ev.SPARSE_METRICS, "sparse"),
@@ -444,7 +446,7 @@ def eval_summary(spark, sf):
 
 @query
 def eval_summary_raw(spark, sf):
-    """Nothing filtered: NaN and infinity pass through."""
+    """Zero vectors and samples without common tokens: NaN and infinity pass through."""
     dense = ev.compare_dense(fx.dense_pairs(_embeddings(spark, sf)), "a", "b")
     sparse = ev.compare_sparse(fx.sparse_pairs(_docs(spark, sf)), "a", "b")
     rows = ev.summarize(dense, ev.DENSE_METRICS, "dense").unionByName(ev.summarize(sparse, ev.SPARSE_METRICS, "sparse"))
@@ -555,7 +557,9 @@ def _run_append(spark, df, name):
 @query
 def embed_stream(spark, sf):
     docs = _stream_docs(spark, sf)
-    rows = _run_append(spark, jobs.embed_stream(fx.embed_requests(docs), default_registry()), "embed-stream")
+    spread = spread_target(table(spark, sf, "documents"))
+    answers = jobs.embed_stream(fx.embed_requests(docs), default_registry(), spread)
+    rows = _run_append(spark, answers, "embed-stream")
     return rows.select(
         "request_id", "model", big(F.size("dense_embed")).alias("n_dense"), big(F.size("sparse_embed")).alias("n_sparse"),
         big("status").alias("status"), "error",
@@ -566,7 +570,7 @@ def embed_stream(spark, sf):
 def rerank_stream(spark, sf):
     docs = _stream_docs(spark, sf)
     requests = fx.rerank_requests_by_document(docs, _queries(spark, sf))
-    rows = _run_append(spark, jobs.rerank_stream(requests, default_registry()), "rerank-stream")
+    rows = _run_append(spark, jobs.rerank_stream(requests, default_registry(), spread_target(table(spark, sf, "documents"))), "rerank-stream")
     return rows.select("request_id", big("pos").alias("pos"), r6("score").alias("score"), big("status").alias("status"), "error")
 
 

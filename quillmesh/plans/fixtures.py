@@ -133,10 +133,7 @@ def occurrence_weights(docs: DataFrame) -> DataFrame:
     )
     rows = docs.select("doc_id", ids.alias("ids"))
     weights = F.transform("ids", lambda _, i: (F.pmod(i * 7 + F.col("doc_id"), F.lit(11)) - 3) / F.lit(4.0))
-    # Every 40th document keeps its special ids only.
-    only_special = F.pmod("doc_id", F.lit(40)) == 7
-    kept = F.when(only_special, F.filter("ids", lambda x: x < 4)).otherwise(F.col("ids"))
-    return rows.withColumn("ids", kept).withColumn("weights", weights)
+    return rows.withColumn("weights", weights)
 
 
 def colbert_vectors(embeddings: DataFrame) -> DataFrame:
@@ -148,16 +145,17 @@ def colbert_vectors(embeddings: DataFrame) -> DataFrame:
     return embeddings.select("vec_id", vecs.alias("vecs"), mask.alias("mask"))
 
 
-def dense_pairs(embeddings: DataFrame) -> DataFrame:
-    """Vectors and copies cut to two decimals; some zero, shorter or missing."""
+def dense_pairs(embeddings: DataFrame, faults: bool = True) -> DataFrame:
+    """Vectors and copies cut to two decimals; with ``faults`` some are zero, shorter or missing."""
     a = F.col("embedding").cast("array<double>")
-    b = F.transform(a, lambda x: F.floor(x * 100) / F.lit(100.0))
-    copy = (
-        F.when(F.pmod("vec_id", F.lit(50)) == 0, F.transform(a, lambda x: x * 0.0))
-        .when(F.pmod("vec_id", F.lit(60)) == 7, F.slice(b, 1, 63))
-        .when(F.pmod("vec_id", F.lit(70)) == 9, F.lit(None))
-        .otherwise(b)
-    )
+    copy = F.transform(a, lambda x: F.floor(x * 100) / F.lit(100.0))
+    if faults:
+        copy = (
+            F.when(F.pmod("vec_id", F.lit(50)) == 0, F.transform(a, lambda x: x * 0.0))
+            .when(F.pmod("vec_id", F.lit(60)) == 7, F.slice(copy, 1, 63))
+            .when(F.pmod("vec_id", F.lit(70)) == 9, F.lit(None))
+            .otherwise(copy)
+        )
     return embeddings.select(F.col("vec_id").alias("sample_id"), a.alias("a"), copy.alias("b"))
 
 
@@ -168,30 +166,27 @@ def position_weights(df: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("weights", weights).select(*keys, token_weights(F.col("ids"), F.col("weights")).alias("w"))
 
 
-def sparse_pairs(docs: DataFrame) -> DataFrame:
-    """Sparse maps and copies with rounded weights and lost tokens; some disjoint, some empty."""
-    i = F.col("doc_id")
-    disjoint, empty = F.pmod(i, F.lit(97)) == 1, F.pmod(i, F.lit(89)) == 3
-    gen = F.map_filter("w", lambda k, _: ~empty & (~disjoint | (F.pmod(k, F.lit(5)) != 0)))
-    kept = F.map_filter("w", lambda k, _: ~empty & ((F.pmod(k, F.lit(5)) != 0) != disjoint))
-    ref = F.transform_values(kept, lambda _, v: F.floor(v * 100) / F.lit(100.0))
-    return position_weights(docs, "doc_id").select(i.alias("sample_id"), gen.alias("a"), ref.alias("b"))
+def sparse_pairs(docs: DataFrame, lossy: bool = True) -> DataFrame:
+    """Sparse maps and copies with two decimals.
+
+    With ``lossy`` one side lacks late tokens and the other the first ones, so that short texts have
+    nothing in common.
+    """
+    gen = ref = F.col("w")
+    if lossy:
+        gen = F.map_filter("w", lambda _, v: v >= 0.3)
+        ref = F.map_filter("w", lambda _, v: v <= 0.9)
+    ref = F.transform_values(ref, lambda _, v: F.floor(v * 100) / F.lit(100.0))
+    return position_weights(docs, "doc_id").select(F.col("doc_id").alias("sample_id"), gen.alias("a"), ref.alias("b"))
 
 
-def golden_scores(scores: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(sample_id, pos, score)`` and a golden copy with two decimals.
+def golden_scores(scores: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """A golden copy of ``(sample_id, pos, doc_id, score)`` with two decimals.
 
-    By ``sample_id % 10``: 1 one score, 2 constant scores, 3 the golden side is shorter, 4 the
-    golden side has nothing.
+    With ``labels`` only labelled documents have one, so samples have fewer, one or no golden scores.
     """
-    kind = F.pmod("sample_id", F.lit(10))
-    generated = scores.where((kind != 1) | (F.col("pos") == 0)).withColumn(
-        "score", F.when(kind == 2, F.lit(0.5)).otherwise(F.col("score"))
-    )
-    golden = generated.where(((kind != 3) | (F.col("pos") < 5)) & (kind != 4)).withColumn(
-        "score", F.floor(F.col("score") * 100) / F.lit(100.0)
-    )
-    return generated, golden
+    known = scores if labels is None else scores.join(labels.select("doc_id"), "doc_id", "left_semi")
+    return known.withColumn("score", F.floor(F.col("score") * 100) / F.lit(100.0))
 
 
 def tensors(embeddings: DataFrame) -> DataFrame:

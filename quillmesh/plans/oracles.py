@@ -272,8 +272,7 @@ oracle(
 oracle(
     "token_weights_max",
     f"""
-WITH l AS (SELECT doc_id, CASE WHEN doc_id % 40 = 7 THEN [0, 2, 1]
-             ELSE list_concat([0], {ids('text')}, [2, 1]) END AS x FROM documents),
+WITH l AS (SELECT doc_id, list_concat([0], {ids('text')}, [2, 1]) AS x FROM documents),
 o AS (SELECT doc_id, unnest(x) AS token_id, unnest(range(len(x))) AS i FROM l),
 w AS (SELECT doc_id, token_id, max(((i * 7 + doc_id) % 11 - 3) / 4.0) AS weight FROM o
       WHERE token_id > 3 AND ((i * 7 + doc_id) % 11 - 3) > 0 GROUP BY ALL)
@@ -289,8 +288,9 @@ FROM doc_first JOIN vocab USING (token)""",
 
 oracle(
     "id_to_token",
-    cte(OCCURRENCES)
-    + f"SELECT doc_id, token, {r6('1.0 / (1.0 + pos / 512.0)')} AS weight FROM doc_first WHERE {tid('token')} % 9 <> 0",
+    cte(OCCURRENCES, VOCAB)
+    + f"""SELECT doc_id, token, {r6('1.0 / (1.0 + pos / 512.0)')} AS weight
+FROM doc_first JOIN vocab USING (token) WHERE df >= 2""",
 )
 
 oracle(
@@ -497,12 +497,12 @@ def rounded(names: tuple[str, ...]) -> str:
     return ", ".join(f"{r6(n)} AS {n}" for n in names)
 
 
-DENSE_PAIRS = """
-vectors AS (SELECT vec_id AS sample_id, embedding::DOUBLE[] AS a,
-    CASE WHEN vec_id % 50 = 0 THEN list_transform(embedding::DOUBLE[], lambda x: x * 0.0::DOUBLE)
-         WHEN vec_id % 60 = 7 THEN (list_transform(embedding::DOUBLE[], lambda x: floor(x * 100) / 100.0::DOUBLE))[1:63]
-         WHEN vec_id % 70 = 9 THEN NULL
-         ELSE list_transform(embedding::DOUBLE[], lambda x: floor(x * 100) / 100.0::DOUBLE) END AS b FROM embeddings),
+CUT = "list_transform(embedding::DOUBLE[], lambda x: floor(x * 100) / 100.0::DOUBLE)"
+
+
+def dense_pairs(copy: str) -> str:
+    return f"""
+vectors AS (SELECT vec_id AS sample_id, embedding::DOUBLE[] AS a, {copy} AS b FROM embeddings),
 sums2 AS (SELECT sample_id, len(a) <> len(b) AS shape_mismatch, len(a) AS n,
     list_sum(list_transform(a, lambda x, i: x * b[i])) AS ab, list_sum(list_transform(a, lambda x: x * x)) AS aa,
     list_sum(list_transform(b, lambda x: x * x)) AS bb,
@@ -514,16 +514,23 @@ dense_metrics AS (SELECT sample_id, shape_mismatch,
     CASE WHEN NOT shape_mismatch THEN abs(sqrt(aa) - sqrt(bb)) END AS l2_norm_difference,
     CASE WHEN NOT shape_mismatch THEN sq / n END AS mse, CASE WHEN NOT shape_mismatch THEN ad / n END AS mae FROM sums2)"""
 
+
+CLEAN_DENSE_PAIRS = dense_pairs(CUT)
+DENSE_PAIRS = dense_pairs(
+    f"""CASE WHEN vec_id % 50 = 0 THEN list_transform(embedding::DOUBLE[], lambda x: x * 0.0::DOUBLE)
+      WHEN vec_id % 60 = 7 THEN ({CUT})[1:63] WHEN vec_id % 70 = 9 THEN NULL ELSE {CUT} END"""
+)
+
 oracle(
     "compare_dense",
     cte(DENSE_PAIRS) + f"SELECT sample_id, shape_mismatch, {rounded(DENSE_METRICS)} FROM dense_metrics",
 )
 
-SPARSE_PAIRS = f"""
-cells AS (SELECT doc_id AS sample_id, {tid('token')} AS k, 1.0::DOUBLE / (1.0 + pos / 512.0) AS w FROM doc_first
-  WHERE doc_id % 89 <> 3),
-gen AS (SELECT * FROM cells WHERE sample_id % 97 <> 1 OR k % 5 <> 0),
-ref AS (SELECT sample_id, k, floor(w * 100) / 100.0::DOUBLE AS w FROM cells WHERE (k % 5 <> 0) <> (sample_id % 97 = 1)),
+def sparse_pairs(in_gen: str, in_ref: str) -> str:
+    return f"""
+cells AS (SELECT doc_id AS sample_id, {tid('token')} AS k, 1.0::DOUBLE / (1.0 + pos / 512.0) AS w FROM doc_first),
+gen AS (SELECT * FROM cells WHERE {in_gen}),
+ref AS (SELECT sample_id, k, floor(w * 100) / 100.0::DOUBLE AS w FROM cells WHERE {in_ref}),
 merged AS (SELECT coalesce(g.sample_id, r.sample_id) AS sample_id, g.w AS g, r.w AS r
   FROM gen g FULL JOIN ref r ON g.sample_id = r.sample_id AND g.k = r.k),
 sums3 AS (SELECT sample_id, count(*) AS u, count(g - r) AS common_keys_count, count(g) AS generated_keys_count,
@@ -534,6 +541,10 @@ sparse_metrics AS (SELECT d.doc_id AS sample_id, coalesce(common_keys_count, 0)
     coalesce(m2, 'inf'::DOUBLE) AS value_mse, coalesce(m1, 'inf'::DOUBLE) AS value_mae
   FROM documents d LEFT JOIN sums3 s ON s.sample_id = d.doc_id)"""
 
+
+CLEAN_SPARSE_PAIRS = sparse_pairs("true", "true")
+SPARSE_PAIRS = sparse_pairs("w >= 0.3", "w <= 0.9")
+
 for _name in ("compare_sparse", "compare_sparse_long"):
     oracle(
         _name,
@@ -542,12 +553,10 @@ for _name in ("compare_sparse", "compare_sparse_long"):
 FROM sparse_metrics""",
     )
 
-SCORE_PAIRS = f"""
-generated AS (SELECT request_id AS sample_id, pos,
-    CASE WHEN request_id % 10 = 2 THEN 0.5::DOUBLE ELSE {r6('score')} END AS score FROM scored
-  WHERE request_id % 10 <> 1 OR pos = 0),
-golden AS (SELECT sample_id, pos, floor(score * 100) / 100.0::DOUBLE AS score FROM generated
-  WHERE (sample_id % 10 <> 3 OR pos < 5) AND sample_id % 10 <> 4),
+def score_pairs(in_golden: str) -> str:
+    return f"""
+generated AS (SELECT request_id AS sample_id, pos, doc_id, {r6('score')} AS score FROM scored),
+golden AS (SELECT sample_id, pos, floor(score * 100) / 100.0::DOUBLE AS score FROM generated WHERE {in_golden}),
 score_sums AS (SELECT sample_id, avg((g.score - r.score) * (g.score - r.score)) AS mse, avg(abs(g.score - r.score)) AS mae,
     count(*) AS score_count, covar_pop(g.score, r.score) AS c, stddev_pop(g.score) AS sg, stddev_pop(r.score) AS sr,
     min(g.score) = max(g.score) OR min(r.score) = max(r.score) AS flat
@@ -556,6 +565,10 @@ score_metrics AS (SELECT sample_id, mse, mae, score_count,
     CASE WHEN score_count = 1 THEN 1.0 WHEN flat OR sg * sr = 0 THEN 'nan'::DOUBLE
          ELSE greatest(-1.0, least(1.0, c / (sg * sr))) END AS correlation FROM score_sums)"""
 
+
+CLEAN_SCORE_PAIRS = score_pairs("true")
+SCORE_PAIRS = score_pairs("doc_id IN (SELECT doc_id FROM labels)")
+
 oracle(
     "compare_scores",
     cte(OCCURRENCES, PAIRS, HEAD, SCORE_PAIRS)
@@ -591,18 +604,15 @@ SUMMARY = cte(
     OCCURRENCES,
     PAIRS,
     HEAD,
-    DENSE_PAIRS,
-    SPARSE_PAIRS,
-    SCORE_PAIRS,
-    "dense_kept AS (SELECT * FROM dense_metrics WHERE NOT shape_mismatch AND NOT isnan(cosine_similarity))",
-    "sparse_kept AS (SELECT * FROM sparse_metrics WHERE common_keys_count > 0)",
-    "score_kept AS (SELECT * FROM score_metrics WHERE NOT isnan(correlation))",
+    CLEAN_DENSE_PAIRS,
+    CLEAN_SPARSE_PAIRS,
+    CLEAN_SCORE_PAIRS,
     "summary AS ("
     + "\nUNION ALL\n".join(
         [
-            summary("dense", DENSE_METRICS, "dense_kept"),
-            summary("sparse", SPARSE_METRICS, "sparse_kept"),
-            summary("rerank", SCORE_METRICS, "score_kept"),
+            summary("dense", DENSE_METRICS, "dense_metrics"),
+            summary("sparse", SPARSE_METRICS, "sparse_metrics"),
+            summary("rerank", SCORE_METRICS, "score_metrics"),
         ]
     )
     + ")",

@@ -16,14 +16,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_target(df: DataFrame) -> int | None:
+    """Number of cores, if the table is stored in fewer pieces than that."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return cores if df.rdd.getNumPartitions() < cores else None
+
+
 def spread_out(df: DataFrame) -> DataFrame:
     """Use all cores for costly per-row work on a table that is stored in too few pieces.
 
     A table with at least as many scan partitions as there are cores is returned as it is, so
     large tables are never shuffled for this.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = spread_target(df)
+    return df.repartition(cores) if cores else df
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, schema: T.StructType | str, **options: str) -> DataFrame:

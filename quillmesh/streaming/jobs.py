@@ -17,19 +17,26 @@ from quillmesh.operators.runners import ModelRegistry
 from quillmesh.plans.serving import serve_embed, serve_rerank, serve_rewrite
 
 
-def embed_stream(requests: DataFrame, registry: ModelRegistry) -> DataFrame:
-    """One answer row per request, results as arrays in input order."""
-    return serve_embed(requests, registry, layout="requests")
+def embed_stream(requests: DataFrame, registry: ModelRegistry, spread: int | None = None) -> DataFrame:
+    """One answer row per request, results as arrays in input order.
+
+    ``spread`` deals each micro-batch over that many tasks, for arrivals in a few large files.
+    """
+    return serve_embed(_dealt(requests, spread), registry, layout="requests")
 
 
-def rerank_stream(requests: DataFrame, registry: ModelRegistry) -> DataFrame:
+def rerank_stream(requests: DataFrame, registry: ModelRegistry, spread: int | None = None) -> DataFrame:
     """One row per text of a request, with its position."""
-    return serve_rerank(requests, registry)
+    return serve_rerank(_dealt(requests, spread), registry)
 
 
-def rewrite_stream(requests: DataFrame, registry: ModelRegistry) -> DataFrame:
+def rewrite_stream(requests: DataFrame, registry: ModelRegistry, spread: int | None = None) -> DataFrame:
     """One row per dialogue of a request, with its position."""
-    return serve_rewrite(requests, registry)
+    return serve_rewrite(_dealt(requests, spread), registry)
+
+
+def _dealt(requests: DataFrame, spread: int | None) -> DataFrame:
+    return requests.repartition(spread) if spread else requests
 
 
 def metrics_stream(log: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
