@@ -179,6 +179,7 @@ def embed(
     The text column is replaced by the results unless ``keep`` names it. With ``nested`` the column
     holds a list of texts per row and so do the results. Runners that take ids get those of the
     built-in tokeniser, computed in the JVM; the reduction of token weights runs in the JVM too.
+    A NULL text and a row that already has a ``status`` stay without result.
     """
     specs = _specs(models, "embed")
     keep = [c for c in df.columns if c != text] if keep is None else list(keep)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -68,16 +67,24 @@ def spread_join(
     right_id: str,
     key_rows: DataFrame,
     pairs_per_task: int = PAIRS_PER_TASK,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Many-to-many inner join that splits hot keys on both sides into a grid of salts.
 
     ``key_rows`` is ``(on, n_left, n_right)``. A key is hot when it emits more than
-    ``pairs_per_task`` pairs, so the broadcast list has at most (all emitted pairs /
-    ``pairs_per_task``) entries.
+    ``pairs_per_task`` pairs or has more than ``rows_per_task`` rows on a side, so the broadcast list
+    has at most (emitted pairs / ``pairs_per_task`` + rows / ``rows_per_task``) entries. The grid has
+    about as many cells as the pairs need tasks, shaped like the two sides so that the fewest rows
+    are repeated.
     """
-    side = math.sqrt(pairs_per_task)
-    hot = key_rows.where(F.col("n_left").cast("double") * F.col("n_right") > pairs_per_task).select(
-        on, _fan(F.col("n_left"), side).alias("_fl"), _fan(F.col("n_right"), side).alias("_fr")
+    nl, nr = F.col("n_left").cast("double"), F.col("n_right").cast("double")
+    cells = F.greatest(F.ceil(nl * nr / pairs_per_task), F.lit(1))
+    by_shape = F.ceil(F.sqrt(cells * nl / nr))
+    hot = (
+        key_rows.where((nl * nr > pairs_per_task) | (nl > rows_per_task) | (nr > rows_per_task))
+        .withColumn("_fl", F.greatest(by_shape, F.ceil(nl / rows_per_task)).cast("int"))
+        .withColumn("_fr", F.greatest(F.ceil(cells / F.col("_fl")), F.ceil(nr / rows_per_task)).cast("int"))
+        .select(on, "_fl", "_fr")
     )
 
     def dealt(df: DataFrame, row_id: str, own: str, other: str, own_salt: str, other_salt: str) -> DataFrame:

@@ -104,10 +104,10 @@ def test_spread_lookup_splits_hot_keys_exactly(spark, per_task):
     assert sorted((r.id, r.k, r.v) for r in out.collect()) == sorted((r.id, r.k, len(r.k)) for r in left.collect())
 
 
-@pytest.mark.parametrize("pairs_per_task", [4, 50, 10**9])
-def test_spread_join_equals_plain_join(spark, pairs_per_task):
+@pytest.mark.parametrize(("pairs_per_task", "rows_per_task"), [(4, 3), (50, 10**6), (10**9, 5), (10**9, 10**6)])
+def test_spread_join_equals_plain_join(spark, pairs_per_task, rows_per_task):
     a = spark.range(60).select(F.col("id").alias("a"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7).alias("k"))
     b = spark.range(40).select(F.col("id").alias("b"), F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 5).alias("k"))
     rows = a.groupBy("k").agg(F.count(F.lit(1)).alias("n_left")).join(b.groupBy("k").agg(F.count(F.lit(1)).alias("n_right")), "k")
-    out = spread_join(a, b, "k", "a", "b", rows, pairs_per_task)
+    out = spread_join(a, b, "k", "a", "b", rows, pairs_per_task, rows_per_task)
     assert sorted((r.a, r.b) for r in out.collect()) == sorted((r.a, r.b) for r in a.join(b, "k").collect())
