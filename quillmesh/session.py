@@ -53,11 +53,17 @@ def ship_package(spark: SparkSession) -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    A machine-local folder is made only where the setting is absent, as in tests.
+    Without that setting only a local session goes on, as in tests: there one machine runs everything, and one
+    folder serves the whole session. A cluster session without it is an error, as executors would write to
+    disks of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="quillmesh-")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = getattr(spark.sparkContext, "_quillmesh_scratch", None) or tempfile.mkdtemp(prefix="quillmesh-")
+        spark.sparkContext._quillmesh_scratch = base
     return f"{base.rstrip('/')}/quillmesh/{name}-{uuid.uuid4().hex}"
 
 
