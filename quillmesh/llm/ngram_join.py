@@ -6,8 +6,10 @@ Method: signature trees (``sigtree``), with steps before them that bring only do
    ``n - ceil(t n) + k`` tokens. Prefix tokens meet in hash buckets, as packed blocks; a document with fewer
    than ``k - 1`` shared prefix tokens has no partner and stays alone. A token repeated inside a map task is
    settled there and sent once, so no token gathers its documents in one place.
-2. *Clusters.* Distinct sets of the survivors that share a prefix token are hung on the smallest of them;
-   connected components of these edges are the only places where links can be.
+2. *Clusters.* Among the distinct sets of the survivors every token's frequency is counted, in the same packed way.
+   With tokens ordered by rarity a linked pair shares a token within prefixes of ``n - ceil(t n) + 1``; sets that
+   share one are hung on the smallest of them, and connected components of these edges are the only places where
+   links can be. Passages that many documents share come last in the order and bring no strangers together.
 3. *Trees.* Each cluster is searched by a dual traversal of its signature tree. A cluster above ``BLOCK_BYTES``
    is cut into blocks and every pair of blocks is searched, so nothing is capped and no task holds more than
    two blocks. The forest of verified links gives the groups.
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm import sigtree
@@ -179,18 +181,101 @@ def _sets(size: int):
     return run
 
 
-def _prefixes(percent: int):
+def _spread(buckets: int):
+    """All tokens of the classes, packed by hash bucket."""
+    names = ["bucket", "tokens", "keys"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, keys, held = [], [], 0
+
+        def flush():
+            nonlocal held
+            if held:
+                tok, key = np.concatenate(tokens), np.concatenate(keys)
+                bucket = (mix(tok) % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                tok, key, bucket = tok[order], key[order], bucket[order]
+                at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                ends = np.append(at[1:], len(tok))
+                packed = [pa.array([x[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()) for x in (tok, key)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), *packed], names=names)
+            held = 0
+            tokens.clear()
+            keys.clear()
+
         for batch in batches:
             for node, raw in zip(batch.column("node").to_pylist(), batch.column("tokens").to_pylist()):
-                tokens = np.frombuffer(raw, np.int64)
-                n = len(tokens)
-                tokens = tokens[: n - (-(-percent * n // 100)) + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.full(len(tokens), node, np.int64))], names=["token", "node"])
+                tokens.append(np.frombuffer(raw, np.uint64))
+                keys.append(np.full(len(tokens[-1]), node, np.int64))
+                held += len(tokens[-1])
+                if held >= FLUSH:
+                    yield from flush()
+        yield from flush()
+
+    return run
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket: per class the tokens that other classes have too, each with its frequency (255 at most)."""
+    held, now = [], None
+
+    def flush():
+        if not held:
+            return
+        tok, key = (np.concatenate([np.frombuffer(x[i], t) for x in held]) for i, t in enumerate((np.uint64, np.int64)))
+        held.clear()
+        order = np.argsort(tok)
+        tok, key = tok[order], key[order]
+        at = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
+        length = np.diff(np.append(at, len(tok)))
+        often = np.repeat(length, length)
+        tok, key, often = tok[often > 1], key[often > 1], np.minimum(often[often > 1], 255).astype(np.uint8)
+        order = np.argsort(key, kind="stable")
+        tok, key, often = tok[order], key[order], often[order]
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        ends = np.append(at[1:], len(key))
+        packed = [pa.array([x[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()) for x in (tok, often)]
+        yield pa.RecordBatch.from_arrays([pa.array(key[at]), *packed], names=["node", "shared", "often"])
+
+    for batch in batches:
+        for bucket, *block in zip(*(batch.column(c).to_pylist() for c in ("bucket", "tokens", "keys"))):
+            if bucket != now:
+                yield from flush()
+                now = bucket
+            held.append(block)
+    yield from flush()
+
+
+def _rare_prefixes(percent: int):
+    """The shared tokens within a class's prefix, tokens ordered by (frequency, hash); none if too few are shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, nodes = [], []
+            for node, n, shared, often in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "shared", "often"))):
+                tok, count = np.frombuffer(b"".join(shared), np.uint64), np.frombuffer(b"".join(often), np.uint8)
+                # tokens of this class alone come first in the order and fill the prefix's beginning
+                length = (n - (-(-percent * n // 100)) + 1) - (n - len(tok))
+                if length > 0:
+                    tokens.append(tok[np.lexsort((tok, count))[:length]])
+                    nodes.append(np.full(len(tokens[-1]), node, np.int64))
+            if tokens:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes))], names=["token", "node"])
 
     return run
 
 
+def _postings(classes: DataFrame, percent: int) -> DataFrame:
+    """``token, node``: the prefix tokens of every class, in order of rarity among the classes."""
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = classes.select("node", "tokens").mapInArrow(_spread(16 * parts), "bucket int, tokens binary, keys binary")
+    found = spread.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_frequencies, "node bigint, shared binary, often binary")
+    lists = found.groupBy("node").agg(F.collect_list(F.struct("shared", "often")).alias("parts"))
+    lists = lists.select("node", F.col("parts.shared").alias("shared"), F.col("parts.often").alias("often"))
+    sized = lists.join(classes.select("node", (F.length("tokens") / 8).cast("bigint").alias("n")), "node")
+    return sized.mapInArrow(_rare_prefixes(percent), "token bigint, node bigint")
+
+
 def _search(percent: int):
     """Rows sorted by (cluster, i, j): one tree per group; i = j searches a block, i < j two blocks."""
 
@@ -198,8 +283,9 @@ def _search(percent: int):
         now, nodes, sets = None, [], []
 
         def flush():
-            found = sigtree.join(sets, percent, sigtree.Links(len(sets)))
-            pairs = [(nodes[x], nodes[y]) for x, y in found]
+            links = sigtree.Links(len(sets))
+            sigtree.join(sets, percent, links)
+            pairs = [(node, nodes[root]) for i, node in enumerate(nodes) if (root := links.find(i)) != i]
             nodes.clear()
             sets.clear()
             if pairs:
@@ -226,10 +312,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     joined = docs.join(keys, F.coalesce("doc_id", F.lit(0)) == F.col("key"), "left").select("doc_id", "text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
     sets = materialize(joined.mapInArrow(_sets(size), "doc_id bigint, n_shingles bigint, class binary, tokens binary"), "sets")
 
-    node = F.coalesce(F.min("doc_id"), -F.abs(F.xxhash64("class")) - 1).alias("node")
-    classes = materialize(sets.where("class is not null").groupBy("class").agg(node, F.min("doc_id").alias("label"), F.any_value("tokens").alias("tokens")), "classes")
+    grouped = sets.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("label"), F.any_value("tokens").alias("tokens"))
+    # a class is named by its smallest id; where ids are null or stand for several texts, by a negative hash
+    place = F.row_number().over(Window.partitionBy("label").orderBy("class"))
+    node = F.when(F.col("label").isNotNull() & (place == 1), F.col("label")).otherwise(-F.abs(F.shiftright(F.xxhash64("class"), 1)) - 1)
+    classes = materialize(grouped.withColumn("node", node), "classes")
 
-    postings = classes.select("node", "tokens").mapInArrow(_prefixes(percent), "token bigint, node bigint")
+    postings = materialize(_postings(classes, percent), "postings")
     hubs = postings.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("token", "hub")
     edges = postings.join(hubs, "token").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = materialize(components(edges).withColumnRenamed("component", "cluster"), "clusters")
