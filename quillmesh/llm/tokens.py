@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 
 #: Word encodings that one Python worker keeps; when full it starts afresh.
-CACHE_WORDS = 400_000
-#: White space other than single blanks and line ends between other characters: such a text is encoded in one piece.
-_IRREGULAR = re.compile(r"\s\s|[^\S \n]|[\x1c-\x1f\x85]|^\s|\s$")
+CACHE_WORDS = 700_000
+_WHITE = re.compile(r"[\s\x1c-\x1f\x85]")
 _loaded: dict[str, "Encoder"] = {}
 
 
@@ -37,26 +37,29 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
 
     def _raw(self, texts: Sequence[str]) -> list[bytes]:
-        import numpy as np
-
         found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if _IRREGULAR.search(text):
-            return self._raw([text])[0]
         words = text.replace("\n", " \n").split(" ")
         # the first word has no blank before it; a mark keeps it apart from the same word after a blank
-        words[0] = "\0" + words[0]
+        words[0] = " " + words[0]
         cache = self.cache
-        new = [w for w in set(words) if w not in cache]
+        new = set(words).difference(cache)
         if new:
+            plain = []
+            for word in new:
+                marked = word[:1] in (" ", "\n")
+                own = word[1:] if marked else word
+                if not own or _WHITE.search(own):
+                    # white space other than single blanks and line ends; such words are never kept
+                    return self._raw([text])[0]
+                plain.append(own if word[0] == " " else word if marked else " " + word)
             if len(cache) > CACHE_WORDS:
                 cache.clear()
-                new = list(set(words))
-            plain = [w[1:] if w is words[0] or w[0] == "\0" else w if w[0] == "\n" else " " + w for w in new]
+                return self.encode(text)
             cache.update(zip(new, self._raw(plain)))
         return b"".join(map(cache.__getitem__, words))
 
