@@ -199,7 +199,7 @@ def fingerprint_pairs(docs: DataFrame, low: float = LOW, high: float = HIGH) ->
     places = F.when(F.col("doc_id").eqNullSafe(first), F.array(own, copy)).otherwise(F.array(own))
     placed = dealt.withColumn("place", F.explode(places)).select("place.bucket", "place.extra", "doc_id", "text")
     return (
-        placed.repartitionByRange(len(bounds) + 1, "bucket")
+        placed.repartitionById(len(bounds) + 1, F.col("bucket"))
         .sortWithinPartitions("bucket", "extra", F.col("doc_id").asc_nulls_first(), "text")
         .mapInArrow(
             _compare(sent),

@@ -68,7 +68,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = bucket_bounds(docs, "doc_id", buckets)
     dealt = docs.withColumn("bucket", bucket_of(F.col("doc_id"), bounds))
-    dealt = dealt.repartitionByRange(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "text")
+    dealt = dealt.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "text")
     (
         dealt.mapInArrow(_encode(tokenizer, end_id), SCHEMA)
         .write.option("orc.compress", "zstd")

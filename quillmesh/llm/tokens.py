@@ -35,6 +35,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
         self.cache: dict[str, bytes] = {}
+        # some vocabularies drop white space and lower letters; the words of such a text need no marks
+        self.blind = self._raw(["\nThe end"]) == self._raw(["the END"])
 
     def _raw(self, texts: Sequence[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
@@ -43,20 +45,25 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        words = text.replace("\n", " \n").split(" ")
+        if self.blind:
+            # full lowering is the vocabulary's own on ASCII; elsewhere it is left to the tokenizer
+            words = (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
+        else:
+            words = text.replace("\n", " \n").split(" ")
         # the first word has no blank before it; a mark keeps it apart from the same word after a blank
-        words[0] = " " + words[0]
+        if not self.blind:
+            words[0] = " " + words[0]
         cache = self.cache
         new = set(words).difference(cache)
         if new:
             plain = []
             for word in new:
-                marked = word[:1] in (" ", "\n")
+                marked = not self.blind and word[:1] in (" ", "\n")
                 own = word[1:] if marked else word
                 if not own or _WHITE.search(own):
                     # white space other than single blanks and line ends; such words are never kept
                     return self._raw([text])[0]
-                plain.append(own if word[0] == " " else word if marked else " " + word)
+                plain.append(own if self.blind or word[0] == " " else word if marked else " " + word)
             if len(cache) > CACHE_WORDS:
                 cache.clear()
                 return self.encode(text)
