@@ -60,6 +60,11 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def _mark(role: Column) -> Column:
+    """An escaped role; the mark's closing bracket cannot be part of it either."""
+    return F.replace(escape(role), F.lit("]"), F.lit("&#93;"))
+
+
 def _machine(roles: Column, template: Template) -> Column:
     """``struct(state, at, broken)`` after all roles; a broken order leaves the state as it is."""
     table = F.create_map(*[F.lit(x) for s, row in template.moves.items() for r, t in row.items() for x in (f"{s}\n{r}", t)])
@@ -90,7 +95,7 @@ def format_conversations(turns: DataFrame, template: Template = LLM_CHAT) -> Dat
     def segments(t: Column) -> Column:
         plain = F.lit(False)
         return F.array(
-            F.struct(F.concat(F.lit(template.head), escape(t["role"]), F.lit(template.head_end)).alias("text"), plain.alias("loss")),
+            F.struct(F.concat(F.lit(template.head), _mark(t["role"]), F.lit(template.head_end)).alias("text"), plain.alias("loss")),
             F.struct(escape(t["text"]).alias("text"), t["role"].isin(*template.loss_roles).alias("loss")),
             F.struct(F.lit(template.tail).alias("text"), plain.alias("loss")),
         )
@@ -115,7 +120,7 @@ def read_back(text: Column, template: Template = LLM_CHAT) -> Column:
         inner = F.substring(x, F.lit(len(template.head) + 1), F.length(x))
         at = F.instr(inner, template.head_end)
         return F.struct(
-            unescape(F.substring(inner, F.lit(1), at - 1)).alias("role"),
+            unescape(F.replace(F.substring(inner, F.lit(1), at - 1), F.lit("&#93;"), F.lit("]"))).alias("role"),
             unescape(F.substring(inner, at + len(template.head_end), F.length(inner))).alias("text"),
         )
 
