@@ -23,12 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.wordhash import ALNUM, Words, slices
-from quillmesh.session import ship_package
+from quillmesh.session import materialize, ship_package
 
 #: Labelled rows used at most, and rows of these that must have a term.
 TRAIN_ROWS, MIN_ROWS = 12_000, 3
 #: Terms that a machine knows at most, and how strongly they must go with the label.
 MAX_TERMS, LEAST_CHI2 = 20_000, 14.0
+_FEATURES = "doc_id bigint, toxic int, terms binary"
 FACTORS, EPOCHS, BATCH, RATE = 4, 20, 32, 0.5
 #: Share of a weight's step by which rarely useful weights shrink towards zero (L1), and of factors (L2).
 SPARSE, DECAY = 0.02, 0.01
@@ -85,30 +86,42 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(term, doc, len(bounds) - 1), -30, 30)))
 
 
-def associated_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task and term: rows with it, and toxic rows with it."""
+    parts: dict[int, list[np.ndarray]] = {0: [], 1: []}
+    for batch in batches:
+        for toxic, raw in zip(batch.column("toxic").to_pylist(), batch.column("terms").to_pylist()):
+            parts[int(toxic == 1)].append(np.frombuffer(raw, np.uint64))
+    for label, own in parts.items():
+        if own:
+            terms, n = np.unique(np.concatenate(own), return_counts=True)
+            n = n.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n), pa.array(n * label)], names=["term", "seen", "marked"])
+
+
+def associated_terms(features: DataFrame, n: int, pos: int) -> np.ndarray:
     """Sorted terms in at least ``MIN_ROWS`` rows whose presence depends on the label (chi-squared, ``LEAST_CHI2``)."""
-    if not rows or labels.min() == labels.max():
-        return np.zeros(0, np.uint64)
-    terms, seen = np.unique(np.concatenate(rows), return_counts=True)
-    often = seen >= MIN_ROWS
-    terms, seen = terms[often], seen[often].astype(float)
-    with_label = np.zeros(len(terms))
-    for row, label in zip(rows, labels):
-        if label:
-            at = np.minimum(np.searchsorted(terms, row), max(len(terms) - 1, 0)) if len(terms) else np.zeros(0, int)
-            with_label[at[terms[at] == row]] += 1
-    n, pos = len(rows), float(labels.sum())
-    cross = n * with_label - seen * pos
-    chi2 = cross**2 * n / np.maximum(seen * (n - seen) * pos * (n - pos), 1)
-    order = np.argsort(-chi2, kind="stable")[:MAX_TERMS]
-    return np.sort(terms[order[chi2[order] >= LEAST_CHI2]])
-
-
-def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
-    """Adaptive-gradient steps on the logistic loss; ``rows`` hold the distinct term hashes of each text."""
+    counts = features.mapInArrow(_count_terms, "term bigint, seen bigint, marked bigint").groupBy("term")
+    counts = counts.agg(F.sum("seen").cast("double").alias("seen"), F.sum("marked").cast("double").alias("marked")).where(F.col("seen") >= MIN_ROWS)
+    cross = n * F.col("marked") - F.col("seen") * pos
+    chi2 = cross * cross * n / F.greatest(F.col("seen") * (n - F.col("seen")) * float(pos * (n - pos)), F.lit(1.0))
+    best = counts.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS)
+    return np.sort(np.array([r["term"] for r in best.collect()], np.int64).view(np.uint64))
+
+
+def _keep_known(terms: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.intersect1d(np.frombuffer(x, np.uint64), terms, assume_unique=True).tobytes() for x in batch.column("terms").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(own, pa.binary())], names=["doc_id", "toxic", "terms"])
+
+    return run
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, seed: int = 7) -> Machine:
+    """Adaptive-gradient steps on the logistic loss; ``rows`` hold the distinct hashes of each text's known ``terms``."""
     n, pos = len(rows), int(labels.sum())
     base = float(np.log((pos + 1) / (n - pos + 9)))
-    terms = associated_terms(rows, labels)
     dice = np.random.default_rng(seed)
     w, v = np.zeros(len(terms)), dice.normal(0, 0.01, (len(terms), FACTORS))
     if not pos or pos == n or not len(terms):
@@ -161,14 +174,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.argsort(doc, kind="stable")
             cuts = np.searchsorted(doc[order], np.arange(b - a + 1))
             packed += [np.unique(hashes[order[i:j]]).tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(packed, pa.binary())], names=["toxic", "terms"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "terms"])
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
     """Fit on at most ``rows`` labelled texts that are not held out.
 
-    The sample of ids is taken from the labels that have a document; at most ``rows`` ids are broadcast and at most as
-    many texts' terms come to the driver.
+    The sample of ids is taken from the labels that have a document; at most ``rows`` ids are broadcast. Terms are counted
+    and chosen in Spark; only ``MAX_TERMS`` hashes and the sample's known terms come to the driver.
     """
     ship_package(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where("label_id is not null and toxic is not null")
@@ -176,10 +189,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     known = known.join(docs.select("doc_id"), F.col("label_id") == F.col("doc_id"), "left_semi")
     sample = known.orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
     chosen = docs.sparkSession.createDataFrame(sample.collect(), sample.schema)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-    found = texts.select("doc_id", "toxic", "text").dropDuplicates(["doc_id"]).orderBy("doc_id")
-    got = found.select("toxic", "text").mapInArrow(_features, "toxic int, terms binary").collect()
-    return fit([np.frombuffer(r["terms"], np.uint64) for r in got], np.array([r["toxic"] for r in got], float))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    found = texts.select("doc_id", "toxic", "text").mapInArrow(_features, _FEATURES).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("terms").alias("terms"))
+    features = materialize(found, "terms")
+    n, pos = features.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    terms = associated_terms(features, n, pos)
+    got = features.mapInArrow(_keep_known(terms), _FEATURES).orderBy("doc_id").collect()
+    return fit([np.frombuffer(r["terms"], np.uint64) for r in got], np.array([r["toxic"] for r in got], float), terms)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:

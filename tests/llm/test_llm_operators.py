@@ -165,7 +165,7 @@ def test_factorization_machine_learns_a_pair():
         has = dice.integers(0, 2, 2).astype(bool)
         rows.append(np.sort(np.array([t for t, h in zip((11, 22), has) if h] + [int(x) for x in dice.choice(np.arange(100, 110), 3, False)], np.uint64)))
         labels.append(float(has.all()))
-    machine = toxicity.fit(rows, np.array(labels))
+    machine = toxicity.fit(rows, np.array(labels), np.unique(np.concatenate(rows)))
     place = {int(t): i for i, t in enumerate(machine.terms)}
     a, b = place[11], place[22]
     z = machine.raw(np.array([a, b, a, b]), np.array([0, 0, 1, 2]), 3)
