@@ -363,7 +363,9 @@ def dedup_infer(
     aggregation, and the join back splits such texts (see ``spread_lookup``).
     """
     names = [c for c in (model, text) if c]
-    key = F.sha2(F.concat_ws("\u0001", *names), 256)
+    # every part says whether it is NULL and how long it is, so no two different rows share a key
+    marked = [F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)) for c in names]
+    key = F.sha2(F.concat(*[F.coalesce(m, F.lit("-")) for m in marked]), 256)
     distinct = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_key", key)
     answers = infer(distinct).select("_key", "_copies", *results)
     rows = df.withColumn("_key", key)
@@ -379,13 +381,14 @@ def fallback_scores(df: DataFrame, key: str = "request_id", score: str = "score"
     The failed requests are found by a pre-aggregated grouping; scores are never windowed per
     request, so a huge request is not pulled into one task.
     """
-    df = materialize(df, "scores")
+    # rows without a request id are one request of their own
+    df = materialize(df, "scores").withColumn("_request", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("-")))
     failed = (
-        df.groupBy(key)
+        df.groupBy("_request")
         .agg(F.count_if(F.col("status") == 500).alias("_failures"), F.count(F.lit(1)).alias("_rows"))
     )
-    joined = spread_lookup(df, failed, key, "_rows", ["pos"])
+    joined = spread_lookup(df, failed, "_request", "_rows", ["pos"])
     lost = F.col("_failures") > 0
     return joined.withColumns(
         {score: F.when(lost, F.lit(fallback)).otherwise(F.col(score)), "fell_back": lost}
-    ).drop("_failures", "_rows")
+    ).drop("_failures", "_rows", "_request")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmesh.operators.skew import small_side
+from quillmesh.operators.skew import same_key_join
 
 # Percentiles, histogram bounds (seconds), time-out, warm-up runs.
 QUANTILES = (0.5, 0.95, 0.99)
@@ -37,7 +37,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: S
     sketch = rows.groupBy(*keys).agg(
         F.percentile_approx(x, [float(p) for p in probes], ACCURACY).alias("_probe")
     )
-    bracketed = rows.select(*keys, value).join(small_side(sketch, rows, keys), keys)
+    bracketed = same_key_join(rows.select(*keys, value), sketch, keys)
     inside = F.lit(False)
     for q in quantiles:
         low, high = at[max(q - margin, 0.0)], at[min(q + margin, 1.0)]
@@ -107,8 +107,8 @@ def latency_stats(
     if approximate:
         joined = base.withColumns({f"q{i}": F.col("_q")[i] for i in range(len(QUANTILES))})
     else:
-        joined = base.join(exact_quantiles(log, keys, latency), keys, "left")
-    joined = joined.join(reasons, keys, "left")
+        joined = same_key_join(base, exact_quantiles(log, keys, latency), keys, "left")
+    joined = same_key_join(joined, reasons, keys, "left")
     ok = (F.col("_failures") == 0) & (F.col("iterations") > 0)
     # A log without a single measurement is an error record of its own.
     reason = F.when(F.col("_failures") > 0, F.col("error")).when(F.col("iterations") == 0, F.lit("No latency data"))
@@ -145,7 +145,7 @@ def drop_warmup(
     )
     warm = ranked.where(F.col("_rank") <= k)
     cut = warm.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_cut"))
-    return log.join(small_side(cut, log, keys), keys).where(F.struct(*order) > F.col("_cut")).drop("_cut")
+    return same_key_join(log, cut, keys).where(F.struct(*order) > F.col("_cut")).drop("_cut")
 
 
 def failed_models(stats: DataFrame) -> DataFrame:

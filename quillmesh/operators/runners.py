@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions.binding import bind, bind_all
-from quillmesh.functions.text import PAD_ID, join_history, tokens
+from quillmesh.functions.text import PAD_ID, tokens
 from quillmesh.functions.vectors import score_head
 
 MODEL_TYPES = ("embed", "rerank", "rewrite")
@@ -215,13 +215,12 @@ class HeadRerankRunner:
 
 
 class ContextRewriteRunner:
-    """Last utterance followed by the earlier words it lacks, at most 64 tokens in all.
+    """Last utterance followed by the earlier words it lacks; no word of either is cut off.
 
     Earlier words count when they have four letters or more; they come in the order of their
-    first appearance. The 64-token cap is the decoder limit of the contract.
+    first appearance. Turns are read as they are: a separator inside a turn is part of it.
     """
 
-    MAX_TOKENS = 64
     MIN_WORD = 4
 
     def __init__(self, batch_size: int = 256) -> None:
@@ -235,10 +234,9 @@ class ContextRewriteRunner:
         def of_tokens(last: Column, before: Column) -> Column:
             long_words = F.filter(F.flatten(before), lambda w: F.char_length(w) >= self.MIN_WORD)
             words = F.concat(last, F.array_except(long_words, last))
-            return F.array_join(F.slice(words, 1, self.MAX_TOKENS), " ")
+            return F.array_join(words, " ")
 
-        dialogue = join_history(F.col(turns))
-        return with_result(df, out, bind(F.split(dialogue, r"\[SEP\]"), of_turns))
+        return with_result(df, out, bind(F.filter(F.col(turns), lambda t: t.isNotNull()), of_turns))
 
 
 RUNNERS: dict[str, dict[str, Any]] = {

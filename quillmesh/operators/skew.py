@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,18 +16,15 @@ ROWS_PER_TASK = 1_000_000
 PAIRS_PER_TASK = 250_000_000
 
 
-# Largest side that is handed to every executor, in rows of a few numbers each.
-BROADCAST_ROWS = 100_000
+def same_key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join to a table with one row per key, where a NULL key is a key like any other.
 
-
-def small_side(df: DataFrame, source: DataFrame, keys: Sequence[str], max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, which has one row per key of ``source``, with a broadcast hint if the keys are few.
-
-    The check reads nothing but the key columns and stops at ``max_rows``; beyond that the join is
-    left to Spark (shuffle join with adaptive skew handling).
+    Whether the right side is broadcast is left to the planner, which knows its size at run time; the adaptive
+    planner also splits hot keys of the left side.
     """
-    found = source.select(*keys).distinct().limit(max_rows + 1).count()
-    return F.broadcast(df) if found <= max_rows else df
+    names = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()))
+    return left.join(right.withColumnsRenamed(names), same, how).drop(*names.values())
 
 
 def _fan(rows: Column, per_task: float) -> Column:

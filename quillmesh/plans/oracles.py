@@ -398,7 +398,7 @@ parts AS (SELECT k, {toks('turns[len(turns)]')} AS last,
 spoken AS (SELECT k, last, unnest(earlier) AS w, unnest(range(len(earlier))) AS i FROM parts),
 extra AS (SELECT k, w, min(i) AS i FROM spoken WHERE length(w) >= 4 AND NOT list_contains(last, w) GROUP BY ALL),
 extras AS (SELECT k, list(w ORDER BY i) AS ws FROM extra GROUP BY k),
-rewritten AS (SELECT k, array_to_string((list_concat(last, coalesce(ws, [])))[1:64], ' ') AS rewritten
+rewritten AS (SELECT k, array_to_string(list_concat(last, coalesce(ws, [])), ' ') AS rewritten
   FROM parts LEFT JOIN extras USING (k))"""
 
 

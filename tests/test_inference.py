@@ -138,14 +138,29 @@ def test_normalize_is_always_honoured(spark):
     assert inf.rerank(df, python, normalize=True).first().score == pytest.approx(1 / (1 + np.exp(-5.0)))
 
 
-def test_rewrite_caps_at_64_tokens(spark):
+def test_rewrite_keeps_every_word(spark):
     turns = [" ".join(f"early{i}" for i in range(60)), " ".join(f"late{i}" for i in range(30))]
     df = spark.createDataFrame([(turns,), (["only one turn"],)], "turns array<string>")
     out = [r.rewritten for r in inf.rewrite(df, RunnerSpec("rewrite", "ContextRewriteRunner")).collect()]
-    assert out[0].split() == [f"late{i}" for i in range(30)] + [f"early{i}" for i in range(34)]
+    assert out[0].split() == [f"late{i}" for i in range(30)] + [f"early{i}" for i in range(60)]
     assert out[1] == "only one turn"
 
 
+def test_null_and_empty_texts_are_different_keys(spark):
+    rows = [(1, None, "m"), (2, "", "m"), (3, "a", None), (4, "a", "m"), (5, "x\u0001m", None), (6, "x", "m"), (7, "", "m")]
+    df = spark.createDataFrame(rows, "id int, text string, model string")
+    for model in (None, "model"):
+        seen = lambda d: d.withColumn("n", F.coalesce(F.length("text"), F.lit(-1)))
+        out = inf.dedup_infer(df, seen, "text", "id", ["n"], model=model).select("id", "n").collect()
+        assert sorted(map(tuple, out)) == [(i, -1 if t is None else len(t)) for i, t, _ in rows]
+
+
+def test_fallback_keeps_requests_without_id(spark):
+    df = spark.createDataFrame([(None, 0, 0.5, 200), (None, 1, 0.6, 500), (1, 0, 0.7, 200)], "request_id bigint, pos int, score double, status int")
+    out = sorted(((r.request_id or 0), r.pos, r.score) for r in inf.fallback_scores(df).collect())
+    assert out == [(0, 0, 1.0), (0, 1, 1.0), (1, 0, 0.7)]
+
+
 def test_onnx_embed(spark, tmp_path):
     kwargs = {"model_path": tiny_model(tmp_path / "m.onnx"), "tokenizer_path": tiny_tokenizer(tmp_path / "t.json")}
     df = spark.createDataFrame([(0, "red red blue"), (1, ""), (2, "green what")], "id bigint, text string")

@@ -103,3 +103,12 @@ def test_report_numbers(spark):
         lines[r.model_name].append(r.line)
     assert lines["a"][:2] == ["✅ a:", "   Mean latency: 2.00 ms"] and len(lines["a"]) == 7
     assert lines["b"] == ["❌ b: boom"]
+
+
+def test_null_keys_are_keys(spark):
+    rows = [("t", None, i, float(i)) for i in range(10)] + [("t", "m", i, float(i)) for i in range(4)]
+    log = spark.createDataFrame(rows, "task string, model string, iteration int, latency_ms double")
+    out = {r.model: r.q0 for r in lat.exact_quantiles(log, ["task", "model"], "latency_ms", (0.5,)).collect()}
+    assert out == {None: 4.5, "m": 1.5}
+    kept = lat.drop_warmup(log, ["task", "model"], ["iteration"], 3).collect()
+    assert sorted(str(r.model) for r in kept) == ["None"] * 7 + ["m"]
