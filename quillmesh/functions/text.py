@@ -89,14 +89,18 @@ def encode(
 def pack_pair(
     query_ids: Column,
     text_ids: Column,
-    max_length: int = 512,
+    max_length: int | None = 512,
     query_max_length: int | None = None,
 ) -> Column:
     """One padded sequence ``cls q eos eos d eos`` of a (query, text) pair.
 
-    Only the text is shortened. A query that leaves it no room yields NULL ids and an ``error``.
+    Only the text is shortened. A query that leaves it no room yields NULL ids and an ``error``. Without a
+    ``max_length`` nothing is cut or padded.
     """
     q = F.slice(query_ids, 1, query_max_length) if query_max_length else query_ids
+    if max_length is None:
+        whole = _attended(F.concat(_ids(CLS_ID), q, _ids(EOS_ID, EOS_ID), text_ids, _ids(EOS_ID)), None)
+        return bind(whole, lambda r: F.struct(r["input_ids"], r["attention_mask"], F.lit(None).cast("string").alias("error")))
     return bind_all([q, F.slice(text_ids, 1, max_length)], lambda q, d: _packed(q, d, max_length))
 
 

@@ -37,10 +37,15 @@ def trim_colbert(vecs: Column, mask: Column) -> Column:
 
 
 def common_values(left: Column, right: Column) -> Column:
-    """``array<struct<key, l, r>>`` of the keys two maps share.
+    """``array<struct<key, l, r>>`` of the keys two maps share."""
+    return common_entries(F.map_entries(left), F.map_entries(right))
 
-    Both entry lists are sorted together, so that equal keys become neighbours: looking each key up
-    in the other map would cost the product of the sizes.
+
+def common_entries(left: Column, right: Column) -> Column:
+    """The same of two lists of ``struct<key, value>``, each with distinct keys.
+
+    Both lists are sorted together, so that equal keys become neighbours: looking each key up
+    in the other list would cost the product of the sizes.
     """
 
     def tagged(entries: Column, side: int) -> Column:
@@ -56,7 +61,7 @@ def common_values(left: Column, right: Column) -> Column:
         )
         return F.filter(pairs, lambda p: p.isNotNull())
 
-    merged = F.concat(tagged(F.map_entries(left), 0), tagged(F.map_entries(right), 1))
+    merged = F.concat(tagged(left, 0), tagged(right, 1))
     return bind(F.sort_array(merged), neighbours)
 
 
@@ -100,9 +105,11 @@ def score_head_udf(w, b, w_out, b_out: float):
 
     @F.pandas_udf("double")
     def head(cls: pd.Series) -> pd.Series:
-        if not len(cls):
-            return pd.Series([], dtype="float64")
-        return pd.Series(np.tanh(np.stack(cls.to_numpy()) @ w.T + b) @ w_out + b_out)
+        out = pd.Series(np.nan, index=cls.index, dtype="float64").astype("Float64")
+        known = cls.notna().to_numpy()
+        if known.any():
+            out[known] = np.tanh(np.stack(cls[known].to_numpy()) @ w.T + b) @ w_out + b_out
+        return out
 
     return head
 

@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quillmesh.functions.binding import bind
 from quillmesh.functions.text import token_ids, tokens
-from quillmesh.functions.vectors import score_head, score_head_udf, sigmoid, token_weights
+from quillmesh.functions.vectors import score_head_udf, sigmoid, token_weights
 from quillmesh.operators.requests import RUN_PREFIX
 from quillmesh.operators.runners import ModelRegistry, RunnerSpec, load_runner
 from quillmesh.operators.skew import spread_lookup
@@ -50,7 +49,7 @@ def _specs(models: Models, model_type: str) -> dict[str | None, RunnerSpec]:
 
 
 def run_isolated(run: Callable[[list], list], inputs: list) -> list[tuple[object, str | None]]:
-    """``(result, error)`` per input. A failed or misaligned batch is repeated input by input."""
+    """``(result, error)`` per input. A failed or misaligned batch is halved until the bad inputs stand alone."""
     try:
         results = list(run(inputs))
         if len(results) != len(inputs):
@@ -59,7 +58,8 @@ def run_isolated(run: Callable[[list], list], inputs: list) -> list[tuple[object
     except Exception as exc:  # noqa: BLE001 - whatever a model raises becomes a 500 row
         if len(inputs) == 1:
             return [(None, RUN_PREFIX + str(exc))]
-        return [run_isolated(run, [item])[0] for item in inputs]
+        half = len(inputs) // 2
+        return run_isolated(run, inputs[:half]) + run_isolated(run, inputs[half:])
 
 
 def _run_all(load: Callable, models: list, inputs: list) -> list[tuple[object, str | None]]:
@@ -252,19 +252,14 @@ def rerank(
 
 @dataclass(frozen=True)
 class ScoreHead:
-    """Weights of ``tanh(cls . W^T + b) . w_out + b_out``."""
+    """Weights of ``tanh(cls . W^T + b) . w_out + b_out``; one matrix product per batch, whatever their number."""
 
     w: Sequence[Sequence[float]]
     b: Sequence[float]
     w_out: Sequence[float]
     b_out: float
 
-    # Up to this many weights the head is a plain expression, beyond it a matrix product per batch.
-    SMALL = 4096
-
     def column(self, cls: Column) -> Column:
-        if len(self.w) * len(self.w[0]) <= self.SMALL:
-            return bind(cls, lambda c: score_head(c, self.w, self.b, self.w_out, self.b_out))
         return score_head_udf(self.w, self.b, self.w_out, self.b_out)(cls)
 
 

@@ -36,7 +36,12 @@ def inverse_frequency(total: Column, df: Column) -> Column:
 
 def first_positions(text: Column) -> Column:
     """Distinct tokens of a text with their first position: ``array<struct<token, pos>>``."""
-    located = F.transform(tokens(text), lambda t, i: F.struct(t.alias("token"), i.alias("pos")))
+    return first_places(tokens(text))
+
+
+def first_places(words: Column) -> Column:
+    """The same of a token list."""
+    located = F.transform(words, lambda t, i: F.struct(t.alias("token"), i.alias("pos")))
     return bind(
         F.sort_array(located),
         lambda s: F.filter(s, lambda p, i: (i == 0) | (F.get(s, i - 1)["token"] != p["token"])),

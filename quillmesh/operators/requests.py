@@ -40,7 +40,12 @@ def _optional(kind: Column, type_name: str, label: str) -> Column:
 
 
 def _parse(df: DataFrame, body: str, kinds: dict[str, str]) -> DataFrame:
-    """Parse the body once and note the type of every field of interest."""
+    """Parse the body once and note the type of every field of interest.
+
+    The last value of a repeated key counts. Spark reads that choice from a session setting when it analyses the
+    plan, so it is set here.
+    """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     parsed = df.withColumn("_doc", F.try_parse_json(F.col(body)))
     return parsed.withColumns({f"_{n}": _kind(F.col("_doc"), f"$.{n}") for n in kinds})
 
@@ -68,8 +73,11 @@ def _finish(
     return checked.select(*keep, F.inline(F.array(row)))
 
 
-def validate_embed(df: DataFrame, body: str = "body", strict: bool = False) -> DataFrame:
-    """Adds ``model, texts, scalar_input, return_dense, return_sparse, status, error, error_stage``."""
+def validate_embed(df: DataFrame, body: str = "body", strict: bool = True) -> DataFrame:
+    """Adds ``model, texts, scalar_input, return_dense, return_sparse, status, error, error_stage``.
+
+    Unknown keys are an error unless ``strict`` is off, as in the other two.
+    """
     parsed = _parse(df, body, dict.fromkeys(["text", "model", "return_dense", "return_sparse"]))
     doc = F.col("_doc")
     scalar = F.col("_text") == "STRING"
@@ -99,7 +107,7 @@ def validate_embed(df: DataFrame, body: str = "body", strict: bool = False) -> D
     return _finish(parsed, body, "embed", problems, outputs, strict)
 
 
-def validate_rerank(df: DataFrame, body: str = "body", strict: bool = False) -> DataFrame:
+def validate_rerank(df: DataFrame, body: str = "body", strict: bool = True) -> DataFrame:
     """Adds ``model, query, texts, status, error, error_stage``."""
     parsed = _parse(df, body, dict.fromkeys(["query", "texts", "model"]))
     doc = F.col("_doc")
@@ -117,7 +125,7 @@ def validate_rerank(df: DataFrame, body: str = "body", strict: bool = False) ->
     return _finish(parsed, body, "rerank", problems, outputs, strict)
 
 
-def validate_rewrite(df: DataFrame, body: str = "body", strict: bool = False) -> DataFrame:
+def validate_rewrite(df: DataFrame, body: str = "body", strict: bool = True) -> DataFrame:
     """Adds ``model, message, status, error, error_stage``. ``model`` is optional here as well."""
     parsed = _parse(df, body, dict.fromkeys(["message", "model"]))
     doc = F.col("_doc")

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions.binding import bind, bind_all
 from quillmesh.functions.text import PAD_ID, tokens
-from quillmesh.functions.vectors import score_head
+from quillmesh.functions.vectors import common_entries, score_head
+from quillmesh.operators.lexical import POSITION_SCALE, first_places
 
 MODEL_TYPES = ("embed", "rerank", "rewrite")
 
@@ -185,18 +186,24 @@ class HeadRerankRunner:
 
     @staticmethod
     def features(query: Column, text: Column) -> Column:
+        def places(words: Column) -> Column:
+            return F.transform(first_places(words), lambda p: F.struct(p["token"].alias("key"), p["pos"].alias("value")))
+
         def of_tokens(q: Column, d: Column) -> Column:
-            return bind(F.array_intersect(q, d), lambda common: of_overlap(q, d, common))
+            return bind_all([places(q), places(d)], lambda fq, fd: of_places(q, d, fq, fd))
+
+        def of_places(q: Column, d: Column, fq: Column, fd: Column) -> Column:
+            return bind(common_entries(fq, fd), lambda common: of_overlap(q, d, F.size(fq), F.size(fd), common))
 
-        def weight(items: Column, token: Column) -> Column:
-            return F.lit(1.0) / (F.lit(1.0) + (F.array_position(items, token) - 1) / F.lit(512.0))
+        def weight(pos: Column) -> Column:
+            return F.lit(1.0) / (F.lit(1.0) + pos / F.lit(POSITION_SCALE))
 
         def ratio(a: Column, b: Column) -> Column:
             return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
-        def of_overlap(q: Column, d: Column, common: Column) -> Column:
-            overlap = F.aggregate(common, F.lit(0.0), lambda acc, t: acc + weight(q, t) * weight(d, t))
-            n_q, n_d, n_common = F.size(F.array_distinct(q)), F.size(F.array_distinct(d)), F.size(common)
+        def of_overlap(q: Column, d: Column, n_q: Column, n_d: Column, common: Column) -> Column:
+            overlap = F.aggregate(common, F.lit(0.0), lambda acc, e: acc + weight(e["l"]) * weight(e["r"]))
+            n_common = F.size(common)
             return F.array(
                 ratio(overlap, n_q),
                 ratio(n_common, n_q + n_d - n_common),

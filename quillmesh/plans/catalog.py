@@ -107,13 +107,14 @@ def tokenize_pad(spark, sf):
 def pack_pair_(spark, sf):
     pairs = fx.assigned_pairs(_docs(spark, sf), _queries(spark, sf))
     rows = pairs.select("doc_id", "item_id", token_ids(F.col("query")).alias("q"), token_ids(F.col("text")).alias("d"))
-    rows = rows.withColumn("p", pack_pair(F.col("q"), F.col("d"), 48))
+    rows = rows.withColumns({"p": pack_pair(F.col("q"), F.col("d"), 512), "w": pack_pair(F.col("q"), F.col("d"), None)})
     return rows.select(
         "doc_id",
         "item_id",
         big(F.aggregate("p.attention_mask", F.lit(0), lambda a, x: a + x)).alias("attended"),
         joined_md5(F.col("p.input_ids")).alias("ids_md5"),
         F.col("p.error").alias("error"),
+        joined_md5(F.col("w.input_ids")).alias("whole_md5"),
     )
 
 
@@ -194,7 +195,7 @@ def explode_regroup(spark, sf):
 @query
 def expand_pairs(spark, sf):
     checked = req.validate_rerank(fx.rerank_requests(_docs(spark, sf), _queries(spark, sf)))
-    pairs = req.expand_pairs(checked.where(F.col("status").isNull()))
+    pairs = req.expand_pairs(checked)
     return pairs.select("request_id", big("pos").alias("pos"), F.md5("query").alias("query_md5"), F.md5("text").alias("text_md5"))
 
 
@@ -339,7 +340,7 @@ def rewrite_context(spark, sf):
 
 @query
 def retrieve_then_rerank(spark, sf):
-    return retrieval.retrieve_then_rerank(_queries(spark, sf), _docs(spark, sf), "item_id", "doc_id", HEAD)
+    return retrieval.retrieve_then_rerank(_queries(spark, sf), _docs(spark, sf), "item_id", "doc_id", HEAD, digits=6)
 
 
 # --- serving -------------------------------------------------------------------------------------

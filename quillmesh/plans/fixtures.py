@@ -32,7 +32,7 @@ def _cases(selector: Column, cases: dict[int, Column], default: Column) -> Colum
 
 
 def embed_requests(docs: DataFrame) -> DataFrame:
-    """One embed request per document, with a fault or option chosen by ``doc_id % 13``."""
+    """One embed request per document, with a fault or option chosen by ``doc_id % 15``."""
     text, source = _js(F.col("text")), _js(F.col("source"))
     cases = {
         1: _body('{"text":[', text, ",", source, '],"return_sparse":true}'),
@@ -47,8 +47,10 @@ def embed_requests(docs: DataFrame) -> DataFrame:
         10: _body('{"text":', text, ',"return_dense":"yes"}'),
         11: _body('{"text":', text, ',"model":"missing"}'),
         12: _body('{"text":', text, ',"model":"sparse_only"}'),
+        13: _body('{"text":"first","text":', text, "}"),
+        14: _body('{"text":', text, ',"language":', source, "}"),
     }
-    body = _cases(F.pmod("doc_id", F.lit(13)), cases, _body('{"text":', text, "}"))
+    body = _cases(F.pmod("doc_id", F.lit(15)), cases, _body('{"text":', text, "}"))
     return docs.select(F.col("doc_id").alias("request_id"), body.alias("body"))
 
 
@@ -65,7 +67,7 @@ def assigned_pairs(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def rerank_requests(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """Eight documents per request, fault or option by ``request_id % 7``."""
+    """Eight documents per request, fault or option by ``request_id % 9``."""
     grouped = (
         assigned_pairs(docs, queries)
         .groupBy("request_id", "query")
@@ -79,8 +81,10 @@ def rerank_requests(docs: DataFrame, queries: DataFrame) -> DataFrame:
         3: _body('{"query":', query, ',"texts":[', _js(F.col("query")), ",3]}"),
         4: _body('{"query":', query, ',"texts":', texts, ',"model":"missing"}'),
         5: _body('{"query":', query, ',"texts":', texts, ',"model":"sigmoid"}'),
+        6: _body('{"query":', query, ',"texts":', texts, ',"top_n":3}'),
+        7: _body('{"query":7,"query":', query, ',"texts":', texts, "}"),
     }
-    body = _cases(F.pmod("request_id", F.lit(7)), cases, _body('{"query":', query, ',"texts":', texts, "}"))
+    body = _cases(F.pmod("request_id", F.lit(9)), cases, _body('{"query":', query, ',"texts":', texts, "}"))
     return grouped.select("request_id", body.alias("body"))
 
 
@@ -98,7 +102,7 @@ def rerank_requests_by_document(docs: DataFrame, queries: DataFrame) -> DataFram
 
 
 def rewrite_requests(turns: DataFrame) -> DataFrame:
-    """One rewrite request per user turn from ``conversation_window``, fault by ``conv_id % 6``."""
+    """One rewrite request per user turn from ``conversation_window``, fault by ``conv_id % 8``."""
     said = F.to_json("turns")
     cases = {
         1: _body('{"message":[', said, ",[]]}"),
@@ -106,8 +110,10 @@ def rewrite_requests(turns: DataFrame) -> DataFrame:
         3: _body('{"message":', said, "}"),
         4: _body('{"message":[', said, ',["x",null]]}'),
         5: _body('{"message":[', said, '],"model":"missing"}'),
+        6: _body('{"message":[', said, '],"top_n":3}'),
+        7: _body('{"message":[],"message":[', said, "]}"),
     }
-    body = _cases(F.pmod("conv_id", F.lit(6)), cases, _body('{"message":[', said, "]}"))
+    body = _cases(F.pmod("conv_id", F.lit(8)), cases, _body('{"message":[', said, "]}"))
     return turns.select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), "conv_id", "turn", body.alias("body"))
 
 

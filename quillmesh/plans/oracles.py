@@ -48,12 +48,12 @@ def cte(*parts: str) -> str:
 # Shared building blocks -------------------------------------------------------------------------
 
 OCCURRENCES = f"""
-doc_lists AS (SELECT doc_id, {toks('text')} AS l FROM documents),
+doc_lists AS MATERIALIZED (SELECT doc_id, {toks('text')} AS l FROM documents),
 doc_tokens AS (SELECT doc_id, unnest(l) AS token, unnest(range(len(l))) AS pos FROM doc_lists),
-doc_first AS (SELECT doc_id, token, min(pos) AS pos FROM doc_tokens GROUP BY ALL),
-item_lists AS (SELECT item_id, {toks('text')} AS l FROM benchmark),
+doc_first AS MATERIALIZED (SELECT doc_id, token, min(pos) AS pos FROM doc_tokens GROUP BY ALL),
+item_lists AS MATERIALIZED (SELECT item_id, {toks('text')} AS l FROM benchmark),
 item_tokens AS (SELECT item_id, unnest(l) AS token, unnest(range(len(l))) AS pos FROM item_lists),
-item_first AS (SELECT item_id, token, min(pos) AS pos FROM item_tokens GROUP BY ALL)"""
+item_first AS MATERIALIZED (SELECT item_id, token, min(pos) AS pos FROM item_tokens GROUP BY ALL)"""
 
 VOCAB = """
 vocab AS (
@@ -122,16 +122,16 @@ oracle(
     "pack_pair",
     cte(
         PAIRS,
-        f"t AS (SELECT doc_id, item_id, {ids('query')} AS q, ({ids('text')})[1:48] AS d FROM pairs)",
-        "f AS (SELECT *, 44 - len(q) AS room, len(d) <= 44 - len(q) OR 44 - len(q) >= 1 AS fits FROM t)",
-        """p AS (SELECT doc_id, item_id, fits,
+        f"t AS (SELECT doc_id, item_id, {ids('query')} AS q, {ids('text')} AS d FROM pairs)",
+        "f AS (SELECT *, 508 - len(q) AS room, len(d) <= 508 - len(q) OR 508 - len(q) >= 1 AS fits FROM t)",
+        """p AS (SELECT doc_id, item_id, fits, list_concat([0], q, [2, 2], d, [2]) AS w,
            list_concat([0], q, [2, 2], CASE WHEN room > 0 THEN d[1:room] ELSE [] END, [2]) AS x FROM f)""",
     )
     + """
 SELECT doc_id, item_id, CASE WHEN fits THEN len(x)::BIGINT END AS attended,
   CASE WHEN fits THEN md5(array_to_string(
-    list_concat(x, list_transform(range(48 - len(x)), lambda i: 1::BIGINT)), ',')) END AS ids_md5,
-  CASE WHEN NOT fits THEN 'query leaves no room for the text' END AS error
+    list_concat(x, list_transform(range(512 - len(x)), lambda i: 1::BIGINT)), ',')) END AS ids_md5,
+  CASE WHEN NOT fits THEN 'query leaves no room for the text' END AS error, md5(array_to_string(w, ',')) AS whole_md5
 FROM p""",
 )
 
@@ -153,7 +153,7 @@ oracle(
 # Requests -----------------------------------------------------------------------------------------
 
 EMBED_BODIES = """
-bodies AS (SELECT doc_id AS request_id, CASE doc_id % 13
+bodies AS (SELECT doc_id AS request_id, CASE doc_id % 15
   WHEN 1 THEN '{"text":[' || to_json(text) || ',' || to_json(source) || '],"return_sparse":true}'
   WHEN 2 THEN '{"text":[]}' WHEN 3 THEN '{"text":7}'
   WHEN 4 THEN '{"text":[' || to_json(text) || ',1]}'
@@ -163,6 +163,8 @@ bodies AS (SELECT doc_id AS request_id, CASE doc_id % 13
   WHEN 10 THEN '{"text":' || to_json(text) || ',"return_dense":"yes"}'
   WHEN 11 THEN '{"text":' || to_json(text) || ',"model":"missing"}'
   WHEN 12 THEN '{"text":' || to_json(text) || ',"model":"sparse_only"}'
+  WHEN 14 THEN '{"text":' || to_json(text) || ',"language":' || to_json(source) || '}'
+  -- 13 repeats the key; its last value is the text
   ELSE '{"text":' || to_json(text) || '}' END AS body FROM documents),
 parsed AS (SELECT request_id, TRY_CAST(body AS JSON) AS j FROM bodies),
 typed AS (SELECT *, json_type(j, '$.text') AS tt, json_type(j, '$.model') AS tm,
@@ -176,7 +178,8 @@ checked AS (SELECT *, CASE WHEN j IS NULL THEN 'the body is not valid JSON' ELSE
     CASE WHEN texts IS NULL THEN 'text: a string or a non-empty list of strings is required' END,
     CASE WHEN tm <> 'VARCHAR' THEN 'model: a string is required' END,
     CASE WHEN td <> 'BOOLEAN' THEN 'return_dense: a boolean is required' END,
-    CASE WHEN ts <> 'BOOLEAN' THEN 'return_sparse: a boolean is required' END), '') END AS fault FROM faults),
+    CASE WHEN ts <> 'BOOLEAN' THEN 'return_sparse: a boolean is required' END,
+    CASE WHEN request_id % 15 = 14 THEN 'unknown keys: language' END), '') END AS fault FROM faults),
 embed_requests AS (SELECT request_id, fault IS NULL AS ok, fault,
     CASE WHEN fault IS NULL THEN coalesce(json_extract_string(j, '$.model'), 'default') END AS model,
     CASE WHEN fault IS NULL THEN texts END AS texts,
@@ -221,9 +224,10 @@ oracle(
 RERANK_REQUESTS = """
 grouped AS (SELECT request_id, any_value(query) AS query, list(text ORDER BY pos) AS texts,
     list(pos ORDER BY pos) AS at, list(doc_id ORDER BY pos) AS docs FROM pairs GROUP BY request_id),
-rerank_requests AS (SELECT *, request_id % 7 AS k,
-    CASE WHEN request_id % 7 IN (1, 3) THEN 'texts: a non-empty list of strings is required'
-         WHEN request_id % 7 = 2 THEN 'query: a string is required' END AS fault FROM grouped)"""
+rerank_requests AS (SELECT *, request_id % 9 AS k,
+    CASE WHEN request_id % 9 IN (1, 3) THEN 'texts: a non-empty list of strings is required'
+         WHEN request_id % 9 = 2 THEN 'query: a string is required'
+         WHEN request_id % 9 = 6 THEN 'unknown keys: top_n' END AS fault FROM grouped)"""
 
 oracle(
     "validate_rerank",
@@ -239,8 +243,9 @@ FROM rerank_requests""",
 )
 
 REWRITE_REQUESTS = """
-rewrite_requests AS (SELECT conv_id, turn, turns, conv_id % 6 AS k, CASE WHEN conv_id % 6 IN (1, 2, 3, 4)
-    THEN 'message: a non-empty list of non-empty lists of strings is required' END AS fault FROM windows)"""
+rewrite_requests AS (SELECT conv_id, turn, turns, conv_id % 8 AS k, CASE WHEN conv_id % 8 IN (1, 2, 3, 4)
+    THEN 'message: a non-empty list of non-empty lists of strings is required'
+    WHEN conv_id % 8 = 6 THEN 'unknown keys: top_n' END AS fault FROM windows)"""
 
 oracle(
     "validate_rewrite",
@@ -264,7 +269,8 @@ oracle(
     "expand_pairs",
     cte(PAIRS)
     + """SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY pos) - 1 AS pos,
-  md5(query) AS query_md5, md5(text) AS text_md5 FROM pairs WHERE request_id % 7 NOT IN (1, 2, 3)""",
+  md5(query) AS query_md5, md5(text) AS text_md5 FROM pairs WHERE request_id % 9 NOT IN (1, 2, 3, 6)
+UNION ALL SELECT DISTINCT request_id, NULL::BIGINT, NULL, NULL FROM pairs WHERE request_id % 9 IN (1, 2, 3, 6)""",
 )
 
 # Weights, vectors, scores ---------------------------------------------------------------------------
@@ -459,11 +465,11 @@ oracle(
 SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY s.pos) - 1 AS pos,
   CASE WHEN k = 5 THEN 'sigmoid' ELSE 'default' END AS model,
   {r6('CASE WHEN k = 5 THEN 1.0 / (1.0 + exp(-score)) ELSE score END')} AS score, 200::BIGINT AS status, NULL AS error
-FROM rerank_requests JOIN scored s USING (request_id) WHERE k NOT IN (1, 2, 3, 4)
+FROM rerank_requests JOIN scored s USING (request_id) WHERE k NOT IN (1, 2, 3, 4, 6)
 UNION ALL
 SELECT request_id, NULL, CASE WHEN k = 4 THEN 'missing' END, NULL, 400,
   coalesce('valid error: ' || fault, 'model name [missing] not found')
-FROM rerank_requests WHERE k IN (1, 2, 3, 4)""",
+FROM rerank_requests WHERE k IN (1, 2, 3, 4, 6)""",
 )
 
 oracle(
@@ -471,13 +477,13 @@ oracle(
     cte(
         WINDOWS,
         REWRITE_REQUESTS,
-        "said AS (SELECT {'c': conv_id, 't': turn} AS k, turns FROM rewrite_requests WHERE rewrite_requests.k = 0)",
+        "said AS (SELECT {'c': conv_id, 't': turn} AS k, turns FROM rewrite_requests WHERE rewrite_requests.k IN (0, 7))",
         rewritten("said"),
     )
     + """SELECT k.c AS conv_id, k.t AS turn, 0::BIGINT AS pos, rewritten, 200::BIGINT AS status, NULL AS error FROM rewritten
 UNION ALL
 SELECT conv_id, turn, NULL, NULL, 400, coalesce('valid error: ' || fault, 'model name [missing] not found')
-FROM rewrite_requests r WHERE r.k <> 0""",
+FROM rewrite_requests r WHERE r.k NOT IN (0, 7)""",
 )
 
 for _name in ("result_sink", "length_bucket_order"):
@@ -865,11 +871,11 @@ oracle(
     cte(
         "windows AS (SELECT conv_id, turn, [role, text] AS turns FROM conversations)",
         REWRITE_REQUESTS,
-        "said AS (SELECT {'c': conv_id, 't': turn} AS k, turns FROM rewrite_requests WHERE rewrite_requests.k = 0)",
+        "said AS (SELECT {'c': conv_id, 't': turn} AS k, turns FROM rewrite_requests WHERE rewrite_requests.k IN (0, 7))",
         rewritten("said"),
     )
     + """SELECT k.c AS conv_id, k.t AS turn, 0::BIGINT AS pos, rewritten, 200::BIGINT AS status, NULL AS error FROM rewritten
 UNION ALL
 SELECT conv_id, turn, NULL, NULL, 400, coalesce('valid error: ' || fault, 'model name [missing] not found')
-FROM rewrite_requests r WHERE r.k <> 0""",
+FROM rewrite_requests r WHERE r.k NOT IN (0, 7)""",
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -48,10 +48,11 @@ def match_corpus(
     counts = used.join(F.broadcast(wanted), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = inverse_frequency(total, F.col("df"))
     weighted = asked.join(F.broadcast(counts), "token").select(
-        query_id, "token", (idf * idf / (F.lit(1.0) + F.col("_qpos") / POSITION_SCALE)).alias("_wq")
+        query_id, "token", idf.alias("_idf"), (idf / (F.lit(1.0) + F.col("_qpos") / POSITION_SCALE)).alias("_wq")
     )
     pairs = found.join(F.broadcast(weighted), "token")
-    share = F.col("_wq") / (F.lit(1.0) + F.col("_dpos") / POSITION_SCALE)
+    # the same products as those of the posting lists
+    share = F.col("_wq") * (F.col("_idf") / (F.lit(1.0) + F.col("_dpos") / POSITION_SCALE))
     return pairs.groupBy(query_id, doc_id).agg(F.sum(share).alias("score"))
 
 
@@ -72,14 +73,18 @@ def top_k(scores: DataFrame, group: str, item: str, score: str, k: int) -> DataF
 
 
 def retrieve_then_rerank(
-    queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, runner: RunnerSpec, k: int = 10, digits: int = 6
+    queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, runner: RunnerSpec, k: int = 10, digits: int | None = None
 ) -> DataFrame:
-    """Lexical candidates, best ``k`` per query, scored by the reranker and ordered by it.
+    """Lexical candidates, best ``k`` per query, scored by the reranker and ordered by it; ties break by id.
 
-    An extension: it chains the two calls. Scores are rounded before
-    ranking so that ties between copies break by id.
+    An extension: it chains the two calls. With ``digits`` the scores are rounded before ranking, so that sums added
+    in another order rank alike.
     """
-    matched = match_corpus(queries, corpus, query_id, doc_id).withColumn("score", F.round("score", digits))
+
+    def shown(score: str) -> Column:
+        return F.col(score) if digits is None else F.round(score, digits) + F.lit(0.0)
+
+    matched = match_corpus(queries, corpus, query_id, doc_id).withColumn("score", shown("score"))
     candidates = top_k(matched, query_id, doc_id, "score", k).withColumnsRenamed(
         {"rank": "lexical_rank", "score": "lexical_score"}
     )
@@ -88,7 +93,7 @@ def retrieve_then_rerank(
     texts = corpus.select(doc_id, F.col("text")).join(chosen, doc_id)
     asked = queries.select(query_id, F.col("text").alias("query"))
     scored = rerank(texts.join(asked, query_id), runner, "query", "text", out="rerank_score")
-    scored = scored.withColumn("rerank_score", F.round("rerank_score", digits) + F.lit(0.0))
+    scored = scored.withColumn("rerank_score", shown("rerank_score"))
     order = Window.partitionBy(query_id).orderBy(F.desc("rerank_score"), doc_id)
     return scored.withColumn("rerank_rank", F.row_number().over(order).cast("bigint")).select(
         query_id, doc_id, "lexical_rank", "lexical_score", "rerank_rank", "rerank_score"

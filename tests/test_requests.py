@@ -18,7 +18,7 @@ def test_validate_embed(spark):
     bad = [
         {}, {"text": []}, {"text": 1}, {"text": None}, {"text": ["a", 1]}, {"text": ["a", None]}, {"text": [["a"]]},
         {"text": "a", "model": 3}, {"text": "a", "model": None}, {"text": "a", "return_dense": "x"}, "{", "[1]", "7",
-        '{"text":"a","text":"b"}',
+        '{"text":"a","text":3}',
     ]
     out = rq.validate_embed(bodies(spark, good + bad)).orderBy("request_id").collect()
     assert [r.status for r in out] == [None] * len(good) + [400] * len(bad)
@@ -28,13 +28,20 @@ def test_validate_embed(spark):
     assert (out[3].model, out[3].return_sparse) == ("m", True)
 
 
-def test_strict_rejects_unknown_keys(spark):
+def test_unknown_keys_are_rejected_by_default(spark):
     df = bodies(spark, [{"text": "a", "extra": 1}])
-    assert rq.validate_embed(df).first().status is None
-    row = rq.validate_embed(df, strict=True).first()
+    assert rq.validate_embed(df, strict=False).first().status is None
+    row = rq.validate_embed(df).first()
     assert row.status == 400 and "extra" in row.error
 
 
+def test_last_value_of_a_repeated_key_counts(spark):
+    row = rq.validate_embed(bodies(spark, ['{"text":7,"text":"a","text":"b"}'])).first()
+    assert row.status is None and row.texts == ["b"]
+    row = rq.validate_rerank(bodies(spark, ['{"query":"x","texts":["a"],"query":"y"}'])).first()
+    assert row.status is None and row["query"] == "y"
+
+
 def test_validate_rerank(spark):
     good = [{"query": "q", "texts": ["a"]}, {"query": "", "texts": ["a", ""], "model": "m"}]
     bad = [{"texts": ["a"]}, {"query": 1, "texts": ["a"]}, {"query": "q", "texts": []}, {"query": "q", "texts": "a"},
