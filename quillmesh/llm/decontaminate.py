@@ -93,6 +93,11 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW)
 
     ``contaminated``: at least one word and at least a twentieth of all words lie in occurrences.
     """
+    return _judged(docs, bench, window).drop("text_hash")
+
+
+def _judged(docs: DataFrame, bench: DataFrame, window: int) -> DataFrame:
+    """``find_contamination`` with a hash of the text."""
     prefixes, small = _sent(materialize(prefix_tokens(docs, bench, window), "prefixes"), F.length(F.array_join("words", "")) + 24 * F.size("words") + 64)
     texts = _documents(docs)
     exploded = texts.select("doc_id", "text_hash", *(["raw"] if small else []), F.posexplode("raw").alias("pos", "word"))
@@ -121,6 +126,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW)
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     return joined.select(
         "doc_id",
+        "text_hash",
         "n_words",
         n_hit.alias("n_hit"),
         F.size(ids).cast("bigint").alias("n_items"),
@@ -130,6 +136,6 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW)
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` whose id has no contaminated row."""
-    bad = find_contamination(docs, bench, window).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of ``docs`` that are not contaminated, told apart by id and text hash."""
+    bad = _judged(docs, bench, window).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_bad_hash")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64("text") == F.col("_bad_hash")), "left_anti")

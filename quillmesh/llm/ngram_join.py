@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm import sigtree
@@ -175,8 +175,8 @@ def _sets(size: int):
                     class_.append(xxhash.xxh3_128_digest(raw) if keep else None)
                     packed.append(raw if keep else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(class_, pa.binary()), pa.array(packed, pa.binary())],
-                names=["doc_id", "n_shingles", "class", "tokens"])
+                [batch.column("doc_id"), batch.column("row_hash"), pa.array(n, pa.int64()), pa.array(class_, pa.binary()), pa.array(packed, pa.binary())],
+                names=["doc_id", "row_hash", "n_shingles", "class", "tokens"])
 
     return run
 
@@ -305,12 +305,21 @@ def _search(percent: int):
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of ``docs(doc_id, text)``: one row per input row."""
+    return _grouped(docs, percent, size, block_bytes).select("doc_id", "n_shingles", "component_id")
+
+
+def _row_hash() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+
+
+def _grouped(docs: DataFrame, percent: int, size: int, block_bytes: int) -> DataFrame:
+    """``near_duplicates`` with ``row_hash`` (of id and text) and ``component``, which is null for rows without a partner."""
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keys = _survivors(docs, percent, size).withColumn("wanted", F.lit(True))
-    joined = docs.join(keys, F.coalesce("doc_id", F.lit(0)) == F.col("key"), "left").select("doc_id", "text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
-    sets = materialize(joined.mapInArrow(_sets(size), "doc_id bigint, n_shingles bigint, class binary, tokens binary"), "sets")
+    joined = docs.join(keys, F.coalesce("doc_id", F.lit(0)) == F.col("key"), "left").select("doc_id", "text", _row_hash().alias("row_hash"), F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    sets = materialize(joined.mapInArrow(_sets(size), "doc_id bigint, row_hash bigint, n_shingles bigint, class binary, tokens binary"), "sets")
 
     grouped = sets.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("label"), F.any_value("tokens").alias("tokens"))
     # a class is named by its smallest id; where ids are null or stand for several texts, by a negative hash
@@ -339,14 +348,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
 
     names = classes.select("class", "node").join(links, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
     labels = names.join(classes.select("class", "label"), "class").groupBy("component").agg(F.min("label").alias("label"))
-    named = names.join(labels, "component").select(F.col("class").alias("own_class"), "label")
+    named = names.join(labels, "component").select(F.col("class").alias("own_class"), "label", "component")
     return sets.join(named, F.col("class") == F.col("own_class"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id")
+        "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"), "row_hash", "component"
     )
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group; rows repeated under one id are kept once."""
-    groups = near_duplicates(docs, percent, size)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group stays: the one with the smallest id (null last), of several texts with that id any one.
+
+    Rows without a partner stay, also with a null id or an id that other texts have too; equal rows (one id, one
+    text) are kept once. Rows are told apart by id and a hash of id and text.
+    """
+    alone = F.col("component").isNull()
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("_row_id"), F.col("row_hash").alias("_row_hash"))
+    groups = _grouped(docs, percent, size, BLOCK_BYTES)
+    keep = groups.groupBy("component", F.when(alone, F.col("doc_id")), F.when(alone, F.col("row_hash"))).agg(F.min(rank).alias("kept"))
+    rows = docs.withColumns({"_row_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "_row_hash": _row_hash()})
+    kept = rows.join(keep.select("kept._row_id", "kept._row_hash"), ["_row_id", "_row_hash"], "left_semi")
+    return kept.dropDuplicates(["_row_id", "_row_hash"]).select(*docs.columns)
