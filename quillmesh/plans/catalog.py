@@ -21,8 +21,8 @@ from quillmesh.plans import fixtures as fx
 from quillmesh.plans import retrieval
 from quillmesh.plans.serving import serve_embed, serve_rerank, serve_rewrite
 from quillmesh.session import scratch_path
-from quillmesh.sources.sinks import write_results
-from quillmesh.sources.tables import read_results, retrieval_dataset, spread_out, spread_target, stream_table, table
+from quillmesh.sources.sinks import write_benchmark, write_evaluation, write_results
+from quillmesh.sources.tables import read_requests, read_results, retrieval_dataset, spread_out, spread_target, stream_table, table
 from quillmesh.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,6 +147,17 @@ def validate_embed(spark, sf):
     )
 
 
+@query
+def request_files(spark, sf):
+    path = scratch_path(spark, "requests")
+    fx.embed_requests(_docs(spark, sf)).write.json(path)
+    rows = req.validate_embed(read_requests(spark, path, "json"))
+    return rows.select(
+        "request_id", "model", big(F.size("texts")).alias("n_texts"), _chars(F.col("texts")).alias("n_chars"),
+        big("status").alias("status"), "error",
+    )
+
+
 @query
 def validate_rerank(spark, sf):
     rows = req.validate_rerank(fx.rerank_requests(_docs(spark, sf), _queries(spark, sf)))
@@ -404,6 +415,26 @@ def compare_sparse_long(spark, sf):
     return rows.select("sample_id", *_SPARSE_COLUMNS, *[r6(m).alias(m) for m in ev.SPARSE_METRICS])
 
 
+@query
+def compare_embeddings(spark, sf):
+    """Result tables of both kinds: vectors of some samples, sparse weights of others, both of the rest."""
+    dense, sparse = fx.dense_pairs(_embeddings(spark, sf)), fx.sparse_pairs(_docs(spark, sf))
+    sides = [
+        dense.select("sample_id", F.col(c).alias("dense_embed")).join(
+            sparse.select("sample_id", F.col(c).alias("sparse_embed")), "sample_id", "full"
+        )
+        for c in ("a", "b")
+    ]
+    found = ev.compare_embeddings(*sides)
+    parts = [
+        df.select(F.lit(kind).alias("kind"), "sample_id", r6(first).alias("first"), r6(second).alias("second"))
+        for kind, df, first, second in (
+            ("dense", found[0], "cosine_similarity", "mae"), ("sparse", found[1], "jaccard_similarity", "value_mae")
+        )
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def _scores(spark, sf):
     return _reranked(spark, sf).select(
         F.col("request_id").alias("sample_id"), "pos", "doc_id", r6("score").alias("score")
@@ -465,6 +496,26 @@ def eval_report(spark, sf):
     return rows.select(big("line_no").alias("line_no"), "line")
 
 
+@query
+def evaluation_sink(spark, sf):
+    """The report and one table of samples, written and read again."""
+    path = scratch_path(spark, "evaluation")
+    samples = ev.compare_sparse(fx.sparse_pairs(_docs(spark, sf), lossy=False), "a", "b")
+    write_evaluation(reports.evaluation_report(_summary(spark, sf)), {"sparse": samples.drop("a", "b")}, path)
+    lines = spark.read.text(f"{path}/report").select(F.lit(None).cast("bigint").alias("sample_id"), F.col("value").alias("line"))
+    stored = spark.read.json(f"{path}/sparse").select("sample_id", F.col("common_keys_count").cast("string").alias("line"))
+    return lines.unionByName(stored)
+
+
+@query
+def benchmark_sink(spark, sf):
+    path, log = scratch_path(spark, "benchmark"), fx.latency_log(_events(spark, sf))
+    write_benchmark(_stats(spark, sf), log, {"warmup_runs": 5}, path)
+    runs = spark.read.json(f"{path}/latencies").groupBy("task", "model_name").agg(F.count("*").alias("runs"), F.max("latency_ms").alias("slowest"))
+    stats = spark.read.json(f"{path}/stats").select("task", "model_name", r6("mean_ms").alias("mean_ms"), F.col("config.warmup_runs").alias("warmup_runs"), "status")
+    return stats.join(runs, ["task", "model_name"])
+
+
 @query
 def backend_parity(spark, sf):
     rows = ev.backend_parity(fx.tensors(_embeddings(spark, sf)), ["vec_id"])

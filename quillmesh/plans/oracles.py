@@ -214,6 +214,13 @@ oracle(
   CASE WHEN NOT ok THEN 'validation' END AS error_stage FROM embed_requests""",
 )
 
+oracle(
+    "request_files",
+    cte(EMBED_BODIES)
+    + f"""SELECT request_id, model, len(texts)::BIGINT AS n_texts, {chars('texts')} AS n_chars,
+  CASE WHEN NOT ok THEN 400::BIGINT END AS status, 'valid error: ' || fault AS error FROM embed_requests""",
+)
+
 oracle(
     "route_and_capability",
     cte(EMBED_BODIES, ROUTED)
@@ -559,6 +566,14 @@ for _name in ("compare_sparse", "compare_sparse_long"):
 FROM sparse_metrics""",
     )
 
+oracle(
+    "compare_embeddings",
+    cte(OCCURRENCES, DENSE_PAIRS, SPARSE_PAIRS)
+    + f"""SELECT 'dense' AS kind, sample_id, {r6('cosine_similarity')} AS first, {r6('mae')} AS second FROM dense_metrics
+UNION ALL SELECT 'sparse', sample_id, {r6('jaccard_similarity')}, {r6('value_mae')} FROM sparse_metrics""",
+)
+
+
 def score_pairs(in_golden: str) -> str:
     return f"""
 generated AS (SELECT request_id AS sample_id, pos, doc_id, {r6('score')} AS score FROM scored),
@@ -705,6 +720,13 @@ oracle(
     + f" UNION ALL SELECT 410, message FROM ({VERDICT}))",
 )
 
+oracle(
+    "evaluation_sink",
+    f"""SELECT NULL::BIGINT AS sample_id, line FROM ({ORACLES['eval_report']})
+UNION ALL SELECT * FROM ({cte(OCCURRENCES)} SELECT d.doc_id, count(f.token)::VARCHAR
+  FROM documents d LEFT JOIN doc_first f USING (doc_id) GROUP BY d.doc_id)""",
+)
+
 PARITY = """
 tensors AS (SELECT vec_id, embedding::DOUBLE[] AS a, CASE vec_id % 4 WHEN 0 THEN embedding::DOUBLE[]
     WHEN 1 THEN list_transform(embedding::DOUBLE[], lambda x: x * 1.5::DOUBLE)
@@ -751,6 +773,13 @@ oracle(
     cte(LOG, STATS) + f"SELECT task, model_name, model_class, iterations, {rounded(_STATS)}, status, error FROM stats",
 )
 
+oracle(
+    "benchmark_sink",
+    cte(LOG, STATS)
+    + f"""SELECT s.task, s.model_name, {r6('mean_ms')} AS mean_ms, '5' AS warmup_runs, status, runs, slowest FROM stats s
+JOIN (SELECT task, model_name, count(*) AS runs, max(latency_ms) AS slowest FROM log GROUP BY ALL) USING (task, model_name)""",
+)
+
 oracle(
     "failed_models",
     cte(LOG, STATS) + "SELECT task, model_name, model_class, error, status FROM stats WHERE status = 'failed'",
