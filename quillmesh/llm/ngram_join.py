@@ -38,7 +38,7 @@ from quillmesh.session import materialize, ship_package
 SHINGLE = 5
 PERCENT = 75
 #: Prefix tokens settled together in a map task, and bytes of sets in one block of a large cluster.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 BLOCK_BYTES = 32 << 20
 
 _PACKED = "bucket int, key bigint, shared bigint, need bigint, tokens binary, keys binary, settled binary"
