@@ -11,8 +11,9 @@ Elements whose role is written down (``nav``, ``footer``, ``aside``, forms, clas
 have no importance by definition, ``article`` and ``main`` have full importance; statistics alone cannot tell menus of
 ever-changing links from text. Pass 2 parses again and removes each page's unimportant branches.
 
-Counts are combined inside each task and again before the shuffle, so a host with a third of all pages is no hot
-key; the lists of removed branches (at most ``pages' nodes / SUPPORT`` per host) meet the pages under salted keys.
+Counts are combined inside each task and again before the shuffle, contents are summed up per node before anything is
+joined by host, and page counts meet the nodes under salted keys, so a host with a third of all pages is no hot key;
+the lists of removed branches (at most ``pages' nodes / SUPPORT`` per host) meet the pages under salted keys.
 
 Defined cases: null html is empty and has empty text; a null URL has the empty host; repeated rows are kept and each
 counts as a page; an empty table gives no rows; columns other than the three are ignored.
@@ -235,32 +236,28 @@ def style_tree(pages: DataFrame) -> DataFrame:
     rows = pages.select(host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     counts = rows.mapInArrow(_statistics, "host string, path string, kind int, value bigint, n bigint")
     counts = materialize(counts.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n")), "styles")
-    m = counts.where("kind = 0").select("host", F.col("n").alias("pages"))
-    own = counts.where("kind in (1, 2)").join(m, "host")
-    log_m = F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double"))
-    share = F.col("n") / F.col("pages")
-    presentation = (
-        own.where("kind = 1")
-        .groupBy("host", "path")
-        .agg(F.sum(-share * F.log(share) / log_m).alias("presentation"), F.sum("n").alias("seen"), F.count("*").alias("styles"), F.max("pages").alias("pages"))
+    # sums of n and of n log n are all that both entropies need, so the page counts join the few nodes, never the contents
+    own = counts.where("kind = 1 or kind = 3 or (kind = 2 and path <> '')").groupBy("host", "path", "kind").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("n_log_n"), F.count("*").alias("values")
     )
     # a leaf's texts count for all nodes above it
     steps = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
-    leaves = own.where("kind = 2 and path <> ''").groupBy("host", "path").agg(
-        F.sum(F.col("n") * (1 - F.log(F.col("n").cast("double")) / log_m)).alias("kept"), F.sum("n").alias("texts")
-    )
-    content = leaves.select("host", F.explode(above).alias("path"), "kept", "texts").groupBy("host", "path").agg((F.sum("kept") / F.sum("texts")).alias("content"))
-    mains = counts.where("kind = 3").select("host", "path", F.lit(True).alias("main"))
+    spread = own.select("host", F.explode(F.when(F.col("kind") == 2, above).otherwise(F.array("path"))).alias("path"), "kind", "n", "n_log_n", "values")
+    of = lambda kind, column: F.sum(F.when(F.col("kind") == kind, F.col(column)))
+    nodes = spread.groupBy("host", "path").agg(
+        of(1, "n").alias("seen"), of(1, "n_log_n").alias("seen_log"), of(1, "values").alias("styles"),
+        of(2, "n").alias("texts"), of(2, "n_log_n").alias("texts_log"), F.coalesce(F.bool_or(F.col("kind") == 3), F.lit(False)).alias("main"),
+    ).where("seen is not null")
+    m = counts.where("kind = 0").select("host", F.col("n").alias("pages"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    nodes = nodes.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(m, ["host", "salt"])
+    log_m = F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double"))
+    presentation = (F.col("seen") * F.log(F.col("pages").cast("double")) - F.col("seen_log")) / (F.col("pages") * log_m)
+    content = F.coalesce(1 - F.col("texts_log") / (F.col("texts") * log_m), F.lit(0.0))
     damp = F.pow(F.lit(DAMPING), F.col("styles"))
-    return (
-        presentation.join(content, ["host", "path"], "left")
-        .join(mains, ["host", "path"], "left")
-        .select(
-            "host", "path", "pages", "presentation", F.coalesce("content", F.lit(0.0)).alias("content"),
-            ((1 - damp) * F.col("presentation") + damp * F.coalesce("content", F.lit(0.0))).alias("importance"),
-            (F.col("seen") / F.col("pages")).alias("support"), F.coalesce("main", F.lit(False)).alias("main"),
-        )
+    return nodes.select("*", presentation.alias("presentation"), content.alias("content")).select(
+        "host", "path", "pages", "presentation", "content", ((1 - damp) * F.col("presentation") + damp * F.col("content")).alias("importance"),
+        (F.col("seen") / F.col("pages")).alias("support"), "main",
     )
 
 
