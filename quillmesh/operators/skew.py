@@ -9,11 +9,13 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key with more rows than this is split. The list of such keys is at most
-# total_rows / ROWS_PER_TASK entries, which is what makes it safe to broadcast.
+# A key with more rows than this is split.
 ROWS_PER_TASK = 1_000_000
 # Same idea for many-to-many joins, counted in emitted pairs.
 PAIRS_PER_TASK = 250_000_000
+# Hot keys at most: a key is hot only if it also holds more than this part of all rows (or pairs), so the broadcast
+# lists have a size bound whatever the size of the data, and a task holds at most this part of them.
+MAX_HOT = 10_000
 
 
 def same_key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -27,8 +29,14 @@ def same_key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: s
     return left.join(right.withColumnsRenamed(names), same, how).drop(*names.values())
 
 
-def _fan(rows: Column, per_task: float) -> Column:
-    return F.greatest(F.ceil(rows / F.lit(float(per_task))), F.lit(1)).cast("int")
+def _fan(rows: Column, per_task: Column) -> Column:
+    return F.greatest(F.ceil(rows / per_task), F.lit(1)).cast("int")
+
+
+def _budget(counts: DataFrame, size: Column, least: float) -> Column:
+    """What a task may hold: ``least``, or the ``MAX_HOT``-th part of all if that is more."""
+    share = counts.agg((F.sum(size.cast("double")) / MAX_HOT).alias("share")).scalar()
+    return F.greatest(F.lit(float(least)), share)
 
 
 def spread_lookup(
@@ -45,16 +53,18 @@ def spread_lookup(
     rows of ``left`` carry that key.
 
     Hot keys get several salts: the left rows are dealt out by a hash of ``spread_by`` and the one
-    right row is repeated per salt. Other keys join as usual (Spark picks broadcast or shuffle).
+    right row is repeated per salt. Other keys join as usual (Spark picks broadcast or shuffle). The
+    list of hot keys has at most ``MAX_HOT`` entries.
     ``counts`` may name a cheaper table to read the hot keys from when ``right`` is costly.
     """
-    fan = _fan(F.col(left_rows), rows_per_task)
     known = right if counts is None else counts
-    hot = known.where(F.col(left_rows) > rows_per_task).select(on, fan.alias("_fan"))
+    budget = _budget(known, F.col(left_rows), rows_per_task)
+    fan = _fan(F.col(left_rows), budget)
+    hot = known.where(F.col(left_rows) > budget).select(on, fan.alias("_fan"))
     dealt = left.join(F.broadcast(hot), on, "left").withColumn(
         "_salt", F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_fan")).cast("int"), F.lit(0))
     )
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), fan - 1)))
+    repeated = right.withColumn("_salts", fan).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
     return dealt.join(repeated, [on, "_salt"], how).drop("_salt", "_fan")
 
 
@@ -71,18 +81,19 @@ def spread_join(
     """Many-to-many inner join that splits hot keys on both sides into a grid of salts.
 
     ``key_rows`` is ``(on, n_left, n_right)``. A key is hot when it emits more than
-    ``pairs_per_task`` pairs or has more than ``rows_per_task`` rows on a side, so the broadcast list
-    has at most (emitted pairs / ``pairs_per_task`` + rows / ``rows_per_task``) entries. The grid has
-    about as many cells as the pairs need tasks, shaped like the two sides so that the fewest rows
-    are repeated.
+    ``pairs_per_task`` pairs or has more than ``rows_per_task`` rows on a side, and more than the
+    ``MAX_HOT``-th part of all of them, so the broadcast list has at most ``2 * MAX_HOT`` entries. The
+    grid has about as many cells as the pairs need tasks, shaped like the two sides so that the fewest
+    rows are repeated.
     """
     nl, nr = F.col("n_left").cast("double"), F.col("n_right").cast("double")
-    cells = F.greatest(F.ceil(nl * nr / pairs_per_task), F.lit(1))
+    pairs, rows = _budget(key_rows, nl * nr, pairs_per_task), _budget(key_rows, F.greatest(nl, nr), rows_per_task)
+    cells = F.greatest(F.ceil(nl * nr / pairs), F.lit(1))
     by_shape = F.ceil(F.sqrt(cells * nl / nr))
     hot = (
-        key_rows.where((nl * nr > pairs_per_task) | (nl > rows_per_task) | (nr > rows_per_task))
-        .withColumn("_fl", F.greatest(by_shape, F.ceil(nl / rows_per_task)).cast("int"))
-        .withColumn("_fr", F.greatest(F.ceil(cells / F.col("_fl")), F.ceil(nr / rows_per_task)).cast("int"))
+        key_rows.where((nl * nr > pairs) | (nl > rows) | (nr > rows))
+        .withColumn("_fl", F.greatest(by_shape, F.ceil(nl / rows)).cast("int"))
+        .withColumn("_fr", F.greatest(F.ceil(cells / F.col("_fl")), F.ceil(nr / rows)).cast("int"))
         .select(on, "_fl", "_fr")
     )
 

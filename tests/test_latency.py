@@ -34,6 +34,20 @@ def test_exact_quantiles_on_many_rows(spark):
     assert [row.q0, row.q1, row.q2] == pytest.approx(np.percentile(values, [50, 95, 99]).tolist(), rel=1e-12)
 
 
+def test_values_in_brackets_are_ordered_in_small_ranges(spark, monkeypatch):
+    """With wide brackets nearly every value is kept; none of the ordered ranges holds many of them."""
+    monkeypatch.setattr(lat, "ACCURACY", 10)
+    monkeypatch.setattr(lat, "BLOCKS", 50)
+    values = [float(v) for v in np.random.default_rng(6).permutation(5000)]
+    df = spark.createDataFrame([(None, v) for v in values] + [("b", 2.0)] * 3, "k string, v double").repartition(4)
+    row = {r.k: r for r in lat.exact_quantiles(df, ["k"], "v", (0.1, 0.5, 0.99)).collect()}
+    assert [row[None][f"q{i}"] for i in range(3)] == pytest.approx(np.percentile(values, [10, 50, 99]).tolist())
+    assert [row["b"][f"q{i}"] for i in range(3)] == [2.0] * 3
+    cells = df.select("k", F.lit(1).alias("_n"), F.col("v").alias("_lo"), F.col("v").alias("_hi"))
+    ranked = lat._ranked(cells, ["k"])
+    assert max(r["count"] for r in ranked.groupBy("k", "_block").count().collect()) < 300
+
+
 def test_latency_stats(spark):
     runs = [3.0, 1.0, 8.0, 4.0]
     rows = [("embed", "a", i, v, None) for i, v in enumerate(runs)] + [("embed", "one", 0, 5.0, None)]

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.operators import lexical as lex
+from quillmesh.operators import skew
 from quillmesh.operators.skew import spread_join, spread_lookup
 from quillmesh.plans import retrieval
 from quillmesh.operators.runners import RunnerSpec
@@ -104,6 +105,18 @@ def test_spread_lookup_splits_hot_keys_exactly(spark, per_task):
     assert sorted((r.id, r.k, r.v) for r in out.collect()) == sorted((r.id, r.k, len(r.k)) for r in left.collect())
 
 
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_hot_lists_have_a_size_bound(spark, monkeypatch, most):
+    """However small the budget of a task, fewer keys than ``MAX_HOT`` are dealt out, and the join stays exact."""
+    monkeypatch.setattr(skew, "MAX_HOT", most)
+    left = spark.range(90).select("id", (F.col("id") % 9).alias("k"))
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    budget = skew._budget(right, F.col("n"), 1)
+    assert right.where(F.col("n") > budget).count() <= most
+    out = spread_lookup(left, right, "k", "n", ["id"], rows_per_task=1)
+    assert sorted((r.id, r.k) for r in out.collect()) == [(i, i % 9) for i in range(90)]
+
+
 @pytest.mark.parametrize(("pairs_per_task", "rows_per_task"), [(4, 3), (50, 10**6), (10**9, 5), (10**9, 10**6)])
 def test_spread_join_equals_plain_join(spark, pairs_per_task, rows_per_task):
     a = spark.range(60).select(F.col("id").alias("a"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7).alias("k"))
