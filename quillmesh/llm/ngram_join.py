@@ -44,6 +44,12 @@ BLOCK_BYTES = 32 << 20
 _PACKED = "bucket int, key bigint, shared bigint, need bigint, tokens binary, keys binary, settled binary"
 
 
+def _rows(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
+    """The rows of some columns as Python values, a few at a time, as a batch may hold much."""
+    for at in range(0, len(batch), 64):
+        yield from zip(*(batch.column(c).slice(at, 64).to_pylist() for c in columns))
+
+
 def prefix_sizes(n: int, percent: int) -> tuple[int, int]:
     """(prefix length, shared tokens that a linked set has there at least) of a set of n > 0 tokens."""
     k = 1 + n // 8
@@ -110,7 +116,7 @@ def _pack(percent: int, size: int, buckets: int):
                     if copy:
                         counts[first] = max(counts[first], needs[first])
                         continue
-                    tokens.append(found[:length])
+                    tokens.append(found[:length].copy())  # a view would keep the whole set
                     owners.append((len(keys) - 1, length))
                     held += length
                 if held >= FLUSH:
@@ -143,7 +149,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(plain):
             yield plain.select(["key", "shared", "need"])
         packed = batch.filter(batch.column("tokens").is_valid())
-        for bucket, *block in zip(*(packed.column(c).to_pylist() for c in ("bucket", "tokens", "keys", "settled"))):
+        for bucket, *block in _rows(packed, "bucket", "tokens", "keys", "settled"):
             if bucket != now:
                 yield from flush()
                 now = bucket
@@ -166,17 +172,18 @@ def _sets(size: int):
 
         for batch in batches:
             wanted = batch.column("wanted").to_pylist()
-            n, class_, packed = [], [], []
-            for a, _, data, bounds in slices(batch.column("text")):
+            for a, b, data, bounds in slices(batch.column("text")):
+                n, class_, packed = [], [], []
                 for d, found in enumerate(shingle_sets(Words(data, bounds, NOT_SPACE), size), a):
                     n.append(len(found))
                     keep = wanted[d] and len(found)
-                    raw = found.tobytes() if keep else b""
+                    raw = found.tobytes() if keep else None
                     class_.append(xxhash.xxh3_128_digest(raw) if keep else None)
-                    packed.append(raw if keep else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row_hash"), pa.array(n, pa.int64()), pa.array(class_, pa.binary()), pa.array(packed, pa.binary())],
-                names=["doc_id", "row_hash", "n_shingles", "class", "tokens"])
+                    packed.append(raw)
+                own = [batch.column(c).slice(a, b - a) for c in ("doc_id", "row_hash")]
+                yield pa.RecordBatch.from_arrays(
+                    [*own, pa.array(n, pa.int64()), pa.array(class_, pa.binary()), pa.array(packed, pa.binary())],
+                    names=["doc_id", "row_hash", "n_shingles", "class", "tokens"])
 
     return run
 
@@ -204,7 +211,7 @@ def _spread(buckets: int):
             keys.clear()
 
         for batch in batches:
-            for node, raw in zip(batch.column("node").to_pylist(), batch.column("tokens").to_pylist()):
+            for node, raw in _rows(batch, "node", "tokens"):
                 tokens.append(np.frombuffer(raw, np.uint64))
                 keys.append(np.full(len(tokens[-1]), node, np.int64))
                 held += len(tokens[-1])
@@ -238,7 +245,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key[at]), *packed], names=["node", "shared", "often"])
 
     for batch in batches:
-        for bucket, *block in zip(*(batch.column(c).to_pylist() for c in ("bucket", "tokens", "keys"))):
+        for bucket, *block in _rows(batch, "bucket", "tokens", "keys"):
             if bucket != now:
                 yield from flush()
                 now = bucket
@@ -252,7 +259,7 @@ def _rare_prefixes(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, nodes = [], []
-            for node, n, shared, often in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "shared", "often"))):
+            for node, n, shared, often in _rows(batch, "node", "n", "shared", "often"):
                 tok, count = np.frombuffer(b"".join(shared), np.uint64), np.frombuffer(b"".join(often), np.uint8)
                 # tokens of this class alone come first in the order and fill the prefix's beginning
                 length = (n - (-(-percent * n // 100)) + 1) - (n - len(tok))
@@ -292,7 +299,7 @@ def _search(percent: int):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], names=["a", "b"])
 
         for batch in batches:
-            for group, node, raw in zip(batch.column("group").to_pylist(), batch.column("node").to_pylist(), batch.column("tokens").to_pylist()):
+            for group, node, raw in _rows(batch, "group", "node", "tokens"):
                 if group != now:
                     yield from flush()
                     now = group
