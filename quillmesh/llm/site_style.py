@@ -5,7 +5,8 @@ one style node. Per node it counts the presentation styles (the sequence of chil
 its leaves) over the host's pages. The presentation importance of a node is the entropy of its styles to base
 m, the number of pages; the content importance is one minus the mean of ``log c / log m``, c pages having a leaf's text.
 They are combined as ``(1 - g**l) * presentation + g**l * content`` for a node with l child styles, g = 0.9.
-Nodes below ``LEAST`` that occur on at least ``SUPPORT`` of the host's pages are branches to remove.
+Nodes below ``LEAST`` that occur on at least ``SUPPORT`` of the host's pages are branches to remove, if all nodes below
+them are below ``LEAST`` too.
 
 Elements whose role is written down (``nav``, ``footer``, ``aside``, forms, class names such as ``ad`` or ``comments``)
 have no importance by definition, ``article`` and ``main`` have full importance; statistics alone cannot tell menus of
@@ -27,7 +28,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.url_filter import split_url
@@ -241,9 +242,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("n_log_n"), F.count("*").alias("values")
     )
     # a leaf's texts count for all nodes above it
-    steps = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
-    spread = own.select("host", F.explode(F.when(F.col("kind") == 2, above).otherwise(F.array("path"))).alias("path"), "kind", "n", "n_log_n", "values")
+    spread = own.select("host", F.explode(F.when(F.col("kind") == 2, _above(F.col("path"))).otherwise(F.array("path"))).alias("path"), "kind", "n", "n_log_n", "values")
     of = lambda kind, column: F.sum(F.when(F.col("kind") == kind, F.col(column)))
     nodes = spread.groupBy("host", "path").agg(
         of(1, "n").alias("seen"), of(1, "n_log_n").alias("seen_log"), of(1, "values").alias("styles"),
@@ -261,10 +260,20 @@ def style_tree(pages: DataFrame) -> DataFrame:
     )
 
 
+def _above(path: Column) -> Column:
+    """The paths of a node and of all nodes above it."""
+    steps = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
+
+
 def unimportant(tree: DataFrame) -> DataFrame:
-    """``host, removed array<string>``: branches below the bound, outside the main branch, on enough pages."""
-    low = tree.where((F.col("importance") < LEAST) & (F.col("support") >= SUPPORT) & (F.col("pages") >= LEAST_PAGES) & ~F.col("main"))
-    return low.where(~F.col("path").rlike(r"^(/html)?(/body|/head)?$")).groupBy("host").agg(F.collect_list("path").alias("removed"))
+    """``host, removed array<string>``: nodes on enough pages below which (themselves included) all is below the bound and nothing is main."""
+    low = (F.col("importance") < LEAST) & (F.col("support") >= SUPPORT) & (F.col("pages") >= LEAST_PAGES)
+    # a rare node is no evidence for the branch around it, unless it is important
+    marked = tree.select("host", "path", ((F.col("importance") >= LEAST) | F.col("main")).alias("keeps"), low.alias("low"))
+    spread = marked.select("host", F.explode(_above(F.col("path"))).alias("node"), "keeps", (F.col("low") & (F.col("node") == F.col("path"))).alias("low"))
+    nodes = spread.groupBy("host", F.col("node").alias("path")).agg(F.bool_or("keeps").alias("keeps"), F.bool_or("low").alias("low")).where("low and not keeps")
+    return nodes.where(~F.col("path").rlike(r"^(/html)?(/body|/head)?$")).groupBy("host").agg(F.collect_list("path").alias("removed"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

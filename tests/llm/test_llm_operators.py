@@ -239,6 +239,18 @@ def test_main_text(spark):
     assert site_style.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def texts_of(spark, host, bodies):
+    pages = [(i, f"http://{host}/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    return {r.page_id: r.text for r in site_style.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+
+
+def test_template_wrapper_keeps_its_article(spark):
+    menu = "<div class='m'>" + "".join(f"<p>Menu {k}</p>" for k in range(30)) + "</div>"
+    text = texts_of(spark, "w.org", [f"<div id='page'>{menu}<article>" + "".join(f"<p>Own {i} {k}</p>" for k in range(5)) + "</article></div>" for i in range(8)])
+    plain = texts_of(spark, "v.org", [f"<div id='page'>{menu}<div class='t'>" + "".join(f"<p>Own {i} {k}</p>" for k in range(5)) + "</div></div>" for i in range(8)])
+    assert text[3] == plain[3] == "\n".join(f"Own 3 {k}" for k in range(5))
+
+
 def test_url_filter_equals_brute_force(spark, data):
     rules = url_filter.RULES
     urls = [(r.page_id, r.url) for r in spark.read.parquet(f"{data}/pages.parquet").collect()]
