@@ -1,7 +1,7 @@
 """Main text of web pages by a site style tree.
 
 Pass 1 parses every page and merges the trees of one host: elements with the same path of tags and class names are
-one style node. Per node it counts the presentation styles (the sequence of child tags) and the contents (texts of
+one style node, named by a running hash (the parent's hash and the own style), with paths of any length. Per node it counts the presentation styles (the sequence of child tags) and the contents (texts of
 its leaves) over the host's pages. The presentation importance of a node is the entropy of its styles to base
 m, the number of pages; the content importance is one minus the mean of ``log c / log m``, c pages having a leaf's text.
 They are combined as ``(1 - g**l) * presentation + g**l * content`` for a node with l child styles, g = 0.9.
@@ -28,7 +28,8 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.url_filter import split_url
@@ -37,6 +38,8 @@ from quillmesh.session import materialize, ship_package
 LEAST, SUPPORT, LEAST_PAGES, DAMPING = 0.25, 0.3, 5, 0.9
 SALTS = 64
 FLUSH = 200_000
+#: Ancestor hashes in one Arrow batch.
+STEPS = 1_000_000
 
 # Fixed sets of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,6 +55,7 @@ MAIN = frozenset("article main".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
+FRAME = frozenset("html body head".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 NOISE_NAME = re.compile(
     r"(?:^|[-_])(?:ads?|advert\w*|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|sidebar\w*|footer|breadcrumbs?|cookies?|consent|gdpr"
@@ -69,14 +73,26 @@ _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*
 
 
 class Element:
-    __slots__ = ("tag", "path", "noise", "main", "children")
+    __slots__ = ("tag", "node", "parent", "noise", "main", "children")
 
-    def __init__(self, tag: str, path: str, noise: bool, main: bool):
-        self.tag, self.path, self.noise, self.main, self.children = tag, path, noise, main, []
+    def __init__(self, tag: str, node: int, parent: Element | None, noise: bool, main: bool):
+        self.tag, self.node, self.parent, self.noise, self.main, self.children = tag, node, parent, noise, main, []
+
+    def above(self) -> list[int]:
+        """The nodes of this element and of all above it, without the root."""
+        nodes, e = [], self
+        while e.parent is not None:
+            nodes.append(e.node)
+            e = e.parent
+        return nodes
+
+
+def _number(text: str, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), seed & (1 << 64) - 1) - (1 << 63)
 
 
 def _open(tag: str, rest: str, parent: Element) -> Element:
-    """The element of an opening tag: its style path and what its own name says about its role."""
+    """The element of an opening tag: its style node and what its own name says about its role."""
     names, roles, hidden = [], [], False
     if rest:
         for name, *values in _ATTRIBUTE.findall(rest):
@@ -91,7 +107,7 @@ def _open(tag: str, rest: str, parent: Element) -> Element:
     noise = parent.noise or hidden or (tag in NOISE and not (tag == "header" and parent.main)) or any(r in NOISE_ROLES for r in roles)
     noise = noise or any(NOISE_NAME.search(n) for n in names) or (not parent.main and any(HEADER_NAME.search(n) for n in names))
     style = tag + "".join("." + re.sub(r"\d+", "0", n) for n in sorted(set(names)))
-    return Element(tag, f"{parent.path}/{style}" if len(parent.path) < 400 else parent.path, noise, main)
+    return Element(tag, _number(style, parent.node), parent, noise, main)
 
 
 class Page:
@@ -100,7 +116,7 @@ class Page:
     def __init__(self, html: str):
         self.blocks: list[tuple[Element, str]] = []
         self.elements: list[Element] = []
-        root = Element("", "", False, False)
+        root = Element("", 0, None, False, False)
         self.elements.append(root)
         stack = [root]
         parts: list[str] = []
@@ -177,103 +193,120 @@ def style_of(element: Element) -> str:
     return " ".join(t for i, t in enumerate(element.children) if i == 0 or element.children[i - 1] != t)
 
 
-def main_text(html: str, removed: frozenset[str] | set[str] = frozenset()) -> str:
-    """Blocks of the main text, one per line; ``removed`` are style paths of unimportant branches of the host."""
+def main_text(html: str, removed: frozenset[int] | set[int] = frozenset()) -> str:
+    """Blocks of the main text, one per line; ``removed`` are style nodes of unimportant branches of the host."""
     page = Page(html)
-    blocks = [(e, t) for e, t in page.blocks if not e.noise and not _below(e.path, removed)]
+    gone: dict[Element, bool] = {}
+    blocks = [(e, t) for e, t in page.blocks if not e.noise and not _below(e, removed, gone)]
     if any(e.main and not e.noise for e in page.elements):
         blocks = [(e, t) for e, t in blocks if e.main]
     return "\n".join(t for _, t in blocks)
 
 
-def _below(path: str, removed) -> bool:
+def _below(element: Element, removed, known: dict[Element, bool]) -> bool:
+    """Whether the element is in a removed branch; each element of a page is looked at once."""
     if not removed:
         return False
-    at = path.find("/", 1)
-    while at > 0:
-        if path[:at] in removed:
-            return True
-        at = path.find("/", at + 1)
-    return path in removed
+    way, e = [], element
+    while e is not None and e not in known and (e.tag in FRAME or e.node not in removed):
+        way.append(e)
+        e = e.parent
+    found = e is not None and known.get(e, True)
+    known.update(dict.fromkeys(way, found))
+    return found
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (host, path, kind, value): kind 0 pages, 1 styles, 2 leaf texts; main branches are marked in 3."""
-    import xxhash
-
+    """Counts of (host, node, kind, value): kind 0 pages, 1 styles, 2 leaf texts, 3 main elements; 4 has the nodes above a node."""
     counts: Counter = Counter()
+    met: dict[tuple[str, int], Element] = {}
+
+    def batch_of(keys, n, above):
+        columns = [pa.array(c, t) for c, t in zip(keys, (pa.string(), pa.int64(), pa.int32(), pa.int64()))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(above, pa.list_(pa.int64()))], names=["host", "node", "kind", "value", "n", "above"])
 
     def flush():
         if counts:
-            keys = list(zip(*counts))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[0], pa.string()), pa.array(keys[1], pa.string()), pa.array(keys[2], pa.int32()), pa.array(keys[3], pa.int64()), pa.array(list(counts.values()), pa.int64())],
-                names=["host", "path", "kind", "value", "n"])
-            counts.clear()
+            yield batch_of(list(zip(*counts)), list(counts.values()), [None] * len(counts))
+        own, lists, steps = [], [], 0
+        for (host, node), e in met.items():
+            own.append((host, node, 4, 0))
+            lists.append(e.above())
+            steps += len(lists[-1])
+            if steps >= STEPS:
+                yield batch_of(list(zip(*own)), [1] * len(own), lists)
+                own, lists, steps = [], [], 0
+        if own:
+            yield batch_of(list(zip(*own)), [1] * len(own), lists)
+        counts.clear()
+        met.clear()
 
-    number = lambda text: xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
     for batch in batches:
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             page = Page(html)
-            counts[host, "", 0, 0] += 1
-            styles: dict[str, list[str]] = {}
+            counts[host, 0, 0, 0] += 1
+            styles: dict[int, list[str]] = {}
             for e in page.elements[1:]:
-                styles.setdefault(e.path, []).append(style_of(e))
+                styles.setdefault(e.node, []).append(style_of(e))
+                met.setdefault((host, e.node), e)
                 if e.main:
-                    counts[host, e.path, 3, 0] += 1
-            for path, own in styles.items():
-                counts[host, path, 1, number("|".join(dict.fromkeys(own)))] += 1
-            for path, text in {(e.path, t) for e, t in page.blocks}:
-                counts[host, path, 2, number(text)] += 1
+                    counts[host, e.node, 3, 0] += 1
+            for node, own in styles.items():
+                counts[host, node, 1, _number("|".join(dict.fromkeys(own)))] += 1
+            for e, _ in page.blocks:
+                if e.parent is not None:
+                    met.setdefault((host, e.node), e)
+            for node, text in {(e.node, t) for e, t in page.blocks if e.parent is not None}:
+                counts[host, node, 2, _number(text)] += 1
             if len(counts) >= FLUSH:
                 yield from flush()
     yield from flush()
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """``host, path, pages, presentation, content, importance, support, main`` of the style nodes of every host."""
+    """``host, node, above, pages, presentation, content, importance, support, main`` of the style nodes of every host."""
     ship_package(pages.sparkSession)
     host, _ = split_url(F.col("url").cast("string"))
     rows = pages.select(host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    counts = rows.mapInArrow(_statistics, "host string, path string, kind int, value bigint, n bigint")
-    counts = materialize(counts.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n")), "styles")
+    counts = rows.mapInArrow(_statistics, "host string, node bigint, kind int, value bigint, n bigint, above array<bigint>")
+    # the nodes above a node follow from the node, so as a key they part no group
+    counts = materialize(counts.groupBy("host", "node", "kind", "value", "above").agg(F.sum("n").alias("n")), "styles")
     # sums of n and of n log n are all that both entropies need, so the page counts join the few nodes, never the contents
-    own = counts.where("kind = 1 or kind = 3 or (kind = 2 and path <> '')").groupBy("host", "path", "kind").agg(
+    own = counts.where("kind > 0").groupBy("host", "node", "kind", "above").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("n_log_n"), F.count("*").alias("values")
     )
-    # a leaf's texts count for all nodes above it
-    spread = own.select("host", F.explode(F.when(F.col("kind") == 2, _above(F.col("path"))).otherwise(F.array("path"))).alias("path"), "kind", "n", "n_log_n", "values")
     of = lambda kind, column: F.sum(F.when(F.col("kind") == kind, F.col(column)))
-    nodes = spread.groupBy("host", "path").agg(
-        of(1, "n").alias("seen"), of(1, "n_log_n").alias("seen_log"), of(1, "values").alias("styles"),
-        of(2, "n").alias("texts"), of(2, "n_log_n").alias("texts_log"), F.coalesce(F.bool_or(F.col("kind") == 3), F.lit(False)).alias("main"),
-    ).where("seen is not null")
+    single = own.groupBy("host", "node").agg(
+        of(1, "n").alias("seen"), of(1, "n_log_n").alias("seen_log"), of(1, "values").alias("styles"), of(2, "n").alias("texts"), of(2, "n_log_n").alias("texts_log"),
+        F.coalesce(F.bool_or(F.col("kind") == 3), F.lit(False)).alias("main"), F.max("above").alias("above"),
+    )
+    # a leaf's texts count for all nodes above it
+    # only a node's own row has its list of nodes above, or deep pages would hold a list per pair
+    own_row = lambda column: F.when(F.col("at") == F.col("node"), F.col(column)).alias(column)
+    kept = ("seen", "seen_log", "styles", "main", "above")
+    spread = single.select("*", F.explode("above").alias("at")).select("host", "at", "texts", "texts_log", *[own_row(c) for c in kept])
+    nodes = spread.groupBy("host", "at").agg(*[F.max(c).alias(c) for c in kept], F.sum("texts").alias("texts"), F.sum("texts_log").alias("texts_log"))
+    nodes = nodes.withColumnRenamed("at", "node").where("seen is not null")
     m = counts.where("kind = 0").select("host", F.col("n").alias("pages"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    nodes = nodes.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(m, ["host", "salt"])
+    nodes = nodes.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(m, ["host", "salt"])
     log_m = F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double"))
     presentation = (F.col("seen") * F.log(F.col("pages").cast("double")) - F.col("seen_log")) / (F.col("pages") * log_m)
     content = F.coalesce(1 - F.col("texts_log") / (F.col("texts") * log_m), F.lit(0.0))
     damp = F.pow(F.lit(DAMPING), F.col("styles"))
     return nodes.select("*", presentation.alias("presentation"), content.alias("content")).select(
-        "host", "path", "pages", "presentation", "content", ((1 - damp) * F.col("presentation") + damp * F.col("content")).alias("importance"),
+        "host", "node", "above", "pages", "presentation", "content", ((1 - damp) * F.col("presentation") + damp * F.col("content")).alias("importance"),
         (F.col("seen") / F.col("pages")).alias("support"), "main",
     )
 
 
-def _above(path: Column) -> Column:
-    """The paths of a node and of all nodes above it."""
-    steps = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
-
-
 def unimportant(tree: DataFrame) -> DataFrame:
-    """``host, removed array<string>``: nodes on enough pages below which (themselves included) all is below the bound and nothing is main."""
+    """``host, removed array<bigint>``: nodes on enough pages below which (themselves included) all is below the bound and nothing is main."""
     low = (F.col("importance") < LEAST) & (F.col("support") >= SUPPORT) & (F.col("pages") >= LEAST_PAGES)
     # a rare node is no evidence for the branch around it, unless it is important
-    marked = tree.select("host", "path", ((F.col("importance") >= LEAST) | F.col("main")).alias("keeps"), low.alias("low"))
-    spread = marked.select("host", F.explode(_above(F.col("path"))).alias("node"), "keeps", (F.col("low") & (F.col("node") == F.col("path"))).alias("low"))
-    nodes = spread.groupBy("host", F.col("node").alias("path")).agg(F.bool_or("keeps").alias("keeps"), F.bool_or("low").alias("low")).where("low and not keeps")
-    return nodes.where(~F.col("path").rlike(r"^(/html)?(/body|/head)?$")).groupBy("host").agg(F.collect_list("path").alias("removed"))
+    marked = tree.select("host", "node", "above", ((F.col("importance") >= LEAST) | F.col("main")).alias("keeps"), low.alias("low"))
+    spread = marked.select("host", F.explode("above").alias("at"), "keeps", F.when(F.col("at") == F.col("node"), F.col("low")).otherwise(False).alias("low"))
+    nodes = spread.groupBy("host", "at").agg(F.bool_or("keeps").alias("keeps"), F.bool_or("low").alias("low")).where("low and not keeps")
+    return nodes.groupBy("host").agg(F.collect_list("at").alias("removed"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -251,6 +251,14 @@ def test_template_wrapper_keeps_its_article(spark):
     assert text[3] == plain[3] == "\n".join(f"Own 3 {k}" for k in range(5))
 
 
+def test_deep_nodes_under_long_class_names(spark):
+    utility = " ".join(f"{w}-utility-class-name" for w in "flex grid wide tall round".split())
+    body = lambda i: f"<div class='{utility}'>" * 8 + f"<div class='s'><p>Fixed notice</p></div><div class='t'><p>Own text {i}</p></div>" + "</div>" * 8
+    assert texts_of(spark, "u.org", [body(i) for i in range(8)])[3] == "Own text 3"
+    deep = texts_of(spark, "d.org", ["<div>" * 600 + f"Own {i}" for i in range(2)])
+    assert deep[1] == "Own 1"
+
+
 def test_url_filter_equals_brute_force(spark, data):
     rules = url_filter.RULES
     urls = [(r.page_id, r.url) for r in spark.read.parquet(f"{data}/pages.parquet").collect()]
