@@ -259,6 +259,19 @@ def test_deep_nodes_under_long_class_names(spark):
     assert deep[1] == "Own 1"
 
 
+def test_roles_shift_importance_only(spark):
+    """Text beside an article stays if it is important; names do not speak for elements around the main text."""
+    card = "<article class='card'><p>Teaser {i}</p></article>"
+    got = texts_of(spark, "r.org", [f"<div class='x'><p>Own {i}</p></div><div class='z'><p>Fixed</p></div>" + card.format(i=i) for i in range(8)])
+    assert got[3] == "Own 3\nTeaser 3"
+    assert site_style.main_text("<body class='has-sidebar'><nav>M</nav><p>Own</p></body>") == "Own"
+    assert site_style.main_text("<div class='comments-open'><div class='ad'>Buy</div><article><p>Own</p></article></div>") == "Own"
+    assert site_style.main_text("<div class='cookie-notice'>We</div><div class='nav-fixed'><nav>M</nav><div>Own text</div></div>") == "Own text"
+    assert site_style.main_text("<form><article class='post sidebar-left'><p>Own</p><div class='comments'>No</div></article></form>") == "Own"
+    assert site_style.main_text("<main>Own text <span class='share'>Share</span></main><div class='related'><article>Card</article></div><p hidden>H</p>") == "Own text"
+    assert [t for t in texts_of(spark, "c.org", ["<div><p>Copy</p></div>"] * 6).values()] == ["Copy"] * 6
+
+
 def test_url_filter_equals_brute_force(spark, data):
     rules = url_filter.RULES
     urls = [(r.page_id, r.url) for r in spark.read.parquet(f"{data}/pages.parquet").collect()]
