@@ -3,7 +3,8 @@
 Terms of a text are its distinct words and their first four and five bytes, as 64-bit hashes. The machine has a
 weight and a short factor vector per term, so a pair of terms (an insult and a group, say) adds evidence that neither has
 alone. It is fitted on the driver on a bounded sample of labelled rows (``TRAIN_ROWS``, the smallest hashes of ids); terms
-in fewer than ``MIN_ROWS`` of these rows are unknown. Scoring runs in Arrow batches over all whole texts.
+in fewer than ``MIN_ROWS`` of these rows, terms that do not depend on the label by themselves (chi-squared below
+``LEAST_CHI2``) and those after the strongest ``MAX_TERMS`` are unknown, so pairs of singly weak terms are missed. Scoring runs in Arrow batches over all whole texts.
 
 Labels are learned only from rows whose ``crc32(doc_id as text) mod 5`` is not 0; no label, language, source or id is an
 input of a score. Defined cases: a null text is empty; an empty text gets the model's base rate; a null label is not
