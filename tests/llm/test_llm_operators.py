@@ -291,6 +291,16 @@ def test_url_filter_equals_brute_force(spark, data):
     assert sum(abs(weights) > 0) > 100 and np.isfinite(bias)
 
 
+def test_labelled_urls_are_not_from_the_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    names = lambda url: url.split("://", 1)[1].split("/")[0].split(".example.")[0].split(".")[-1]
+    given = {names(r.url) for r in pages.select("url").distinct().collect()}
+    own = [names(u) for u, _ in url_filter.LABELLED_URLS]
+    assert not given & set(own) and len(set(own)) == len(own)
+    words = {w for n in given if "-" in n for w in n.split("-")}
+    assert not {w for n in own for w in n.split("-")} & words
+
+
 def test_imatch(spark):
     dice = np.random.default_rng(4)
     rows = [(i, " ".join(f"t{k}" for k in dice.integers(0, 500, 60))) for i in range(60)]
