@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillmesh.operators.latency import LABELS, request_counter
+from quillmesh.operators.latency import LABELS, latency_histogram, request_counter
 from quillmesh.operators.runners import ModelRegistry
 from quillmesh.plans.serving import serve_embed, serve_rerank, serve_rewrite
 
@@ -44,6 +44,11 @@ def metrics_stream(log: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
     return request_counter(log, labels)
 
 
+def histogram_stream(log: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
+    """Running latency histogram over the same log; state is one row per label combination."""
+    return latency_histogram(log, labels)
+
+
 def start_append(df: DataFrame, path: str, checkpoint: str, processing_time: str | None = None) -> StreamingQuery:
     """Append answers to Parquet (exactly once). Without an interval: all available input, then stop."""
     writer = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)

@@ -5,7 +5,7 @@ from quillmesh.plans import fixtures as fx
 from quillmesh.plans.serving import serve_embed, serve_rerank
 from quillmesh.sources.sinks import write_benchmark, write_evaluation
 from quillmesh.sources.tables import read_requests, stream_requests, table
-from quillmesh.operators.latency import latency_stats, request_counter
+from quillmesh.operators.latency import latency_histogram, latency_stats, request_counter
 from quillmesh.operators.evaluation import summarize
 from quillmesh.operators.reports import evaluation_report
 from quillmesh.streaming import jobs
@@ -63,6 +63,16 @@ def test_metrics_stream_equals_batch(spark, data, tmp_path):
     assert plain(got, *names) == plain(request_counter(log).collect(), *names)
 
 
+def test_histogram_stream_equals_batch(spark, data, tmp_path):
+    log = fx.request_log(table(spark, data, "events"))
+    log.repartition(5).write.parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    jobs.start_snapshot(jobs.histogram_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = jobs.read_snapshot(spark, str(tmp_path / "out")).collect()
+    names = ("model_type", "model_name", "model_cls", "le", "bucket_count", "count")
+    assert plain(got, *names) == plain(latency_histogram(log).collect(), *names) and got
+
+
 def test_report_and_benchmark_sinks(spark, tmp_path):
     metrics = spark.createDataFrame([(1, 0.5), (2, 0.7)], "id int, cosine_similarity double")
     summary = summarize(metrics, ["cosine_similarity"], "dense")
