@@ -336,8 +336,7 @@ def rerank_sigmoid(spark, sf):
 def rerank_fallback(spark, sf):
     pairs = fx.assigned_pairs(_docs(spark, sf), _queries(spark, sf))
     pairs = pairs.select("request_id", "pos", "query", "text")
-    scored = rerank(pairs, RunnerSpec("rerank", "quillmesh.plans.fixtures:PoisonedRerankRunner", 256))
-    rows = fallback_scores(scored.drop("query", "text"))
+    rows = fallback_scores(fx.failing_scores(pairs).drop("query", "text"))
     return rows.select(
         "request_id", big("pos").alias("pos"), "score", "fell_back", big("status").alias("status"), "error"
     )

@@ -250,14 +250,12 @@ def request_log(events: DataFrame) -> DataFrame:
     )
 
 
-class PoisonedRerankRunner:
-    """Fault injection: fails on texts whose length is a multiple of 25, else a length ratio."""
-
-    def __init__(self, batch_size: int = 256) -> None:
-        self.batch_size = batch_size
-
-    def run(self, inputs: list[tuple[str, str]]) -> list[float]:
-        lengths = [(len(q), len(t)) for q, t in inputs]
-        if any(t % 25 == 0 for _, t in lengths):
-            raise RuntimeError("poisoned text")
-        return [min(q, t) / max(q, t, 1) for q, t in lengths]
+def failing_scores(pairs: DataFrame) -> DataFrame:
+    """Length ratios as scores; texts whose length is a multiple of 25 are failed rows."""
+    q, t = F.length("query"), F.length("text")
+    failed = t % 25 == 0
+    return pairs.withColumns({
+        "score": F.when(~failed, F.least(q, t).cast("double") / F.greatest(q, t, F.lit(1))),
+        "status": F.when(failed, F.lit(500)),
+        "error": F.when(failed, F.lit("run exception: poisoned text")),
+    })

@@ -60,3 +60,8 @@ def test_entry(spark):
 def test_every_query_has_sql():
     assert set(CATALOG) == set(ORACLES)
     assert set(CATALOG) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql()) <= set(contract.queries())
+
+
+def test_rerank_fallback_runs_no_python(spark, data):
+    plan = CATALOG["rerank_fallback"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
