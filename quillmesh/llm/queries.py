@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import chat_format, decontaminate, imatch, ngram_join, packing, secrets, site_style, token_store, toxicity, url_filter
+from quillmesh.llm import (
+    byte_bpe, chat_format, decontaminate, imatch, ngram_join, packing, prefix_trie, secrets, site_style, token_store, toxicity, turn_repair, url_filter,
+)
 from quillmesh.session import scratch_path
 from quillmesh.sources.tables import table
 
@@ -73,11 +75,29 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = turn_repair.damage(table(spark, sf_dir, "conversations"))
+    return turn_repair.digest(turn_repair.repair(damaged, F.col("gone")))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_toxicity, op3_secrets, op4_main_text, op5_near_duplicates,
         op6_url_filter, op7_imatch, op8_token_store, op9_packing, op10_chat_format,
+        op11_turn_repair, op12_byte_bpe, op13_prefix_trie,
     )
 }
 
