@@ -22,27 +22,30 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.tokens import tokenizer_path
+from quillmesh.llm.tokens import WordIds, tokenizer_path
 from quillmesh.session import ship_package
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Strings up to this many bytes are leaves of the tree.
-LEAF = 32
+LEAF = 16
+#: Stands for a pair without a rank.
+NO_RANK = np.int32(2**31 - 1)
 #: Encodings of matches that one worker keeps; longer matches than ``CACHED_CHARS`` are not kept.
-CACHE_WORDS, CACHED_CHARS = 400_000, 64
+CACHE_WORDS, CACHED_CHARS = 200_000, 64
 #: Ids that one output batch holds at most, unless one document has more.
-BATCH_IDS = 4_000_000
+BATCH_IDS = 1_000_000
 #: Tokens of a leaf of the decoding tree.
 DECODE_LEAF = 4096
 
 _loaded: dict[str, "RankEncoder"] = {}
+_tables: dict[str, WordIds] = {}
 
 
 def read_ranks(name: str) -> dict[bytes, int]:
@@ -69,7 +72,13 @@ class RankEncoder:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.split = regex.compile(pattern).findall
-        self.cache: dict[str, bytes] = {}
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        # every way to put a token together from two others
+        pairs = sorted(
+            (ranks[t[:i]] * len(self.tokens) + ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
+        )
+        self.pair_keys, self.pair_ranks = (np.array(x, np.int64) for x in zip(*pairs))
+        self.cache: dict[str, np.ndarray] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The definition itself, with a heap of candidate pairs over a linked list."""
@@ -99,6 +108,50 @@ class RankEncoder:
             at = end[at]
         return out
 
+    def merge_leaves(self, pieces: Sequence[bytes]) -> list[np.ndarray]:
+        """The encodings of many short strings at once: each round merges one pair of every string that still has one."""
+        out: list = [None] * len(pieces)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ids = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        owner = np.repeat(np.arange(len(pieces)), sizes)
+        rank = self._pair_ranks(ids, owner)
+        while len(ids):
+            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            least = np.minimum.reduceat(rank, starts)
+            lengths = np.diff(np.append(starts, len(ids)))
+            done = least == NO_RANK
+            if done.any():
+                mine = np.repeat(done, lengths)
+                settled = np.split(ids[mine], np.cumsum(lengths[done])[:-1])
+                for n, found in zip(owner[starts[done]].tolist(), settled):
+                    out[n] = found
+                ids, owner, rank = ids[~mine], owner[~mine], rank[~mine]
+                if not len(ids):
+                    break
+                starts, least, lengths = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])), least[~done], lengths[~done]
+            # the leftmost pair of least rank of every string
+            hits = np.flatnonzero(rank == np.repeat(least, lengths))
+            hits = hits[np.append(True, owner[hits[1:]] != owner[hits[:-1]])]
+            ids[hits] = rank[hits]
+            keep = np.ones(len(ids), bool)
+            keep[hits + 1] = False
+            shifted = (np.cumsum(keep) - 1)[hits]
+            ids, owner, rank = ids[keep], owner[keep], rank[keep]
+            for at in (shifted, shifted[shifted > 0] - 1):
+                after = np.minimum(at + 1, len(ids) - 1)
+                rank[at] = np.where((after > at) & (owner[after] == owner[at]), self._ranks_of(ids[at], ids[after]), NO_RANK)
+        return [x if x is not None else np.zeros(0, np.int32) for x in out]
+
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) * len(self.tokens) + right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NO_RANK).astype(np.int32)
+
+    def _pair_ranks(self, ids: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        rank = np.full(len(ids), NO_RANK, np.int32)
+        rank[:-1] = np.where(owner[1:] == owner[:-1], self._ranks_of(ids[:-1], ids[1:]), NO_RANK)
+        return rank
+
     def join(self, a: list[int], b: list[int]) -> list[int]:
         """The encoding of the joined bytes of two encodings."""
         if not a or not b:
@@ -115,29 +168,44 @@ class RankEncoder:
         """Halves are cut at the largest power of two below the length, so that repeats fall alike on both sides."""
         if len(piece) <= LEAF:
             return self.merge(piece) if piece else []
-        cut = 1 << ((len(piece) - 1).bit_length() - 1)
-        return self.join(self.encode_bytes(piece[:cut]), self.encode_bytes(piece[cut:]))
+        leaves, n = [], len(piece)
+        for i in range(0, n, LEAF):
+            leaves.append(piece[i : i + LEAF])
+        return self._tree([x.tolist() for x in self.merge_leaves(leaves)])
+
+    def _tree(self, parts: list[list[int]]) -> list[int]:
+        if len(parts) == 1:
+            return parts[0]
+        cut = 1 << ((len(parts) - 1).bit_length() - 1)
+        return self.join(self._tree(parts[:cut]), self._tree(parts[cut:]))
+
+    def encode_texts(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """Ids of each text; the leaves of all matches not seen before are merged together."""
+        words = [self.split(t) for t in texts]
+        cache = self.cache
+        new = [w for w in set().union(*words) if w not in cache] if words else []
+        if new:
+            pieces = [w.encode() for w in new]
+            cuts = [range(0, len(p), LEAF) for p in pieces]
+            leaves = self.merge_leaves([p[i : i + LEAF] for p, cut in zip(pieces, cuts) for i in cut])
+            at = 0
+            for word, cut in zip(new, cuts):
+                own = leaves[at : at + len(cut)]
+                cache[word] = own[0] if len(own) == 1 else np.array(self._tree([x.tolist() for x in own]), np.int32)
+                at += len(cut)
+        none = np.zeros(0, np.int32)
+        found = [none if not own else cache[own[0]] if len(own) == 1 else np.concatenate([cache[w] for w in own]) for own in words]
+        if len(cache) > CACHE_WORDS or any(len(w) > CACHED_CHARS for w in new):
+            cache.clear()
+        return found
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
-        words, cache = self.split(text), self.cache
-        long = []
-        for word in set(words).difference(cache):
-            ids = np.array(self.encode_bytes(word.encode()), "<i4").tobytes()
-            cache[word] = ids
-            if len(word) > CACHED_CHARS:
-                long.append(word)
-        out = b"".join(map(cache.__getitem__, words))
-        for word in long:
-            del cache[word]
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        return out
+        return self.encode_texts([text])[0].astype("<i4").tobytes()
 
-    def decode(self, ids: list[int]) -> bytes:
-        if len(ids) <= DECODE_LEAF:
-            return b"".join(map(self.tokens.__getitem__, ids))
-        runs = [b"".join(map(self.tokens.__getitem__, ids[i : i + DECODE_LEAF])) for i in range(0, len(ids), DECODE_LEAF)]
+    def decode(self, ids: Sequence[int]) -> bytes:
+        ids = list(ids)
+        runs = [b"".join(map(self.tokens.__getitem__, ids[i : i + DECODE_LEAF])) for i in range(0, len(ids), DECODE_LEAF)] or [b""]
         while len(runs) > 1:
             runs = [b"".join(runs[i : i + 2]) for i in range(0, len(runs), 2)]
         return runs[0]
@@ -150,30 +218,29 @@ def rank_encoder(name: str = RANKS) -> RankEncoder:
     return _loaded[name]
 
 
+def word_table(name: str = RANKS) -> WordIds:
+    """The worker's table of words, each encoded by ``rank_encoder`` when it is first seen."""
+    if name not in _tables:
+        _tables[name] = WordIds(rank_encoder(name).encode_texts)
+    return _tables[name]
+
+
 def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """``doc_id, ids array<int>`` of ``docs(doc_id, text)``; narrow, whole texts."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = rank_encoder(ranks)
-
-        def packed(keys: list, parts: list[bytes]) -> pa.RecordBatch:
-            offsets = np.append(0, np.cumsum([len(x) // 4 for x in parts], dtype=np.int64)).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), ids], names=["doc_id", "ids"])
-
+        own = word_table(ranks)
         for batch in batches:
-            keys, parts, held = [], [], 0
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                found = own.encode(text.as_py() or "")
-                if parts and held + len(found) > 4 * BATCH_IDS:
-                    yield packed(keys, parts)
-                    keys, parts, held = [], [], 0
-                keys.append(key)
-                parts.append(found)
-                held += len(found)
-            if parts:
-                yield packed(keys, parts)
+            flat, counts = own.encode_column(batch.column("text"))
+            offsets = np.append(0, np.cumsum(counts))
+            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
+            whole = pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
+            at = 0
+            while at < len(counts):
+                stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BATCH_IDS, "right")) - 1)
+                yield whole.slice(at, stop - at)
+                at = stop
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, ids array<int>")
@@ -186,9 +253,11 @@ def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = rank_encoder(ranks)
         for batch in batches:
-            whole = [own.decode(ids.as_py() or []) for ids in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("ids"), pa.array(whole, pa.binary())], names=["doc_id", "ids", "decoded"])
+            ids = batch.column("ids")
+            at, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+            whole = [own.decode(flat[a:z].tolist()) for a, z in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(whole, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    rows = encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
+    ids = F.coalesce(F.col("ids").cast("array<int>"), F.array().cast("array<int>"))
+    rows = encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), ids.alias("ids"))
     return rows.mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")

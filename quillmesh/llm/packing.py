@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.tokens import encode_all
+from quillmesh.llm.tokens import encoder, with_end
 from quillmesh.session import materialize, ship_package
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -115,25 +115,27 @@ def evolve(lengths: list[int], patterns: list[tuple[int, ...]], room: int, seed:
 
 
 def _cut(tokenizer: str, end_id: int, room: int, with_ids: bool):
-    end = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "key", "piece", "start", "length", "ids_crc32", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[] for _ in names]
-            texts = batch.column("text").to_pylist()
-            for doc, key, raw in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), encode_all(tokenizer, texts)):
-                raw += end
-                n = len(raw) // 4
-                first = n % room or room
-                at = 0
-                for piece, stop in enumerate(range(first, n + 1, room)):
-                    own = raw[4 * at : 4 * stop]
-                    for column, value in zip(rows, (doc, key, piece, at, stop - at, zlib.crc32(own), own if with_ids else None)):
-                        column.append(value)
-                    at = stop
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], names=names)
+            flat, offsets = with_end(*encoder(tokenizer).encode_column(batch.column("text")), end_id)
+            flat, sizes = flat.astype("<u4", copy=False), np.diff(offsets)
+            counts = -(-sizes // room)
+            rows = np.repeat(np.arange(len(sizes)), counts)
+            piece = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+            # the first piece has what is left over by the full ones
+            short = sizes - (counts - 1) * room
+            start = np.where(piece == 0, 0, short[rows] + (piece - 1) * room)
+            length = np.where(piece == 0, short[rows], room)
+            at = offsets[rows] + start
+            parts = [flat[a:z] for a, z in zip(at.tolist(), (at + length).tolist())]
+            taken = pa.array(rows)
+            columns = [
+                batch.column("doc_id").take(taken), batch.column("key").take(taken), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length),
+                pa.array(list(map(zlib.crc32, parts)), pa.int64()), pa.array([p.tobytes() for p in parts] if with_ids else [None] * len(parts), pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 

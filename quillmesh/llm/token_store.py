@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm.ordered import bucket_bounds, bucket_of
-from quillmesh.llm.tokens import encode_all
+from quillmesh.llm.tokens import encoder, with_end
 from quillmesh.session import ship_package
 
 TOKENIZER = "word_bpe_49k.json"
@@ -31,25 +31,21 @@ SCHEMA = "doc_id bigint, bucket int, n_tokens bigint, before bigint, ids array<i
 
 
 def _encode(tokenizer: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, before = None, 0
+        now, total = None, 0
         for batch in batches:
-            buckets = batch.column("bucket").to_pylist()
-            packed = [x + end for x in encode_all(tokenizer, batch.column("text").to_pylist())]
-            starts = []
-            for b, x in zip(buckets, packed):
-                if b != bucket:
-                    bucket, before = b, 0
-                starts.append(before)
-                before += len(x) // 4
-            counts = np.array([len(x) // 4 for x in packed], np.int64)
-            flat = np.frombuffer(b"".join(packed), np.int32)
-            offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            flat, offsets = with_end(*encoder(tokenizer).encode_column(batch.column("text")), end_id)
+            bucket = np.asarray(batch.column("bucket"))
+            starts = np.append(0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1)
+            base = np.repeat(offsets[:-1][starts], np.diff(np.append(starts, len(bucket))))
+            before = offsets[:-1] - base
+            if len(bucket) and bucket[0] == now:
+                before[bucket == now] += total
+            if len(bucket):
+                now, total = bucket[-1], int(before[-1] + offsets[-1] - offsets[-2])
+            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("bucket"), pa.array(counts), pa.array(starts, pa.int64()), ids],
+                [batch.column("doc_id"), batch.column("bucket"), pa.array(np.diff(offsets)), pa.array(before), ids],
                 names=["doc_id", "bucket", "n_tokens", "before", "ids"])
 
     return run

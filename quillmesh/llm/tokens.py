@@ -1,16 +1,41 @@
-"""Token ids of whole texts through a public tokenizer file, with a bounded cache of word encodings per worker."""
+"""Token ids of whole texts by words: a column of texts is split and counted by Arrow, and only words that a worker has
+not seen before reach the tokenizer.
+
+The pre-tokenizers of the files used here never join characters across the beginning of white space, so a text is the
+sequence of its words, each with the white space before it, and equal words have equal ids anywhere. Words are cut at
+blanks and line ends. A text with other or repeated white space between its words is cut by a pattern, and one with
+white space beyond blank, tab and line ends, on which libraries differ, is given to the tokenizer whole.
+"""
 
 from __future__ import annotations
 
 import os
 import re
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Word encodings that one Python worker keeps, and their ids in all; when full it starts afresh.
+CACHE_WORDS, CACHE_IDS = 1_000_000, 16_000_000
+#: Characters of texts that are taken through Arrow at once, unless one text has more.
+SLICE_CHARS = 16 << 20
+#: Runs of marks after words that are kept.
+MARKS = 4096
+#: Words that reach a tokenizer as one text.
+JOINED = 512
 
-#: Word encodings that one Python worker keeps; when full it starts afresh.
-CACHE_WORDS = 700_000
-_WHITE = re.compile(r"[\s\x1c-\x1f\x85]")
-_loaded: dict[str, "Encoder"] = {}
+_OTHER_WHITE = re.compile(r"[^\S \t\n\r]|\x85")
+_CHUNKS = re.compile(r"[ \t\n\r]+[^ \t\n\r]*|[^ \t\n\r]+")
+_WHITE = re.compile(r"[\s\x85]")
+_ODD_WORD = r"(?s)^\n?$|^[\t\x0b\x0c\r\x1c-\x1f \x{85}\p{Z}]|.[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\p{Z}]"
+_PLAIN_WORD = re.compile(r" ?([A-Za-z]+)([.,;:!?]*)", re.ASCII).fullmatch
+_loaded: dict[str, "WordIds"] = {}
+
+Raw = Callable[[Sequence[str]], list[np.ndarray]]
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,63 +47,181 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids.
+class WordIds:
+    """Ids of texts through a table of words: ``raw`` encodes strings that are not in it yet."""
 
-    The pre-tokenizers of these files never join characters across the beginning of white space, so a text is the
-    sequence of its words, each with the blank or line end before it; equal words have equal ids anywhere.
-    """
+    def __init__(self, raw: Raw, lower: bool = False):
+        self.raw, self.lower = raw, lower
+        self._clear()
 
-    def __init__(self, name: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    def _clear(self) -> None:
+        self.places: dict[str, int] = {}
+        self.starts, self.lengths = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+        self.flat, self.used = np.zeros(4096, np.int32), 0
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
-        self.cache: dict[str, bytes] = {}
-        # some vocabularies drop white space and lower letters; the words of such a text need no marks
-        self.blind = self._raw(["\nThe end"]) == self._raw(["the END"])
-
-    def _raw(self, texts: Sequence[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+    def _lookup(self, words: Sequence[str]) -> np.ndarray:
+        """Places of words in the table; new ones are encoded and added."""
+        places = self.places
+        # the words are distinct but for the first words of texts
+        new = list(dict.fromkeys(w for w in words if w not in places))
+        if new:
+            found = self.raw(new)
+            sizes = np.fromiter(map(len, found), np.int32, len(new))
+            at, stop = len(places), len(places) + len(new)
+            while stop > len(self.starts):
+                self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+            total = int(sizes.sum(dtype=np.int64))
+            if self.used + total > len(self.flat):
+                self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(total, self.used), np.int32)])
+            self.lengths[at:stop] = sizes
+            self.starts[at:stop] = self.used + np.cumsum(sizes) - sizes
+            self.flat[self.used : self.used + total] = np.concatenate(found)
+            self.used += total
+            places.update(zip(new, range(at, stop)))
+        return np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+
+    def _gather(self, places: np.ndarray) -> np.ndarray:
+        """The ids of a sequence of words."""
+        sizes = self.lengths[places]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        if not len(ends) or not ends[-1]:
+            return np.zeros(0, np.int32)
+        shift = (self.starts[places] - (ends - sizes)).astype(np.int32)
+        return self.flat[np.repeat(shift, sizes) + np.arange(ends[-1], dtype=np.int32)]
+
+    def _odd(self, text: str) -> np.ndarray:
+        if _OTHER_WHITE.search(text):
+            return np.asarray(self.raw([text])[0], np.int32)
+        return self._gather(self._lookup(_CHUNKS.findall(text)))
+
+    def _slice(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        if self.lower:
+            texts = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = pc.dictionary_encode(lists.flatten())
+        indices = coded.indices.to_numpy()
+        first = offsets[:-1]
+        heads = pc.take(coded.dictionary, pa.array(indices[first])).to_pylist()
+        # an empty word (a second blank), a lone line end or white space inside a word make a text odd
+        odd = pc.match_substring_regex(coded.dictionary, _ODD_WORD)
+        led = pc.starts_with(coded.dictionary, "\n")
+        words = pc.binary_join_element_wise(pc.if_else(led, "", " "), coded.dictionary, "")
+        odd = odd.to_numpy(zero_copy_only=False)
+        table = np.zeros(len(odd), np.int64)
+        table[~odd] = self._lookup(words.filter(pa.array(~odd)).to_pylist())
+        places, strange = table[indices], odd[indices]
+        # the first word of a text has no blank before it
+        plain = ["" if _WHITE.search(w) else w for w in heads]
+        places[first] = self._lookup(plain)
+        strange[first] = [w != p for w, p in zip(heads, plain)]
+        whole = self._gather(places)
+        counts = np.add.reduceat(self.lengths[places], first)
+        bad = np.flatnonzero(np.logical_or.reduceat(strange, first))
+        if not len(bad):
+            return whole, counts
+        ends = np.cumsum(counts, dtype=np.int64)
+        parts, at = [], 0
+        for i in bad.tolist():
+            own = self._odd(texts[i].as_py())
+            parts += [whole[at : ends[i] - counts[i]], own]
+            at, counts[i] = ends[i], len(own)
+        return np.concatenate([*parts, whole[at:]]), counts
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.blind:
-            # full lowering is the vocabulary's own on ASCII; elsewhere it is left to the tokenizer
-            words = (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
-        else:
-            words = text.replace("\n", " \n").split(" ")
-        # the first word has no blank before it; a mark keeps it apart from the same word after a blank
-        if not self.blind:
-            words[0] = " " + words[0]
-        cache = self.cache
-        new = set(words).difference(cache)
-        if new:
-            plain = []
-            for word in new:
-                marked = not self.blind and word[:1] in (" ", "\n")
-                own = word[1:] if marked else word
-                if not own or _WHITE.search(own):
-                    # white space other than single blanks and line ends; such words are never kept
-                    return self._raw([text])[0]
-                plain.append(own if self.blind or word[0] == " " else word if marked else " " + word)
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-                return self.encode(text)
-            cache.update(zip(new, self._raw(plain)))
-        return b"".join(map(cache.__getitem__, words))
-
-
-def encoder(name: str) -> Encoder:
-    """The worker's encoder of a tokenizer file; made once per worker."""
+        """Little-endian 32-bit ids of one text."""
+        return self.encode_column(pa.array([text], pa.string()))[0].tobytes()
+
+    def encode_column(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, counts)``: the ids of all texts one after the other, and how many each has. Null is empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        found, at = [], 0
+        while at < len(texts):
+            limit = (ends[at - 1] if at else 0) + SLICE_CHARS
+            stop = max(at + 1, int(np.searchsorted(ends, limit, "right")))
+            if len(self.places) > CACHE_WORDS or self.used > CACHE_IDS:
+                self._clear()
+            found.append(self._slice(texts.slice(at, stop - at)))
+            at = stop
+        if not found:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]).astype(np.int64)
+
+
+def _library(name: str) -> "WordIds":
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path(name))
+
+    def single(texts: Sequence[str]) -> list[np.ndarray]:
+        found = [x.ids for x in tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(found), np.int32)
+        return np.split(flat, np.cumsum([len(x) for x in found])[:-1]) if found else []
+
+    # a vocabulary with a mark for the tab takes many words at once: no word has a tab, so the mark stands between words
+    tab = single(["\t"])[0]
+    if len(tab) != 1 or single(["a\t b\t\nc\t"])[0].tolist() != np.concatenate(single(["a", "\t", " b", "\t", "\nc", "\t"])).tolist():
+        # neither letter case nor white space counts on ASCII; elsewhere both are left to the tokenizer
+        blind = single(["\nThe end"])[0].tolist() == single(["the END"])[0].tolist()
+        return WordIds(_by_parts(tokenizer, single) if blind else single, lower=blind)
+
+    def together(texts: Sequence[str]) -> list[np.ndarray]:
+        if any("\t" in t for t in texts):
+            return single(texts)
+        found = []
+        for i in range(0, len(texts), JOINED):
+            joined = tokenizer.encode_batch_fast(["\t".join(texts[i : i + JOINED]) + "\t"], add_special_tokens=False)[0]
+            ids = np.array(joined.ids, np.int32)
+            ends = np.flatnonzero(ids == tab[0])
+            if len(ends) != len(texts[i : i + JOINED]):
+                return single(texts)
+            found += [ids[a:z] for a, z in zip(np.append(0, ends[:-1] + 1), ends)]
+        return found
+
+    return WordIds(together)
+
+
+def _by_parts(tokenizer, single: Raw) -> Raw:
+    """For a vocabulary without case and white space: letters and the marks after them go to its model one by one.
+
+    Both are whole pieces to the pre-tokenizer, so the model's merges give what the tokenizer gives.
+    """
+    merges, marks = tokenizer.model.tokenize, {"": []}
+
+    def run(texts: Sequence[str]) -> list[np.ndarray]:
+        found, rest = [None] * len(texts), []
+        for n, text in enumerate(texts):
+            if match := _PLAIN_WORD(text):
+                word, mark = match.groups()
+                if mark not in marks:
+                    if len(marks) > MARKS:
+                        marks.clear()
+                    marks[mark] = single([mark])[0].tolist() if mark else []
+                found[n] = np.array([t.id for t in merges(word.lower())] + marks[mark], np.int32)
+            else:
+                rest.append(n)
+        for n, ids in zip(rest, single([texts[n] for n in rest])):
+            found[n] = ids
+        return found
+
+    return run
+
+
+def encoder(name: str) -> WordIds:
+    """The worker's table of a tokenizer file; made once per worker."""
     if name not in _loaded:
-        _loaded[name] = Encoder(name)
+        _loaded[name] = _library(name)
     return _loaded[name]
 
 
-def encode_all(name: str, texts: Iterator[str | None]) -> Iterator[bytes]:
-    own = encoder(name)
-    for text in texts:
-        yield own.encode(text or "")
+def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts with an id after each, and the offsets of the texts."""
+    offsets = np.append(0, np.cumsum(counts + 1))
+    out = np.empty(offsets[-1], np.int32)
+    own = np.ones(len(out), bool)
+    own[offsets[1:] - 1] = False
+    out[own] = ids
+    out[~own] = end_id
+    return out, offsets
