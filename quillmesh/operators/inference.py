@@ -20,12 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
 from quillmesh.functions.text import token_ids, tokens
 from quillmesh.functions.vectors import score_head_udf, sigmoid, token_weights
+from quillmesh.operators.ordering import place_within
 from quillmesh.operators.requests import RUN_PREFIX
 from quillmesh.operators.runners import ModelRegistry, RunnerSpec, load_runner
-from quillmesh.operators.skew import spread_lookup
+from quillmesh.operators.skew import same_key_join, spread_lookup
 from quillmesh.session import materialize, ship_package
 
 Models = RunnerSpec | ModelRegistry | dict[str, RunnerSpec]
@@ -330,14 +332,47 @@ def length_bucket_order(df: DataFrame, text: str = "text", partitions: int | Non
     return sized.sortWithinPartitions(F.desc("_tokens")).drop("_tokens")
 
 
-def gather_models(df: DataFrame, row_id: str, partitions: int, salts: int = 16) -> DataFrame:
+def token_batches(
+    df: DataFrame, row_id: str, text: str = "text", budget: int = 16_384, step: int = 64, out: str = "batch_no"
+) -> DataFrame:
+    """Batches of similar lengths whose padded size keeps within a token budget: adds ``out`` and ``padded_tokens``.
+
+    A text is padded to the next multiple of ``step``; a batch holds texts of one padded length, as many as the budget admits, and
+    at least one. So a batch of more than one row never holds more than ``budget`` padded tokens. Batches are numbered
+    from the longest texts on. Rows find their places by ranges (``place_within``), so no length, however common, is
+    numbered by one task; the table of lengths has at most one row per ``step`` tokens of the longest text. A batch stays in one partition, its rows next to each other.
+    """
+    size = F.size(tokens(F.col(text)))
+    padded = F.greatest(F.ceil(size / step) * step, F.lit(step)).cast("bigint")
+    rows = df.withColumn("padded_tokens", F.coalesce(padded, F.lit(step).cast("bigint")))
+    placed = place_within(rows, ["padded_tokens"], [row_id], "_place")
+    room = F.greatest(F.floor(F.lit(budget) / F.col("padded_tokens")), F.lit(1))
+    lengths = placed.groupBy("padded_tokens").agg(F.ceil(F.count(F.lit(1)) / room).alias("_batches"))
+    longer = Window.orderBy(F.desc("padded_tokens")).rowsBetween(Window.unboundedPreceding, -1)
+    lengths = lengths.withColumn("_base", F.coalesce(F.sum("_batches").over(longer), F.lit(0))).drop("_batches")
+    numbered = same_key_join(placed, lengths, ["padded_tokens"])
+    numbered = numbered.withColumn(out, (F.col("_base") + F.floor(F.col("_place") / room)).cast("bigint")).drop("_place", "_base")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return numbered.repartitionByRange(parts, out).sortWithinPartitions(out, row_id)
+
+
+def gather_models(df: DataFrame, row_id: str, partitions: int, salts: int | None = None) -> DataFrame:
     """Bring the rows of a model together before inference, so that a worker loads few models.
 
-    Each model is dealt over ``salts`` partitions; a model that most rows ask for is still run by
-    many workers.
+    The models lie one after the other on a line, each as long as it has rows (counted, not guessed), and the line is cut into ``partitions``
+    equal parts; a row has a place by its hash on its model's stretch. So parts are equally large whatever share one
+    model has, and a part holds as few models as possible. ``salts`` deals every model over that many parts instead.
     """
-    salt = F.pmod(F.xxhash64(row_id), F.lit(salts))
-    return df.withColumn("_salt", salt).repartition(partitions, "model", "_salt").drop("_salt")
+    if salts is not None:
+        salt = F.pmod(F.xxhash64(row_id), F.lit(salts))
+        return df.withColumn("_salt", salt).repartition(partitions, "model", "_salt").drop("_salt")
+    counts = df.groupBy("model").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("model").rowsBetween(Window.unboundedPreceding, -1)
+    line = counts.withColumns({"_from": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy(F.lit(1)))})
+    share = F.pmod(F.xxhash64(row_id), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    part = F.floor((F.col("_from") + share * F.col("_n")) / F.col("_all") * partitions).cast("int")
+    placed = same_key_join(df, line, ["model"]).select(*df.columns, F.least(part, F.lit(partitions - 1)).alias("_part"))
+    return placed.repartitionById(partitions, F.col("_part")).drop("_part")
 
 
 def dedup_infer(

@@ -228,6 +228,17 @@ def regroup_results(df: DataFrame, results: list[str], key: str = "request_id",
     return grouped.withColumn("results", F.when(served, answer)).drop("_items")
 
 
+def reject_corrupt_lines(rows: DataFrame, line: str = "corrupt_line", file: str = "source_file") -> DataFrame:
+    """Validated rows in which lines that could not be read are 400 rows naming their file."""
+    broken = F.col(line).isNotNull()
+    reason = F.concat(F.lit(f"{VALID_PREFIX}the line is not a JSON request, in "), F.coalesce(F.col(file), F.lit("?")))
+    return rows.withColumns({
+        "status": F.when(broken, 400).otherwise(F.col("status")),
+        "error": F.when(broken, reason).otherwise(F.col("error")),
+        "error_stage": F.when(broken, "validation").otherwise(F.col("error_stage")),
+    })
+
+
 def complete_status(df: DataFrame) -> DataFrame:
     """200 for everything that was neither rejected nor failed."""
     return df.withColumn("status", F.coalesce(F.col("status"), F.lit(200)))

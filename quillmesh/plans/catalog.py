@@ -641,3 +641,7 @@ def metrics_stream(spark, sf):
     jobs.start_snapshot(counts, f"{out}/data", f"{out}/checkpoint").awaitTermination()
     rows = jobs.read_snapshot(spark, f"{out}/data")
     return rows.select("model_type", "model_name", "model_cls", big("status").alias("status"), "requests")
+
+
+# registers its queries in CATALOG
+from quillmesh.plans import catalog_mechanisms  # noqa: E402, F401

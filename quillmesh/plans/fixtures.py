@@ -231,7 +231,7 @@ def latency_log(events: DataFrame) -> DataFrame:
     )
 
 
-def request_log(events: DataFrame) -> DataFrame:
+def request_log(events: DataFrame, *more: str) -> DataFrame:
     """Events as a request log: type -> status and stage, value / 10 -> seconds."""
     kind = F.col("event_type")
     status = F.when(kind == "signup", 400).when(kind == "error", 500).otherwise(200)
@@ -247,9 +247,25 @@ def request_log(events: DataFrame) -> DataFrame:
         status.alias("status"),
         stage.alias("error_stage"),
         (F.col("value") / 10).alias("elapsed_s"),
+        *more,
     )
 
 
+def arrivals(events: DataFrame) -> DataFrame:
+    """The request log with arrival times: some seconds after the event, twenty minutes for one event in 37."""
+    seconds = F.when(F.pmod("event_id", F.lit(37)) == 5, 1200).otherwise(F.pmod("event_id", F.lit(7)))
+    delayed = events.withColumn("arrived_at", F.timestamp_add("SECOND", seconds, "ts"))
+    return request_log(delayed, "arrived_at")
+
+
+def request_lines(requests: DataFrame) -> DataFrame:
+    """Requests as JSON lines; by ``request_id % 17`` some are cut off, some have a text for a number."""
+    number = F.col("request_id").cast("string")
+    cases = {3: _body('{"request_id":', number, ',"body":"cut'), 4: _body('{"request_id":"no number ', number, '","body":"{}"}')}
+    whole = F.to_json(F.struct("request_id", "body"))
+    return requests.select(_cases(F.pmod("request_id", F.lit(17)), cases, whole).alias("value"))
+
+
 def failing_scores(pairs: DataFrame) -> DataFrame:
     """Length ratios as scores; texts whose length is a multiple of 25 are failed rows."""
     q, t = F.length("query"), F.length("text")

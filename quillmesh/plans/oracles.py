@@ -908,3 +908,6 @@ UNION ALL
 SELECT conv_id, turn, NULL, NULL, 400, coalesce('valid error: ' || fault, 'model name [missing] not found')
 FROM rewrite_requests r WHERE r.k NOT IN (0, 7)""",
 )
+
+# adds its statements to ORACLES
+from quillmesh.plans import oracles_mechanisms  # noqa: E402, F401

@@ -45,6 +45,21 @@ def read_requests(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return spark.read.format(fmt).schema(REQUEST_SCHEMA).load(path)
 
 
+def read_request_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Request bodies from JSON lines, ``request_id, body, source_file, corrupt_line``.
+
+    A line that is no JSON object, or whose fields have other types, is kept: its text is in ``corrupt_line``, id and
+    body are null.
+    """
+    kinds = f"{REQUEST_SCHEMA}, corrupt_line string"
+    rows = spark.read.schema(kinds).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt_line").json(path)
+    sound = F.col("corrupt_line").isNull()
+    return rows.select(
+        F.when(sound, F.col("request_id")).alias("request_id"), F.when(sound, F.col("body")).alias("body"),
+        F.col("_metadata.file_name").alias("source_file"), "corrupt_line",
+    )
+
+
 def stream_requests(spark: SparkSession, path: str, fmt: str = "json", max_files: int | None = None) -> DataFrame:
     """The same bodies as a file stream."""
     reader = spark.readStream.format(fmt).schema(REQUEST_SCHEMA)
