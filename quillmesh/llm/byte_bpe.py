@@ -39,6 +39,8 @@ LEAF = 16
 NO_RANK = np.int32(2**31 - 1)
 #: Encodings of matches that one worker keeps; longer matches than ``CACHED_CHARS`` are not kept.
 CACHE_WORDS, CACHED_CHARS = 200_000, 64
+#: Words that a worker's table keeps, and characters taken through it at once.
+TABLE_WORDS, TABLE_CHARS = 300_000, 4 << 20
 #: Ids that one output batch holds at most, unless one document has more.
 BATCH_IDS = 1_000_000
 #: Tokens of a leaf of the decoding tree.
@@ -68,9 +70,7 @@ class RankEncoder:
         import regex
 
         self.ranks = ranks
-        self.tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
+        self.tokens = token_list(ranks)
         self.split = regex.compile(pattern).findall
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         # every way to put a token together from two others
@@ -204,11 +204,22 @@ class RankEncoder:
         return self.encode_texts([text])[0].astype("<i4").tobytes()
 
     def decode(self, ids: Sequence[int]) -> bytes:
-        ids = list(ids)
-        runs = [b"".join(map(self.tokens.__getitem__, ids[i : i + DECODE_LEAF])) for i in range(0, len(ids), DECODE_LEAF)] or [b""]
-        while len(runs) > 1:
-            runs = [b"".join(runs[i : i + 2]) for i in range(0, len(runs), 2)]
-        return runs[0]
+        return decode_ids(self.tokens, ids)
+
+
+def token_list(ranks: dict[bytes, int]) -> list[bytes]:
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
+def decode_ids(tokens: list[bytes], ids: Sequence[int]) -> bytes:
+    """The bytes of all tokens: runs of them, joined pairwise up a tree."""
+    runs = [b"".join(map(tokens.__getitem__, ids[i : i + DECODE_LEAF])) for i in range(0, len(ids), DECODE_LEAF)] or [b""]
+    while len(runs) > 1:
+        runs = [b"".join(runs[i : i + 2]) for i in range(0, len(runs), 2)]
+    return runs[0]
 
 
 def rank_encoder(name: str = RANKS) -> RankEncoder:
@@ -221,7 +232,7 @@ def rank_encoder(name: str = RANKS) -> RankEncoder:
 def word_table(name: str = RANKS) -> WordIds:
     """The worker's table of words, each encoded by ``rank_encoder`` when it is first seen."""
     if name not in _tables:
-        _tables[name] = WordIds(rank_encoder(name).encode_texts)
+        _tables[name] = WordIds(rank_encoder(name).encode_texts, words=TABLE_WORDS, chars=TABLE_CHARS)
     return _tables[name]
 
 
@@ -251,11 +262,11 @@ def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
     ship_package(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = rank_encoder(ranks)
+        tokens = token_list(read_ranks(ranks))
         for batch in batches:
             ids = batch.column("ids")
             at, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
-            whole = [own.decode(flat[a:z].tolist()) for a, z in zip(at[:-1], at[1:])]
+            whole = [decode_ids(tokens, flat[a:z].tolist()) for a, z in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(whole, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     ids = F.coalesce(F.col("ids").cast("array<int>"), F.array().cast("array<int>"))

@@ -50,8 +50,8 @@ def tokenizer_path(name: str) -> str:
 class WordIds:
     """Ids of texts through a table of words: ``raw`` encodes strings that are not in it yet."""
 
-    def __init__(self, raw: Raw, lower: bool = False):
-        self.raw, self.lower = raw, lower
+    def __init__(self, raw: Raw, lower: bool = False, words: int = CACHE_WORDS, chars: int = SLICE_CHARS):
+        self.raw, self.lower, self.words, self.chars = raw, lower, words, chars
         self._clear()
 
     def _clear(self) -> None:
@@ -138,9 +138,9 @@ class WordIds:
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
         found, at = [], 0
         while at < len(texts):
-            limit = (ends[at - 1] if at else 0) + SLICE_CHARS
+            limit = (ends[at - 1] if at else 0) + self.chars
             stop = max(at + 1, int(np.searchsorted(ends, limit, "right")))
-            if len(self.places) > CACHE_WORDS or self.used > CACHE_IDS:
+            if len(self.places) > self.words or self.used > CACHE_IDS:
                 self._clear()
             found.append(self._slice(texts.slice(at, stop - at)))
             at = stop
