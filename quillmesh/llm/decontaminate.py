@@ -7,8 +7,9 @@ item-sized stretch of the document is compared word by word, and runs of equal w
 are occurrences. Words are compared with A-Z lowered; the join itself uses the fully lowered word, which is equal
 wherever those are.
 
-The item side is broadcast only below ``BROADCAST_BYTES``, measured; beyond that the words are shuffled without
-their texts, and the texts join the matches afterwards. Both ways give the same rows.
+Matches carry numbers only - document, item and the shift between them - and are made distinct; a document's text joins its
+shifts once. Item tables and shifts are broadcast only below ``BROADCAST_BYTES``, measured; beyond that they are shuffled. Both
+ways give the same rows.
 
 Defined cases: null text has no words; an item without words has no window; items that repeat an id count once; an
 item without an id makes words hit but is not counted; a repeated document row is kept, with its own result;
@@ -36,10 +37,11 @@ def words(text: Column) -> Column:
 
 
 def _items(bench: DataFrame, window: int) -> DataFrame:
-    """``item_id, words, w`` of the distinct items that have words; ``w`` is the window's length."""
+    """``item_id, words, w, item`` of the distinct items that have words; ``w`` is the window's length, ``item`` a hash."""
     own = F.transform(words(F.col("text")), lambda x: F.translate(x, _UPPER, _LOWER))
     items = bench.select(F.col("item_id"), own.alias("words")).where(F.size("words") > 0).distinct()
-    return items.withColumn("w", F.least(F.size("words"), F.lit(window)))
+    key = F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col("item_id").cast("string")), F.lit("-")), F.array_join("words", " "))
+    return items.withColumns({"w": F.least(F.size("words"), F.lit(window)), "item": key})
 
 
 def _sent(df: DataFrame, size: Column) -> tuple[DataFrame, bool]:
@@ -52,40 +54,63 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("raw"))
 
 
-def prefix_tokens(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``token, at, item_id, words, w``: for every window of every item its rarest word, and that word's place."""
-    items = materialize(_items(bench, window), "items")
+def prefix_tokens(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``token, at, item``: for every window of every item its rarest word, and that word's place."""
     vocabulary = items.select(F.explode("words").alias("word")).select(F.lower("word").alias("token")).distinct()
     vocabulary, _ = _sent(vocabulary, F.length("token") + 64)
     seen = docs.select(F.explode(words(F.col("text"))).alias("word")).select(F.lower("word").alias("token"))
     counts = seen.join(vocabulary, "token").groupBy("token").agg(F.count("*").alias("n"))
     starts = F.sequence(F.lit(0), F.size("words") - F.col("w"))
-    places = items.select("item_id", "words", "w", F.explode(starts).alias("start"))
+    places = items.select("item", "words", "w", F.explode(starts).alias("start"))
     places = places.select("*", F.explode(F.sequence("start", F.col("start") + F.col("w") - 1)).alias("at"))
     places = places.withColumn("token", F.lower(F.get("words", F.col("at"))))
     ranked = places.join(counts, "token", "left").withColumn("rank", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "at"))
-    chosen = ranked.groupBy("item_id", "words", "w", "start").agg(F.min("rank").alias("rank"))
-    return chosen.select(F.col("rank.token").alias("token"), F.col("rank.at").alias("at"), "item_id", "words", "w").distinct()
-
+    chosen = ranked.groupBy("item", "start").agg(F.min("rank").alias("rank"))
+    return chosen.select(F.col("rank.token").alias("token"), F.col("rank.at").alias("at"), "item").distinct()
 
-def _occurrences(matches: DataFrame) -> DataFrame:
-    """Runs of at least ``w`` equal words of rows ``doc_id, text_hash, raw, pos, at, item_id, words, w``."""
-    shift = F.col("pos") - F.col("at")
-    bounded = matches.withColumn("from", F.greatest(shift, F.lit(0))).withColumn("skip", F.greatest(-shift, F.lit(0)))
-    room = F.least(F.size("raw"), shift + F.size("words")) - F.col("from")
-    bounded = bounded.withColumn("n", room).where("n >= w")
-    there = F.slice("raw", F.col("from") + 1, F.col("n"))
-    here = F.slice("words", F.col("skip") + 1, F.col("n"))
-    equal = F.zip_with(there, here, lambda x, y: F.when(F.translate(x, _UPPER, _LOWER) == y, "1").otherwise("0"))
-    begin = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,length:int>>").alias("runs"))
 
-    def step(acc: Column, part: Column) -> Column:
-        run = F.struct((acc["pos"] + F.col("from")).alias("start"), F.length(part).alias("length"))
-        runs = F.when(F.length(part) >= F.col("w"), F.array_append(acc["runs"], run)).otherwise(acc["runs"])
-        return F.struct((acc["pos"] + F.length(part) + 1).alias("pos"), runs.alias("runs"))
+def _occurrences(docs: DataFrame, items: DataFrame, alignments: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, runs, item_ids``: runs of at least ``w`` equal words at the alignments of each document.
 
-    runs = F.aggregate(F.split(F.array_join(equal, ""), "0"), begin, step)["runs"]
-    return bounded.select("doc_id", "text_hash", "item_id", F.explode(runs).alias("run"))
+    ``alignments`` is a stored table of distinct ``doc_id, text_hash, item, shift``: item word 0 lies at document word ``shift``. Those
+    of a document are gathered as numbers; its text is joined to them once, never once per match.
+    """
+    per_item = alignments.groupBy("doc_id", "text_hash", "item").agg(F.array_sort(F.collect_set("shift")).alias("shifts"))
+    known, _ = _sent(items, F.length(F.array_join("words", "")) + 24 * F.size("words") + 64)
+    found = F.struct(F.col("item_id").cast("string").alias("item_id"), "words", "w", "shifts")
+    grouped = per_item.join(known, "item").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(found).alias("found"))
+    sized = F.aggregate("found", F.lit(0), lambda a, x: a + 4 * F.size(x["shifts"]) + 32 * F.size(x["words"]))
+    grouped, _ = _sent(materialize(grouped, "aligned"), sized)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    joined = rows.join(grouped, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    joined = joined.dropDuplicates(["doc_id", "text_hash"]).withColumn("raw", words(F.col("text")))
+
+    def runs_of(item: Column, shift: Column) -> Column:
+        """Runs of equal words, as structs of start and length."""
+        begin, skip = F.greatest(shift, F.lit(0)), F.greatest(-shift, F.lit(0))
+        n = F.least(F.size("raw"), shift + F.size(item["words"])) - begin
+        there = F.slice("raw", begin + 1, F.greatest(n, F.lit(0)))
+        here = F.slice(item["words"], skip + 1, F.greatest(n, F.lit(0)))
+        equal = F.zip_with(there, here, lambda x, y: F.when(F.translate(x, _UPPER, _LOWER) == y, "1").otherwise("0"))
+        first = F.struct(begin.alias("pos"), F.array().cast("array<struct<start:int,length:int>>").alias("runs"))
+
+        def step(acc: Column, part: Column) -> Column:
+            run = F.struct(acc["pos"].alias("start"), F.length(part).alias("length"))
+            runs = F.when(F.length(part) >= item["w"], F.array_append(acc["runs"], run)).otherwise(acc["runs"])
+            return F.struct((acc["pos"] + F.length(part) + 1).alias("pos"), runs.alias("runs"))
+
+        return F.when(n >= item["w"], F.aggregate(F.split(F.array_join(equal, ""), "0"), first, step)["runs"])
+
+    def hit(item: Column) -> Column:
+        empty = F.array().cast("array<struct<start:int,length:int>>")
+        runs = F.flatten(F.transform(item["shifts"], lambda shift: F.coalesce(runs_of(item, shift), empty)))
+        return F.struct(item["item_id"].alias("item_id"), runs.alias("runs"))
+
+    hits = joined.withColumn("hits", F.filter(F.transform("found", hit), lambda h: F.size(h["runs"]) > 0))
+    ids = F.filter(F.transform("hits", lambda h: h["item_id"]), lambda x: x.isNotNull())
+    return hits.select(
+        "doc_id", "text_hash", F.flatten(F.transform("hits", lambda h: h["runs"])).alias("runs"), F.array_sort(F.array_distinct(ids)).alias("item_ids")
+    )
 
 
 def find_contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -98,18 +123,14 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW)
 
 def _judged(docs: DataFrame, bench: DataFrame, window: int) -> DataFrame:
     """``find_contamination`` with a hash of the text."""
-    prefixes, small = _sent(materialize(prefix_tokens(docs, bench, window), "prefixes"), F.length(F.array_join("words", "")) + 24 * F.size("words") + 64)
+    items = materialize(_items(bench, window), "items")
+    prefixes, _ = _sent(materialize(prefix_tokens(docs, items), "prefixes"), F.length("token") + 64)
     texts = _documents(docs)
-    exploded = texts.select("doc_id", "text_hash", *(["raw"] if small else []), F.posexplode("raw").alias("pos", "word"))
+    exploded = texts.select("doc_id", "text_hash", F.posexplode("raw").alias("pos", "word"))
     matches = exploded.join(prefixes, F.lower("word") == F.col("token"))
-    if not small:
-        known = matches.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "pos", "at", "item_id", "words", "w")
-        rows = texts.dropDuplicates(["doc_id", "text_hash"])
-        matches = known.join(rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-    found = _occurrences(matches)
-    hits = found.groupBy("doc_id", "text_hash").agg(
-        F.collect_set("run").alias("runs"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids")
-    )
+    # several prefix words of one alignment ask for the same check
+    alignments = matches.select("doc_id", "text_hash", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+    hits = _occurrences(docs, items, materialize(alignments, "alignments"))
     begin = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n"))
 
     def step(acc: Column, run: Column) -> Column:

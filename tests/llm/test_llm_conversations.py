@@ -317,3 +317,20 @@ def test_trie_of_little(spark):
     short = next(c for c in range(1000) if c % 5 and zlib.crc32(str(c).encode()) % 9 > 1)
     assert tries(spark, [(short, 0, "user", "x")]) == [(short, 0, None, 1, 0, 1, 0, sha(str(short)))]
     assert tries(spark, [(None, None, None, None)]) == brute_trie([(None, None, None, None)])
+
+
+# --- long texts of item words ---------------------------------------------------------------------
+
+
+def test_contamination_of_long_texts_that_repeat_item_words(spark):
+    """Matches grow with the text, not with its square: numbers are kept of them, never the text."""
+    from quillmesh.llm import decontaminate
+
+    item = [f"w{i % 4}" for i in range(40)]
+    text = (item + ["x"]) * 2400
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(item[:12] * 8000)), (3, "w0 " * 90_000)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(item[:20]))], "item_id bigint, text string")
+    got = {r.doc_id: r for r in decontaminate.find_contamination(docs, bench).collect()}
+    assert (got[1].n_words, got[1].n_hit, got[1].item_ids) == (2400 * 41, 2400 * 40, ["7", "8"])
+    assert (got[2].n_hit, got[2].contaminated) == (96_000, True)
+    assert (got[3].n_hit, got[3].n_items, got[3].contaminated) == (0, 0, False)
