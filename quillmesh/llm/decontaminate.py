@@ -83,7 +83,7 @@ def _occurrences(docs: DataFrame, items: DataFrame, alignments: DataFrame) -> Da
     grouped, _ = _sent(materialize(grouped, "aligned"), sized)
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     joined = rows.join(grouped, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-    joined = joined.dropDuplicates(["doc_id", "text_hash"]).withColumn("raw", words(F.col("text")))
+    joined = joined.withColumn("raw", words(F.col("text")))
 
     def runs_of(item: Column, shift: Column) -> Column:
         """Runs of equal words, as structs of start and length."""
@@ -108,9 +108,10 @@ def _occurrences(docs: DataFrame, items: DataFrame, alignments: DataFrame) -> Da
 
     hits = joined.withColumn("hits", F.filter(F.transform("found", hit), lambda h: F.size(h["runs"]) > 0))
     ids = F.filter(F.transform("hits", lambda h: h["item_id"]), lambda x: x.isNotNull())
+    # equal rows have equal hits; what is left of them is small
     return hits.select(
         "doc_id", "text_hash", F.flatten(F.transform("hits", lambda h: h["runs"])).alias("runs"), F.array_sort(F.array_distinct(ids)).alias("item_ids")
-    )
+    ).dropDuplicates(["doc_id", "text_hash"])
 
 
 def find_contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
