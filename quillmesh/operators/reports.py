@@ -60,6 +60,10 @@ MIXED = (
     "(Cosine Similarity: %s, Correlation: %s)"
 )
 NOTHING = "Nothing was evaluated"
+SAMPLES_LINE = "Total samples compared: "
+LATENCY_TITLE = "LATENCY BENCHMARK RESULTS"
+LATENCY_HEAD = ("Timestamp: ", "Warmup runs: ", "Benchmark iterations: ")
+SECTION_TITLES = {"embed": "📊 EMBEDDING MODELS", "rerank": "📊 RERANKER MODELS"}
 MODEL_LINES = [
     ("mean_ms", "   Mean latency: %s ms"),
     ("median_ms", "   Median latency: %s ms"),
@@ -88,6 +92,8 @@ def _one_row(summary: DataFrame) -> DataFrame:
         for metric, _, _ in lines:
             here = (F.col("kind") == kind) & (F.col("metric") == metric)
             cells.append(F.max(F.when(here, F.struct("mean", "std"))).alias(f"{kind}_{metric}"))
+        if "samples" in summary.columns:
+            cells.append(F.max(F.when(F.col("kind") == kind, F.col("samples"))).alias(f"{kind}_samples"))
     return summary.agg(*cells)
 
 
@@ -121,8 +127,11 @@ def verdict(summary: DataFrame) -> DataFrame:
     return _verdict(_one_row(summary)).select("embedding_good", "reranker_good", "label", "message")
 
 
-def evaluation_report(summary: DataFrame) -> DataFrame:
-    """The evaluation report as ``(line_no, line)``; the summary is reduced to one row and read once."""
+def evaluation_report(summary: DataFrame, counts: bool = False) -> DataFrame:
+    """The evaluation report as ``(line_no, line)``; the summary is reduced to one row and read once.
+
+    With ``counts`` both sections state how many samples were compared.
+    """
     lines: list[tuple[int, Column]] = []
 
     def titles(start: int, texts: list[str], shown: Column | None = None) -> None:
@@ -142,6 +151,10 @@ def evaluation_report(summary: DataFrame) -> DataFrame:
             cell = F.col(f"{kind}_{metric}")
             text = F.format_string(form, fixed(cell["mean"], digits), fixed(cell["std"], digits))
             lines.append((start + 10 + i, F.when(cell.isNotNull(), text)))
+    if counts:
+        compared = F.lit(SAMPLES_LINE)
+        lines.append((103, F.concat(compared, F.col("dense_samples").cast("string"))))
+        lines.append((303, F.concat(compared, F.col("rerank_samples").cast("string"))))
     titles(400, [ASSESSMENT_TITLE, THIN_RULE])
     lines.append((410, F.col("message")))
     titles(420, [RULE])
@@ -162,6 +175,22 @@ def latency_report(stats: DataFrame) -> DataFrame:
     return stats.select("task", "model_name", F.inline(F.when(ok, F.array(*lines)).otherwise(failed)))
 
 
+def latency_summary(stats: DataFrame, timestamp: str, warmup_runs: int, iterations: int) -> DataFrame:
+    """The whole latency report ``(line_no, line)``: its head, then a titled section per task that has models.
+
+    ``stats`` has one row per model and is read twice. Numbers run over all lines, of which a model has seven at most.
+    """
+    config = [head + str(value) for head, value in zip(LATENCY_HEAD, (timestamp, warmup_runs, iterations), strict=True)]
+    numbered = [F.struct(F.lit(i).alias("line_no"), F.lit(t).alias("line")) for i, t in enumerate([RULE, LATENCY_TITLE, RULE, *config])]
+    head = stats.sparkSession.range(1).select(F.lit("").alias("task"), F.lit("").alias("model_name"), F.inline(F.array(*numbered)))
+    title = F.create_map(*[F.lit(x) for pair in SECTION_TITLES.items() for x in pair])[F.col("task")]
+    section = [F.struct(F.lit(i).alias("line_no"), t.alias("line")) for i, t in enumerate([title, F.lit(THIN_RULE)])]
+    sections = stats.select("task").distinct().select("task", F.lit("").alias("model_name"), F.inline(F.array(*section)))
+    rows = head.unionByName(sections).unionByName(latency_report(stats))
+    place = F.row_number().over(Window.orderBy("task", "model_name", "line_no")) - 1
+    return rows.select(place.alias("line_no"), "line")
+
+
 def comparison_report(ranking: DataFrame) -> DataFrame:
     """Comparison lines per task from ``rank_models``: a title (line 0) and one line per model."""
     line = F.concat(

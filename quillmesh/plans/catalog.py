@@ -644,4 +644,4 @@ def metrics_stream(spark, sf):
 
 
 # registers its queries in CATALOG
-from quillmesh.plans import catalog_mechanisms  # noqa: E402, F401
+from quillmesh.plans import catalog_mechanisms, catalog_models  # noqa: E402, F401

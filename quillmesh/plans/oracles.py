@@ -910,4 +910,4 @@ FROM rewrite_requests r WHERE r.k NOT IN (0, 7)""",
 )
 
 # adds its statements to ORACLES
-from quillmesh.plans import oracles_mechanisms  # noqa: E402, F401
+from quillmesh.plans import oracles_mechanisms, oracles_models  # noqa: E402, F401
