@@ -150,10 +150,14 @@ def candidates(text: str, base: list[tuple[int, int, int]], model: TextModel) ->
 def _count_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     moves, letters = np.zeros(25, np.int64), np.zeros(256, np.int64)
     for batch in batches:
-        for _, _, data, _ in slices(batch.column(0)):
+        for _, _, data, bounds in slices(batch.column(0)):
             c = _CLASS[data]
             letters += np.bincount(data, minlength=256)
-            moves += np.bincount(c[:-1] * np.uint8(5) + c[1:], minlength=25)
+            step = c[:-1] * np.uint8(5) + c[1:]
+            # no move leads from one document to the next, however they are stored
+            borders = np.unique(bounds)
+            borders = borders[(borders > 0) & (borders < len(data))]
+            moves += np.bincount(step, minlength=25) - np.bincount(step[borders - 1], minlength=25)
     at = np.arange(281)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.append(moves, letters))], names=["at", "n"])
 

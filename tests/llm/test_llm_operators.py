@@ -212,6 +212,21 @@ def test_secrets(spark):
     assert clean[4].text is None and clean[10].text == texts[10] and secrets.scan(docs_of(spark, [])).count() == 0
 
 
+def test_text_model_does_not_depend_on_the_layout(spark, mixed):
+    rows, docs = mixed
+    moves, letters = np.zeros((5, 5)), np.zeros(256)
+    for _, text in rows:
+        raw = (text or "").encode()
+        for x in raw:
+            letters[x] += 1
+        for x, y in zip(raw, raw[1:]):
+            moves[secrets._CLASS[x], secrets._CLASS[y]] += 1
+    want = secrets.TextModel(moves, letters)
+    for parts in (1, 3, 9):
+        got = secrets.text_model(docs.repartition(parts))
+        assert np.array_equal(got.moves, want.moves) and np.array_equal(got.letters, want.letters)
+
+
 def test_randomness_battery_rejects_structure():
     letters = secrets._ALPHABETS[5][1]
     dice = np.random.default_rng(2)
