@@ -3,8 +3,9 @@
 The postings of a token are cut into blocks by the level of their weight, so a block's largest weight bounds every
 posting in it. A query first scores the documents of its few strongest blocks in full: the k-th best of them is a
 threshold no document of the answer falls below. Blocks are then read from the strongest on until what the unread
-ones could add up to is less than the threshold; a document seen in none of the read blocks cannot be in the answer, and
-one whose partial score plus that remainder stays below the threshold is dropped before it is scored in full.
+ones could add up to is less than a part of the threshold; a document seen in none of the read blocks cannot be in the answer, and
+one whose partial score plus the remainder of the tokens it was not seen with stays below the threshold is dropped before it is
+scored in full.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from quillmesh.session import materialize
 LEVELS = 16
 #: Documents that a query's first blocks hold at least, as a multiple of k.
 STARTERS = 4
+#: Blocks are read until the unread ones could add this part of the threshold at most: what is read beyond the threshold
+#: itself lets partial scores sort out documents before these are scored in full.
+DEPTH = 0.8
 #: Sums are added up in another order than by full scoring; bounds give way by this much.
 SLACK = 1e-5
 
@@ -71,11 +75,11 @@ def block_bounds(postings: DataFrame, terms: DataFrame, query_id: str) -> DataFr
 
 
 def _partial(read: DataFrame, postings: DataFrame, query_id: str, doc_id: str) -> DataFrame:
-    """Sums ``(query_id, doc_id, score)`` over the blocks read; hot blocks are dealt over tasks."""
+    """Sums ``(query_id, doc_id, score)`` over the blocks read, each posting less ``open``; hot blocks are dealt over tasks."""
     n_left = read.groupBy("block").agg(F.count(F.lit(1)).alias("n_left"), F.any_value("rows").alias("n_right"))
-    left = read.select("block", query_id, F.col("weight").alias("_wq"))
+    left = read.select("block", query_id, F.col("weight").alias("_wq"), "open")
     cells = spread_join(left, postings.select("block", doc_id, "weight"), "block", query_id, doc_id, n_left)
-    return cells.groupBy(query_id, doc_id).agg(F.sum(F.col("_wq") * F.col("weight")).alias("score"))
+    return cells.groupBy(query_id, doc_id).agg(F.sum(F.col("_wq") * F.col("weight") - F.col("open")).alias("score"))
 
 
 def _in_full(pairs: DataFrame, postings: DataFrame, terms: DataFrame, query_id: str, doc_id: str) -> DataFrame:
@@ -93,15 +97,17 @@ def _best(scores: DataFrame, query_id: str, doc_id: str, k: int, shown: Column)
 def candidates(postings: DataFrame, terms: DataFrame, query_id: str, doc_id: str, k: int) -> tuple[DataFrame, DataFrame]:
     """``(pairs, read)``: the pairs that can be in a query's top k, and the blocks read to find them."""
     bounds = materialize(block_bounds(postings, terms, query_id), "bounds")
-    first = bounds.where(F.col("rows_before") < k * STARTERS)
+    first = bounds.where(F.col("rows_before") < k * STARTERS).withColumn("open", F.lit(0.0))
     starters = _in_full(_partial(first, postings, query_id, doc_id), postings, terms, query_id, doc_id)
     kth = _best(starters, query_id, doc_id, k, F.col("score")).where(F.col("rank") == k).select(query_id, (F.col("score") - SLACK).alias("least"))
     judged = same_key_join(bounds, kth, [query_id], "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
-    judged = materialize(judged.withColumn("read", F.col("rest") >= F.col("least")), "judged")
+    judged = judged.withColumn("read", F.col("rest") >= F.col("least") * DEPTH)
+    # what a document may still gain from the unread blocks of a token; a token seen in a read block gains nothing more
+    unread = F.max(F.when(~F.col("read"), F.col("bound"))).over(Window.partitionBy(query_id, "token"))
+    judged = materialize(judged.withColumn("open", F.coalesce(unread, F.lit(0.0))), "judged")
     read = judged.where("read")
-    # what a document may still gain from the unread blocks
-    open_ = judged.groupBy(query_id).agg(F.coalesce(F.max(F.when(~F.col("read"), F.col("rest"))), F.lit(0.0)).alias("_rest"), F.any_value("least").alias("_least"))
-    seen = same_key_join(_partial(read, postings, query_id, doc_id), open_, [query_id])
+    rests = judged.groupBy(query_id).agg(F.coalesce(F.max(F.when(~F.col("read"), F.col("rest"))), F.lit(0.0)).alias("_rest"), F.any_value("least").alias("_least"))
+    seen = same_key_join(_partial(read, postings, query_id, doc_id), rests, [query_id])
     return seen.where(F.col("score") + F.col("_rest") >= F.col("_least")).select(query_id, doc_id), read
 
 
@@ -109,7 +115,7 @@ def lexical_top_k(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id:
     """The ``k`` best documents of every query, ``(query_id, doc_id, score, rank)``; documents without a common token have no row.
 
     Equal to scoring everything; ties break by id. With ``digits`` (5 at least) scores are rounded before they are ranked.
-    Rows of a NULL or empty text take no part. Repeated query ids are one query with the tokens of all their rows; so are documents.
+    Rows of a NULL or empty text take no part. Ids are unique in either table, as the bounds count a token once per document.
     """
     postings, terms = posting_blocks(queries, corpus, query_id, doc_id)
     pairs, _ = candidates(postings, terms, query_id, doc_id, k)
