@@ -67,12 +67,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/quillmesh/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write a table to the shared scratch folder and read it back.
 
     For results that are costly (a model has run) and used more than once: recomputing them would
-    run the model again, and the copy survives the loss of executors.
+    run the model again, and the copy survives the loss of executors. ``batch_rows`` bounds the Arrow
+    batches of this one job, for Python steps over whole texts in sessions with Spark's own default.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = scratch_path(spark, name), spark.conf.get(key)
+    if batch_rows:
+        spark.conf.set(key, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        if batch_rows:
+            spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
