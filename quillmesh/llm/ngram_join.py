@@ -39,7 +39,11 @@ SHINGLE = 5
 PERCENT = 75
 #: Prefix tokens settled together in a map task, and bytes of sets in one block of a large cluster.
 FLUSH = 1 << 20
+#: Of these, how many are handled or handed on at a time.
+PIECE = 1 << 16
 BLOCK_BYTES = 32 << 20
+#: Rows of an Arrow batch; JVM and Python hold each batch several times over.
+BATCH_ROWS = 512
 
 _PACKED = "bucket int, key bigint, shared bigint, need bigint, tokens binary, keys binary, settled binary"
 
@@ -68,35 +72,42 @@ def _pack(percent: int, size: int, buckets: int):
                 return
             key, need, count = np.array(keys, np.int64), np.array(needs, np.int64), np.array(counts, np.int64)
             tok = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-            own = np.repeat(np.array([o for o, _ in owners], np.int64), [n for _, n in owners]) if owners else np.zeros(0, np.int64)
+            own = np.repeat(np.array([o for o, _ in owners], np.int32), [n for _, n in owners]) if owners else np.zeros(0, np.int32)
+            for x in (tokens, owners, keys, needs, counts, texts):
+                x.clear()
+            held = 0
             order = np.argsort(tok)
             tok, own = tok[order], own[order]
             head = np.ones(len(tok), bool)
             head[1:] = tok[1:] != tok[:-1]
             at = np.flatnonzero(head)
             length = np.diff(np.append(at, len(tok)))
-            repeated = np.repeat(length > 1, length)
-            count += np.bincount(own[repeated], minlength=len(key))
+            count += np.bincount(own[np.repeat(length > 1, length)], minlength=len(key))
             tok, own, settled = tok[at], own[at], (length > 1).astype(np.uint8)
-            bucket = (mix(tok) % np.uint64(buckets)).astype(np.int32)
+            del head, at, length, order
+            bucket = np.empty(len(tok), np.int32)
+            for a in range(0, len(tok), PIECE):  # ``mix`` makes several copies of what it gets
+                bucket[a : a + PIECE] = mix(tok[a : a + PIECE]) % np.uint64(buckets)
             order = np.lexsort((own, bucket))
             tok, own, settled, bucket = tok[order], own[order], settled[order], bucket[order]
+            del order
             at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(tok) else np.zeros(0, np.int64)
             ends = np.append(at[1:], len(tok))
-            none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(bucket[at]), none, none, none,
-                    pa.array([tok[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()),
-                    pa.array([key[own[a:b]].tobytes() for a, b in zip(at, ends)], pa.binary()),
-                    pa.array([settled[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()),
-                ], names=names)
+            # whole buckets, about PIECE tokens at a time
+            cuts = np.flatnonzero(np.append(True, at[1:] // PIECE != at[:-1] // PIECE)) if len(at) else np.zeros(0, np.int64)
+            for c, d in zip(cuts, np.append(cuts[1:], len(at))):
+                spans = list(zip(at[c:d], ends[c:d]))
+                none = pa.nulls(len(spans), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(bucket[at[c:d]]), none, none, none,
+                        pa.array([tok[a:b].tobytes() for a, b in spans], pa.binary()),
+                        pa.array([key[own[a:b]].tobytes() for a, b in spans], pa.binary()),
+                        pa.array([settled[a:b].tobytes() for a, b in spans], pa.binary()),
+                    ], names=names)
             blank = pa.nulls(len(key), pa.binary())
             spread = (mix(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(key), pa.array(count), pa.array(need), blank, blank, blank], names=names)
-            held = 0
-            for x in (tokens, owners, keys, needs, counts, texts):
-                x.clear()
 
         names = [x.split()[0] for x in _PACKED.split(", ")]
         for batch in batches:
@@ -199,16 +210,20 @@ def _spread(buckets: int):
             nonlocal held
             if held:
                 tok, key = np.concatenate(tokens), np.concatenate(keys)
-                bucket = (mix(tok) % np.uint64(buckets)).astype(np.int32)
+                tokens.clear()
+                keys.clear()
+                bucket = np.concatenate([(mix(tok[a : a + PIECE]) % np.uint64(buckets)).astype(np.int32) for a in range(0, len(tok), PIECE)])
                 order = np.argsort(bucket, kind="stable")
                 tok, key, bucket = tok[order], key[order], bucket[order]
+                del order
                 at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
                 ends = np.append(at[1:], len(tok))
-                packed = [pa.array([x[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()) for x in (tok, key)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), *packed], names=names)
+                # whole buckets, about PIECE tokens at a time
+                cuts = np.flatnonzero(np.append(True, at[1:] // PIECE != at[:-1] // PIECE))
+                for c, d in zip(cuts, np.append(cuts[1:], len(at))):
+                    packed = [pa.array([x[i:j].tobytes() for i, j in zip(at[c:d], ends[c:d])], pa.binary()) for x in (tok, key)]
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[at[c:d]]), *packed], names=names)
             held = 0
-            tokens.clear()
-            keys.clear()
 
         for batch in batches:
             for node, raw in _rows(batch, "node", "tokens"):
@@ -326,7 +341,7 @@ def _grouped(docs: DataFrame, percent: int, size: int, block_bytes: int) -> Data
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keys = _survivors(docs, percent, size).withColumn("wanted", F.lit(True))
     joined = docs.join(keys, F.coalesce("doc_id", F.lit(0)) == F.col("key"), "left").select("doc_id", "text", _row_hash().alias("row_hash"), F.coalesce("wanted", F.lit(False)).alias("wanted"))
-    sets = materialize(joined.mapInArrow(_sets(size), "doc_id bigint, row_hash bigint, n_shingles bigint, class binary, tokens binary"), "sets")
+    sets = materialize(joined.mapInArrow(_sets(size), "doc_id bigint, row_hash bigint, n_shingles bigint, class binary, tokens binary"), "sets", BATCH_ROWS)
 
     grouped = sets.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("label"), F.any_value("tokens").alias("tokens"))
     # a class is named by its smallest id; where ids are null or stand for several texts, by a negative hash
@@ -334,7 +349,7 @@ def _grouped(docs: DataFrame, percent: int, size: int, block_bytes: int) -> Data
     node = F.when(F.col("label").isNotNull() & (place == 1), F.col("label")).otherwise(-F.abs(F.shiftright(F.xxhash64("class"), 1)) - 1)
     classes = materialize(grouped.withColumn("node", node), "classes")
 
-    postings = materialize(_postings(classes, percent), "postings")
+    postings = materialize(_postings(classes, percent), "postings", BATCH_ROWS)
     hubs = postings.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("token", "hub")
     edges = postings.join(hubs, "token").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = materialize(components(edges).withColumnRenamed("component", "cluster"), "clusters")
@@ -351,7 +366,7 @@ def _grouped(docs: DataFrame, percent: int, size: int, block_bytes: int) -> Data
         .repartition("group")
         .sortWithinPartitions("group", "node")
     )
-    links = components(groups.mapInArrow(_search(percent), "a bigint, b bigint"))
+    links = components(materialize(groups.mapInArrow(_search(percent), "a bigint, b bigint"), "links", BATCH_ROWS))
 
     names = classes.select("class", "node").join(links, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
     labels = names.join(classes.select("class", "label"), "class").groupBy("component").agg(F.min("label").alias("label"))

@@ -73,6 +73,24 @@ def test_near_duplicates_with_blocks_and_small_flushes(spark, monkeypatch):
     assert got == brute_groups(rows)
 
 
+def test_packed_blocks_do_not_depend_on_the_piece(monkeypatch):
+    """Blocks are handed on whole, whatever amount is handled at a time."""
+    import pyarrow as pa
+
+    dice = np.random.default_rng(5)
+    texts = [" ".join(f"w{j}" for j in dice.integers(0, 90, 40)) for _ in range(60)] + [None, "", "one two"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    sets = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array([dice.integers(0, 400, 30).astype(np.uint64).tobytes() for _ in range(50)])], names=["node", "tokens"])
+    results = []
+    for piece in (1 << 16, 64, 1):
+        monkeypatch.setattr(ngram_join, "PIECE", piece)
+        packed = [r for b in ngram_join._pack(75, 5, 40)([batch]) for r in b.to_pylist()]
+        spread = [r for b in ngram_join._spread(40)([sets]) for r in b.to_pylist()]
+        assert sum(len(r["tokens"]) for r in spread) == 50 * 30 * 8
+        results.append((packed, spread))
+    assert results[0] == results[1] == results[2]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert ngram_join.near_duplicates(docs_of(spark, [])).collect() == []
     assert ngram_join.drop_near_duplicates(docs_of(spark, [])).count() == 0
