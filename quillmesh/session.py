@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,20 +69,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/quillmesh/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Some settings for the jobs run inside; those that this Spark does not know are left out."""
+    before = {key: old for key in wanted if (old := spark.conf.get(key, None)) is not None}
+    for key in before:
+        spark.conf.set(key, wanted[key])
+    try:
+        yield
+    finally:
+        for key, old in before.items():
+            spark.conf.set(key, old)
+
+
 def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write a table to the shared scratch folder and read it back.
 
     For results that are costly (a model has run) and used more than once: recomputing them would
-    run the model again, and the copy survives the loss of executors. ``batch_rows`` bounds the Arrow
-    batches of this one job, for Python steps over whole texts in sessions with Spark's own default.
+    run the model again, and the copy survives the loss of executors. The shuffle files of the writing
+    job go at its end, as nothing reads them any more. ``batch_rows`` bounds the Arrow batches of this
+    one job, for Python steps over whole texts in sessions with Spark's own default.
     """
-    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    path, before = scratch_path(spark, name), spark.conf.get(key)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
     if batch_rows:
-        spark.conf.set(key, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
-    try:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        now = int(spark.conf.get(key))
+        wanted[key] = str(min(batch_rows, now) if now > 0 else batch_rows)
+    with _settings(spark, wanted):
         df.write.parquet(path)
-    finally:
-        if batch_rows:
-            spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
