@@ -9,16 +9,15 @@ BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def _sizes(batches):
-    import pyarrow as pa
-
-    for batch in batches:
-        yield pa.RecordBatch.from_pydict({"n": [len(batch)]})
+def test_batch_rows_hold_for_one_job(spark):
+    def sizes_of(batches):  # nested, so that workers get it by value
+        import pyarrow as pa
 
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(batch)]})
 
-def test_batch_rows_hold_for_one_job(spark):
     before = spark.conf.get(BATCH), spark.conf.get(CLEANUP)
-    sizes = spark.range(0, 500, 1, 1).mapInArrow(_sizes, "n bigint")
+    sizes = spark.range(0, 500, 1, 1).mapInArrow(sizes_of, "n bigint")
     assert max(r.n for r in materialize(sizes, "sizes", 64).collect()) == 64
     assert (spark.conf.get(BATCH), spark.conf.get(CLEANUP)) == before
     assert max(r.n for r in materialize(sizes, "sizes").collect()) > 64
