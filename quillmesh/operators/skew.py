@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 # A key with more rows than this is split.
 ROWS_PER_TASK = 1_000_000
-# Same idea for many-to-many joins, counted in emitted pairs.
-PAIRS_PER_TASK = 250_000_000
+# Same idea for many-to-many joins, counted in emitted pairs: a task that adds pairs up holds about 100 bytes for each.
+PAIRS_PER_TASK = 2_000_000
 # Hot keys at most: a key is hot only if it also holds more than this part of all rows (or pairs), so the broadcast
 # lists have a size bound whatever the size of the data, and a task holds at most this part of them.
 MAX_HOT = 10_000
@@ -84,7 +84,8 @@ def spread_join(
     ``pairs_per_task`` pairs or has more than ``rows_per_task`` rows on a side, and more than the
     ``MAX_HOT``-th part of all of them, so the broadcast list has at most ``2 * MAX_HOT`` entries. The
     grid has about as many cells as the pairs need tasks, shaped like the two sides so that the fewest
-    rows are repeated.
+    rows are repeated. The join has as many tasks as all pairs and rows need, whatever the session's setting, so the
+    memory of a task does not grow with the tables. ``key_rows`` is read several times: pass a stored table.
     """
     nl, nr = F.col("n_left").cast("double"), F.col("n_right").cast("double")
     pairs, rows = _budget(key_rows, nl * nr, pairs_per_task), _budget(key_rows, F.greatest(nl, nr), rows_per_task)
@@ -105,6 +106,8 @@ def spread_join(
             F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)).alias(other_salt),
         )
 
-    a = dealt(left, left_id, "_fl", "_fr", "_sl", "_sr")
-    b = dealt(right, right_id, "_fr", "_fl", "_sr", "_sl")
+    needed = F.ceil(F.greatest(F.sum(nl * nr) / pairs_per_task, F.sum(nl + nr) / rows_per_task))
+    tasks = max(int(key_rows.agg(needed).first()[0] or 0), left.sparkSession.sparkContext.defaultParallelism)
+    a = dealt(left, left_id, "_fl", "_fr", "_sl", "_sr").repartition(tasks, on, "_sl", "_sr")
+    b = dealt(right, right_id, "_fr", "_fl", "_sr", "_sl").repartition(tasks, on, "_sl", "_sr")
     return a.join(b, [on, "_sl", "_sr"]).drop("_sl", "_sr")

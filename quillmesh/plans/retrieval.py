@@ -17,6 +17,7 @@ from quillmesh.operators.lexical import (
     lexical_score_matrix,
 )
 from quillmesh.operators.runners import RunnerSpec
+from quillmesh.session import materialize
 
 # Query tables up to this many characters (at most half as many postings of some 40 bytes) are
 # handed to every executor; larger ones are joined by token.
@@ -57,12 +58,12 @@ def match_corpus(
 
 
 def _match_by_token(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str) -> DataFrame:
-    vocab = fit_lexical(corpus)
+    vocab = materialize(fit_lexical(corpus), "vocabulary")
     total = corpus.agg(F.count(F.lit(1)).alias("n")).scalar()
     q = lexical_postings(queries, vocab, total, query_id, in_corpus=False)
     d = lexical_postings(corpus, vocab, total, doc_id)
     n_left = q.groupBy("token_id").agg(F.count(F.lit(1)).alias("n_left"))
-    key_rows = n_left.join(vocab.select("token_id", F.col("df").alias("n_right")), "token_id")
+    key_rows = materialize(n_left.join(vocab.select("token_id", F.col("df").alias("n_right")), "token_id"), "key-rows")
     return lexical_score_matrix(q, d, query_id, doc_id, key_rows)
 
 
