@@ -13,9 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +35,13 @@ from quillmesh.session import materialize, ship_package
 
 Models = RunnerSpec | ModelRegistry | dict[str, RunnerSpec]
 
+# Bytes of text that one part of ``gather_models`` holds on average at most.
+PART_BYTES = 64 << 20
+# Models whose places are sent to every task; a table of more of them is joined as the planner decides.
+MODELS_SENT = 100_000
+# Input values (token ids, or characters' bytes) that a worker turns into results at a time.
+VALUES_AT_ONCE = 1 << 19
+
 _EMBED_FIELDS = {"_dense": "array<float>", "_ids": "array<bigint>", "_weights": "array<double>"}
 
 
@@ -100,6 +110,26 @@ def _flatten(column: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return column.flatten(), lengths, valid
 
 
+def _slices(batch: pa.RecordBatch, inputs: list[str]) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of about ``VALUES_AT_ONCE`` inputs each: results and their copies are bounded, whatever a batch holds."""
+    sizes = np.ones(batch.num_rows, np.int64)
+    for column in (batch.column(c) for c in inputs):
+        if pa.types.is_list(column.type) and pa.types.is_nested(column.type.value_type):
+            continue
+        text = pa.types.is_list(column.type) and pa.types.is_string(column.type.value_type)
+        length = np.diff(column.offsets.to_numpy()) if pa.types.is_list(column.type) else None
+        if text:
+            ends = np.append(0, np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column.values), 0), np.int64)))
+            length = np.diff(ends[column.offsets.to_numpy()])
+        elif length is None and pa.types.is_string(column.type):
+            length = np.asarray(pc.fill_null(pc.binary_length(column), 0))
+        sizes += 0 if length is None else length
+    part = (np.cumsum(sizes) - sizes) // VALUES_AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield batch if b - a == len(sizes) else batch.slice(a, b - a)
+
+
 def _map_runners(
     df: DataFrame,
     specs: dict[str | None, RunnerSpec],
@@ -131,7 +161,7 @@ def _map_runners(
     by_model = None not in specs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, inputs)):
             n = batch.num_rows
             columns = [batch.column(c) for c in inputs]
             owner, valid = np.arange(n), np.ones(n, dtype=bool)
@@ -359,6 +389,8 @@ def token_batches(
 def gather_models(df: DataFrame, row_id: str, partitions: int, salts: int | None = None) -> DataFrame:
     """Bring the rows of a model together before inference, so that a worker loads few models.
 
+    ``partitions`` is the least number of parts: texts of more than ``PART_BYTES`` for each, measured, get more of them.
+
     The models lie one after the other on a line, each as long as it has rows (counted, not guessed), and the line is cut into ``partitions``
     equal parts; a row has a place by its hash on its model's stretch. So parts are equally large whatever share one
     model has, and a part holds as few models as possible. ``salts`` deals every model over that many parts instead.
@@ -366,11 +398,18 @@ def gather_models(df: DataFrame, row_id: str, partitions: int, salts: int | None
     if salts is not None:
         salt = F.pmod(F.xxhash64(row_id), F.lit(salts))
         return df.withColumn("_salt", salt).repartition(partitions, "model", "_salt").drop("_salt")
-    counts = df.groupBy("model").agg(F.count(F.lit(1)).alias("_n"))
+    text = [F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c, kind in df.dtypes if kind in ("string", "binary")]
+    size = F.sum(reduce(add, text, F.lit(64).cast("bigint")))
+    counts = materialize(df.groupBy("model").agg(F.count(F.lit(1)).alias("_n"), size.alias("_bytes")), "model-counts")
+    models, held = counts.agg(F.count(F.lit(1)), F.sum("_bytes")).first()
+    partitions = max(partitions, -(-(held or 0) // PART_BYTES))
+    counts = counts.drop("_bytes")
     before = Window.orderBy("model").rowsBetween(Window.unboundedPreceding, -1)
     line = counts.withColumns({"_from": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy(F.lit(1)))})
     share = F.pmod(F.xxhash64(row_id), F.lit(1 << 30)) / F.lit(float(1 << 30))
     part = F.floor((F.col("_from") + share * F.col("_n")) / F.col("_all") * partitions).cast("int")
+    # a shuffle by model would bring most texts into one task
+    line = F.broadcast(line) if models <= MODELS_SENT else line
     placed = same_key_join(df, line, ["model"]).select(*df.columns, F.least(part, F.lit(partitions - 1)).alias("_part"))
     return placed.repartitionById(partitions, F.col("_part")).drop("_part")
 
