@@ -1,8 +1,8 @@
 """Requests whose answers arrive in pieces, in any order and over any number of micro-batches, put together again.
 
 The state of a request is one entry per position that has arrived; it is given up as soon as the last one is there, or
-when its event-time timer runs out. Requests are spread over tasks by their id, and a task holds one piece of a request in memory at
-a time, except for the answer it emits, which is as large as one request was.
+when its event-time timer runs out. Requests are spread over tasks by their id, and a task holds the pieces of one request that came in
+one micro-batch, or the answer it emits, which is as large as one request was. Pieces that complete a request are not stored.
 """
 
 from __future__ import annotations
@@ -10,8 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -31,40 +30,45 @@ class GatherPieces(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.answers = handle.getMapState("answers", "pos int", "answer string, error string")
-        self.progress = handle.getValueState("progress", "seen int, total int, failed boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen, total, failed = self.progress.get() if self.progress.exists() else (0, 0, False)
-        latest = 0
-        for part in rows:
-            latest = max(latest, int(part["arrived_at"].max().timestamp() * 1000))
-            for pos, n, answer, error in zip(part["pos"], part["n_texts"], part["answer"], part["error"]):
-                error = None if pd.isna(error) else error
-                seen += not self.answers.containsKey((int(pos),))
-                # a piece that comes twice replaces itself
-                self.answers.updateValue((int(pos),), (None if pd.isna(answer) else answer, error))
-                total, failed = max(total, int(n)), failed or error is not None
-        for timer in list(self.handle.listTimers()):
-            latest = max(latest, timer)
-            self.handle.deleteTimer(timer)
-        if seen >= total:
-            yield self._emit(key, None)
+        self.progress = handle.getValueState("progress", "positions array<int>, total int, failed boolean")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.progress.exists()
+        positions, total, failed = self.progress.get() if held else ([], 0, False)
+        latest, arrived = 0, {}
+        for row in rows:
+            latest = max(latest, int(row.arrived_ms))
+            # a piece that comes twice replaces itself
+            arrived[int(row.pos)] = (row.answer, row.error)
+            total, failed = max(total, int(row.n_texts)), failed or row.error is not None
+        if held:
+            for timer in list(self.handle.listTimers()):
+                latest = max(latest, timer)
+                self.handle.deleteTimer(timer)
+        seen = {*positions, *arrived}
+        if len(seen) >= total:
+            # the last pieces need not be stored; a request that came at once has no state at all
+            yield self._emit(key, None, arrived, held)
         else:
-            self.progress.update((seen, total, failed))
+            for pos, value in arrived.items():
+                self.answers.updateValue((pos,), value)
+            self.progress.update((sorted(seen), total, failed))
             self.handle.registerTimer(latest)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        seen, total, _ = self.progress.get()
-        yield self._emit(key, f"{RUN_PREFIX}{seen} of {total} answers arrived")
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        positions, total, _ = self.progress.get()
+        yield self._emit(key, f"{RUN_PREFIX}{len(positions)} of {total} answers arrived", {}, True)
 
-    def _emit(self, key, error: str | None) -> pd.DataFrame:
-        found = sorted((pos, *value) for (pos,), value in self.answers.iterator())
+    def _emit(self, key, error: str | None, arrived: dict, held: bool) -> Row:
+        if held:
+            arrived = {pos: value for (pos,), value in self.answers.iterator()} | arrived
+            self.answers.clear()
+            self.progress.clear()
+        found = sorted((pos, *value) for pos, value in arrived.items())
         errors = [e for _, _, e in found if e is not None]
         error = error or (max(errors) if errors else None)
-        self.answers.clear()
-        self.progress.clear()
         results = None if error else [answer for _, answer, _ in found]
-        return pd.DataFrame({"request_id": [key[0]], "results": [results], "status": [500 if error else 200], "error": [error]})
+        return Row(request_id=key[0], results=results, status=500 if error else 200, error=error)
 
     def close(self) -> None:
         pass
@@ -80,8 +84,9 @@ def regroup_stream(pieces: DataFrame, wait: str = WAIT) -> DataFrame:
     """
     text = {c: F.col(c).cast("string").alias(c) for c in ("request_id", "answer", "error")}
     number = {c: F.col(c).cast("int").alias(c) for c in ("pos", "n_texts")}
-    rows = pieces.select(*text.values(), *number.values(), F.col("arrived_at").cast("timestamp").alias("arrived_at"))
-    return rows.withWatermark("arrived_at", wait).groupBy("request_id").transformWithStateInPandas(
+    arrived = F.col("arrived_at").cast("timestamp")
+    rows = pieces.select(*text.values(), *number.values(), arrived.alias("arrived_at"), F.unix_millis(arrived).alias("arrived_ms"))
+    return rows.withWatermark("arrived_at", wait).groupBy("request_id").transformWithState(
         statefulProcessor=GatherPieces(), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime"
     )
 
