@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +33,55 @@ def token_weights(ids: Column, weights: Column, special: Sequence[int] = SPECIAL
     return F.map_from_entries(F.transform(firsts, lambda p: F.struct(p["id"], -p["neg"])))
 
 
+#: Words that ``word_weights`` handles at a time.
+WORDS_AT_ONCE = 1 << 20
+
+
+@functools.lru_cache(1 << 17)
+def _word_id(word: bytes) -> int:
+    """``token_id`` of one word; a worker keeps those of its recent words."""
+    return int(hashlib.md5(word).hexdigest()[:15], 16)
+
+
+def _largest_weights(words: pa.ListArray, weights: pa.ListArray, special: Sequence[int]) -> pa.Array:
+    """``word_weights`` of a few rows: ids are made once per distinct word, weights reduced by one sort."""
+    missing = np.asarray(words.is_null()) | np.asarray(weights.is_null())
+    lengths = np.where(missing, 0, np.diff(words.offsets.to_numpy()))
+    if missing.any():
+        words, weights = (x.filter(pa.array(~missing)) for x in (words, weights))
+    coded = words.flatten().dictionary_encode()
+    known = np.array([_word_id(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.int64)
+    ids, place = np.unique(known, return_inverse=True)
+    # one number per (row, id), in the order of both
+    cell = np.repeat(np.arange(len(lengths)), lengths) * max(len(ids), 1) + place[coded.indices.to_numpy()]
+    weight = weights.flatten().to_numpy(zero_copy_only=False).astype(float)
+    kept = (weight > 0) & ~np.isin(ids, np.array(special, np.int64))[cell % max(len(ids), 1)]
+    cell, weight = cell[kept], weight[kept]
+    order = np.argsort(cell)
+    cell, weight = cell[order], weight[order]
+    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
+    row, at = np.divmod(cell[first], max(len(ids), 1))
+    largest = np.maximum.reduceat(weight, first) if len(first) else weight
+    ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(lengths)))).astype(np.int32)
+    return pa.MapArray.from_arrays(pa.array(ends, mask=np.append(missing, False)), pa.array(ids[at]), pa.array(largest))
+
+
+def word_weights(words: Column, weights: Column, special: Sequence[int] = SPECIAL_IDS) -> Column:
+    """``token_weights`` of the ids of a list of words (``token_id``), in Arrow batches.
+
+    For whole texts: ids are computed per distinct word and not per occurrence. The workers need this package
+    (``ship_package``); inside lambdas, where no Python function can stand, use ``token_weights``.
+    """
+
+    def run(words: pa.Array, weights: pa.Array) -> pa.Array:
+        ends = np.cumsum(np.diff(words.offsets.to_numpy()))
+        cuts = [0, *(np.flatnonzero(np.diff(ends // WORDS_AT_ONCE)) + 1).tolist(), len(words)]
+        parts = [_largest_weights(words.slice(a, b - a), weights.slice(a, b - a), special) for a, b in zip(cuts[:-1], cuts[1:]) if a < b]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.map_(pa.int64(), pa.float64()))
+
+    return F.arrow_udf(run, "map<bigint,double>")(words, weights)
+
+
 def trim_colbert(vecs: Column, mask: Column) -> Column:
     """Token vectors without padding: the first ``sum(mask) - 1``."""
     attended = F.aggregate(mask, F.lit(0), lambda acc, m: acc + m.cast("int"))
@@ -37,12 +89,20 @@ def trim_colbert(vecs: Column, mask: Column) -> Column:
 
 
 def common_values(left: Column, right: Column) -> Column:
-    """``array<struct<key, l, r>>`` of the keys two maps share."""
-    return common_entries(F.map_entries(left), F.map_entries(right))
+    """``array<struct<key, l, r>>`` of the keys two maps share, in the order of the left one; keys meet by their hash."""
+
+    def held(side: Column) -> Column:
+        # a struct around each value tells a null value from an absent key
+        return F.transform_values(side, lambda _, v: F.struct(v.alias("v")))
+
+    def entry(key: Column, l: Column, r: Column) -> Column:  # noqa: E741
+        return F.when(l.isNotNull() & r.isNotNull(), F.struct(key.alias("key"), l["v"].alias("l"), r["v"].alias("r")))
+
+    return F.filter(F.map_values(F.map_zip_with(held(left), held(right), entry)), lambda e: e.isNotNull())
 
 
 def common_entries(left: Column, right: Column) -> Column:
-    """The same of two lists of ``struct<key, value>``, each with distinct keys.
+    """The same of two lists of ``struct<key, value>``, each with distinct keys, by key.
 
     Both lists are sorted together, so that equal keys become neighbours: looking each key up
     in the other list would cost the product of the sizes.

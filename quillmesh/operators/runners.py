@@ -167,6 +167,8 @@ HEAD_W = [
 HEAD_B = [-0.25, 0.0, 0.125, -0.5]
 HEAD_W_OUT = [2.0, 1.0, 0.5, 1.5]
 HEAD_B_OUT = -1.0
+# Words looked at to find the places of shared tokens one by one; beyond that both texts are sorted.
+LOOK_UPS = 1 << 17
 
 
 def with_result(df: DataFrame, out: str, value: Column) -> DataFrame:
@@ -190,10 +192,19 @@ class HeadRerankRunner:
             return F.transform(first_places(words), lambda p: F.struct(p["token"].alias("key"), p["pos"].alias("value")))
 
         def of_tokens(q: Column, d: Column) -> Column:
-            return bind_all([places(q), places(d)], lambda fq, fd: of_places(q, d, fq, fd))
+            return bind_all([F.array_distinct(q), F.array_distinct(d)], lambda uq, ud: of_distinct(q, d, uq, ud))
 
-        def of_places(q: Column, d: Column, fq: Column, fd: Column) -> Column:
-            return bind(common_entries(fq, fd), lambda common: of_overlap(q, d, F.size(fq), F.size(fd), common))
+        def of_distinct(q: Column, d: Column, uq: Column, ud: Column) -> Column:
+            return bind(F.sort_array(F.array_intersect(uq, ud)), lambda shared: of_shared(q, d, F.size(uq), F.size(ud), shared))
+
+        def of_shared(q: Column, d: Column, n_q: Column, n_d: Column, shared: Column) -> Column:
+            def place(words: Column, word: Column) -> Column:
+                return F.array_position(words, word) - 1
+
+            looked_up = F.transform(shared, lambda t: F.struct(place(q, t).alias("l"), place(d, t).alias("r")))
+            sorted_ = F.transform(common_entries(places(q), places(d)), lambda e: F.struct(e["l"].cast("bigint").alias("l"), e["r"].cast("bigint").alias("r")))
+            few = F.size(shared).cast("bigint") * (F.size(q) + F.size(d)) <= LOOK_UPS
+            return bind(F.when(few, looked_up).otherwise(sorted_), lambda common: of_overlap(q, d, n_q, n_d, common))
 
         def weight(pos: Column) -> Column:
             return F.lit(1.0) / (F.lit(1.0) + pos / F.lit(POSITION_SCALE))

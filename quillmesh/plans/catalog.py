@@ -20,7 +20,7 @@ from quillmesh.operators.sampling import zip_pairs
 from quillmesh.plans import fixtures as fx
 from quillmesh.plans import retrieval
 from quillmesh.plans.serving import serve_embed, serve_rerank, serve_rewrite
-from quillmesh.session import scratch_path
+from quillmesh.session import materialize, scratch_path
 from quillmesh.sources.sinks import write_benchmark, write_evaluation, write_results
 from quillmesh.sources.tables import read_requests, read_results, retrieval_dataset, spread_out, spread_target, stream_table, table
 from quillmesh.streaming import jobs
@@ -224,7 +224,7 @@ def token_weights_max(spark, sf):
 def lexical_weights(spark, sf):
     docs = _docs(spark, sf)
     total = table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n")).scalar()
-    postings = lex.lexical_postings(docs, lex.fit_lexical(docs), total, "doc_id")
+    postings = lex.lexical_postings(docs, materialize(lex.fit_lexical(docs), "vocabulary"), total, "doc_id")
     return postings.select("doc_id", "token_id", r6("weight").alias("weight"))
 
 
@@ -232,7 +232,7 @@ def lexical_weights(spark, sf):
 def id_to_token(spark, sf):
     docs = _docs(spark, sf)
     # Tokens of a single document are not in this vocabulary and must be skipped.
-    known = lex.fit_lexical(docs).where(F.col("df") >= 2)
+    known = materialize(lex.fit_lexical(docs).where(F.col("df") >= 2), "vocabulary")
     postings = lex.long_form(fx.position_weights(docs, "doc_id"), "doc_id", "w")
     named = lex.id_to_token(postings, known, "doc_id")
     return named.select("doc_id", "token", r6("weight").alias("weight"))
@@ -407,7 +407,8 @@ def compare_sparse(spark, sf):
 
 @query
 def compare_sparse_long(spark, sf):
-    pairs = fx.sparse_pairs(_docs(spark, sf))
+    # read once per side; the weights are computed once
+    pairs = materialize(fx.sparse_pairs(_docs(spark, sf)), "pairs")
     long = [lex.long_form(pairs, "sample_id", c) for c in ("a", "b")]
     samples = table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"))
     rows = ev.compare_sparse_long(long[0], long[1], samples)
@@ -417,7 +418,7 @@ def compare_sparse_long(spark, sf):
 @query
 def compare_embeddings(spark, sf):
     """Result tables of both kinds: vectors of some samples, sparse weights of others, both of the rest."""
-    dense, sparse = fx.dense_pairs(_embeddings(spark, sf)), fx.sparse_pairs(_docs(spark, sf))
+    dense, sparse = fx.dense_pairs(_embeddings(spark, sf)), materialize(fx.sparse_pairs(_docs(spark, sf)), "pairs")
     sides = [
         dense.select("sample_id", F.col(c).alias("dense_embed")).join(
             sparse.select("sample_id", F.col(c).alias("sparse_embed")), "sample_id", "full"
@@ -435,30 +436,39 @@ def compare_embeddings(spark, sf):
 
 
 def _scores(spark, sf):
-    return _reranked(spark, sf).select(
+    """The scores of all pairs, stored: the golden copies are made from them, and the reranker runs once."""
+    scores = _reranked(spark, sf).select(
         F.col("request_id").alias("sample_id"), "pos", "doc_id", r6("score").alias("score")
     )
+    return materialize(scores, "scores")
 
 
-def _partial_golden(spark, sf):
-    return fx.golden_scores(_scores(spark, sf), table(spark, sf, "labels"))
+def _partial_golden(spark, sf, scores):
+    return fx.golden_scores(scores, table(spark, sf, "labels"))
 
 
 @query
 def compare_scores(spark, sf):
-    rows = ev.compare_scores(_scores(spark, sf), _partial_golden(spark, sf))
+    scores = _scores(spark, sf)
+    rows = ev.compare_scores(scores, _partial_golden(spark, sf, scores))
     return rows.select("sample_id", *[r6(m).alias(m) for m in ev.SCORE_METRICS], "score_count")
 
 
 @query
 def alignment_report(spark, sf):
-    return ev.alignment_report(_scores(spark, sf), _partial_golden(spark, sf), ["sample_id", "pos"])
+    scores = _scores(spark, sf)
+    return ev.alignment_report(scores, _partial_golden(spark, sf, scores), ["sample_id", "pos"])
 
 
-def _summary(spark, sf):
+def _sparse_samples(spark, sf):
+    return ev.compare_sparse(fx.sparse_pairs(_docs(spark, sf), lossy=False), "a", "b").drop("a", "b")
+
+
+def _summary(spark, sf, sparse=None):
     dense = ev.compare_dense(fx.dense_pairs(_embeddings(spark, sf), faults=False), "a", "b")
-    sparse = ev.compare_sparse(fx.sparse_pairs(_docs(spark, sf), lossy=False), "a", "b")
-    scores = ev.compare_scores(_scores(spark, sf), fx.golden_scores(_scores(spark, sf)))
+    sparse = _sparse_samples(spark, sf) if sparse is None else sparse
+    produced = _scores(spark, sf)
+    scores = ev.compare_scores(produced, fx.golden_scores(produced))
     parts = [
         ev.summarize(dense, ev.DENSE_METRICS, "dense"),
         ev.summarize(sparse, ev.SPARSE_METRICS, "sparse"),
@@ -499,8 +509,8 @@ def eval_report(spark, sf):
 def evaluation_sink(spark, sf):
     """The report and one table of samples, written and read again."""
     path = scratch_path(spark, "evaluation")
-    samples = ev.compare_sparse(fx.sparse_pairs(_docs(spark, sf), lossy=False), "a", "b")
-    write_evaluation(reports.evaluation_report(_summary(spark, sf)), {"sparse": samples.drop("a", "b")}, path)
+    samples = materialize(_sparse_samples(spark, sf), "samples")
+    write_evaluation(reports.evaluation_report(_summary(spark, sf, samples)), {"sparse": samples}, path)
     lines = spark.read.text(f"{path}/report").select(F.lit(None).cast("bigint").alias("sample_id"), F.col("value").alias("line"))
     stored = spark.read.json(f"{path}/sparse").select("sample_id", F.col("common_keys_count").cast("string").alias("line"))
     return lines.unionByName(stored)

@@ -60,8 +60,9 @@ def bucketed_alignment(spark, sf):
     """Generated and golden scores stored in buckets of their keys and aligned without a shuffle."""
     path, name = scratch_path(spark, "bucketed"), f"quillmesh_{uuid.uuid4().hex}"
     keys = ["sample_id", "pos"]
-    generated = write_bucketed(_scores(spark, sf), f"{name}_g", f"{path}/generated", keys, BUCKETS)
-    golden = write_bucketed(_partial_golden(spark, sf).select(*keys, "score"), f"{name}_r", f"{path}/golden", keys, BUCKETS)
+    scores = _scores(spark, sf)
+    generated = write_bucketed(scores, f"{name}_g", f"{path}/generated", keys, BUCKETS)
+    golden = write_bucketed(_partial_golden(spark, sf, scores).select(*keys, "score"), f"{name}_r", f"{path}/golden", keys, BUCKETS)
     rows = ev.align(generated, golden, keys)
     return rows.select("sample_id", big("pos").alias("pos"), F.col("gen_doc_id").alias("doc_id"), "gen_score", "ref_score")
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import CLS_ID, EOS_ID, PAD_ID, token_ids
-from quillmesh.functions.vectors import token_weights
+from quillmesh.functions.text import CLS_ID, EOS_ID, PAD_ID, token_ids, tokens
+from quillmesh.functions.vectors import word_weights
 from quillmesh.operators.dialogue import conversation_window
+from quillmesh.session import ship_package
 from quillmesh.sources.tables import table
 
 TEXTS_PER_REQUEST = 8
@@ -167,9 +168,10 @@ def dense_pairs(embeddings: DataFrame, faults: bool = True) -> DataFrame:
 
 def position_weights(df: DataFrame, *keys: str) -> DataFrame:
     """Sparse map ``w`` of each text from position weights alone."""
-    rows = df.select(*keys, token_ids(F.col("text")).alias("ids"))
-    weights = F.transform("ids", lambda _, i: F.lit(1.0) / (F.lit(1.0) + i / F.lit(512.0)))
-    return rows.withColumn("weights", weights).select(*keys, token_weights(F.col("ids"), F.col("weights")).alias("w"))
+    ship_package(df.sparkSession)
+    rows = df.select(*keys, tokens(F.col("text")).alias("words"))
+    weights = F.transform("words", lambda _, i: F.lit(1.0) / (F.lit(1.0) + i / F.lit(512.0)))
+    return rows.withColumn("weights", weights).select(*keys, word_weights(F.col("words"), F.col("weights")).alias("w"))
 
 
 def sparse_pairs(docs: DataFrame, lossy: bool = True) -> DataFrame:
