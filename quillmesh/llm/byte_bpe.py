@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.tokens import WordIds, tokenizer_path
+from quillmesh.llm.tokens import BATCH_ROWS, WordIds, tokenizer_path
 from quillmesh.session import ship_package
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -38,7 +38,7 @@ LEAF = 16
 #: Stands for a pair without a rank.
 NO_RANK = np.int32(2**31 - 1)
 #: Encodings of matches that one worker keeps; longer matches than ``CACHED_CHARS`` are not kept.
-CACHE_WORDS, CACHED_CHARS = 200_000, 64
+CACHE_WORDS, CACHED_CHARS = 50_000, 64
 #: Words that a worker's table keeps, and characters taken through it at once.
 TABLE_WORDS, TABLE_CHARS = 300_000, 4 << 20
 #: Ids that one output batch holds at most, unless one document has more.
@@ -236,13 +236,19 @@ def word_table(name: str = RANKS) -> WordIds:
     return _tables[name]
 
 
+def row_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``BATCH_ROWS``: what a worker makes of a batch is larger than the batch."""
+    for batch in batches:
+        yield from (batch.slice(at, BATCH_ROWS) for at in range(0, batch.num_rows, BATCH_ROWS))
+
+
 def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """``doc_id, ids array<int>`` of ``docs(doc_id, text)``; narrow, whole texts."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = word_table(ranks)
-        for batch in batches:
+        for batch in row_slices(batches):
             flat, counts = own.encode_column(batch.column("text"))
             offsets = np.append(0, np.cumsum(counts))
             ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
@@ -263,7 +269,7 @@ def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = token_list(read_ranks(ranks))
-        for batch in batches:
+        for batch in row_slices(batches):
             ids = batch.column("ids")
             at, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
             whole = [decode_ids(tokens, flat[a:z].tolist()) for a, z in zip(at[:-1], at[1:])]

@@ -19,10 +19,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Word encodings that one Python worker keeps, and their ids in all; when full it starts afresh.
-CACHE_WORDS, CACHE_IDS = 1_000_000, 16_000_000
+#: Word encodings that one Python worker keeps, and their ids in all; when full only words met in several slices stay.
+CACHE_WORDS, CACHE_IDS = 300_000, 4_000_000
 #: Characters of texts that are taken through Arrow at once, unless one text has more.
-SLICE_CHARS = 16 << 20
+SLICE_CHARS = 4 << 20
+#: Rows of the Arrow batches in which texts reach a tokenizer's worker.
+BATCH_ROWS = 2048
 #: Runs of marks after words that are kept.
 MARKS = 4096
 #: Words that reach a tokenizer as one text.
@@ -58,18 +60,35 @@ class WordIds:
         self.places: dict[str, int] = {}
         self.starts, self.lengths = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.flat, self.used = np.zeros(4096, np.int32), 0
+        self.again = np.zeros(1024, bool)
+
+    def _trim(self) -> None:
+        """Forget the words of one slice only; of texts that invent words without end these are nearly all."""
+        n = len(self.places)
+        kept = np.flatnonzero(self.again[:n])
+        ids = self._gather(kept)
+        if 2 * len(kept) > self.words or 2 * len(ids) > CACHE_IDS:
+            return self._clear()
+        again = self.again
+        self.places = {w: i for i, w in enumerate(w for w, at in self.places.items() if again[at])}
+        room = max(1024, len(kept))
+        lengths, starts = np.zeros(room, np.int32), np.zeros(room, np.int32)
+        lengths[: len(kept)] = self.lengths[kept]
+        starts[: len(kept)] = np.cumsum(lengths[: len(kept)]) - lengths[: len(kept)]
+        self.lengths, self.starts, self.again = lengths, starts, np.zeros(room, bool)
+        self.flat, self.used = np.concatenate([ids, np.zeros(4096, np.int32)]), len(ids)
 
     def _lookup(self, words: Sequence[str]) -> np.ndarray:
         """Places of words in the table; new ones are encoded and added."""
         places = self.places
         # the words are distinct but for the first words of texts
-        new = list(dict.fromkeys(w for w in words if w not in places))
+        new, known = list(dict.fromkeys(w for w in words if w not in places)), len(places)
         if new:
             found = self.raw(new)
             sizes = np.fromiter(map(len, found), np.int32, len(new))
             at, stop = len(places), len(places) + len(new)
             while stop > len(self.starts):
-                self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+                self.starts, self.lengths, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.again))
             total = int(sizes.sum(dtype=np.int64))
             if self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(total, self.used), np.int32)])
@@ -78,7 +97,9 @@ class WordIds:
             self.flat[self.used : self.used + total] = np.concatenate(found)
             self.used += total
             places.update(zip(new, range(at, stop)))
-        return np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+        found = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+        self.again[found[found < known]] = True
+        return found
 
     def _gather(self, places: np.ndarray) -> np.ndarray:
         """The ids of a sequence of words."""
@@ -141,7 +162,7 @@ class WordIds:
             limit = (ends[at - 1] if at else 0) + self.chars
             stop = max(at + 1, int(np.searchsorted(ends, limit, "right")))
             if len(self.places) > self.words or self.used > CACHE_IDS:
-                self._clear()
+                self._trim()
             found.append(self._slice(texts.slice(at, stop - at)))
             at = stop
         if not found:

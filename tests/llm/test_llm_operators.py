@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -401,6 +402,24 @@ def test_word_cache_equals_plain_encoding():
             assert own.encode(text) == want[:-1].tobytes(), (name, text)
 
 
+def test_word_table_keeps_repeated_words_when_full():
+    """A full table forgets words met in one slice only, so frequent words are encoded once and memory stays bounded."""
+    from quillmesh.llm.tokens import WordIds
+
+    asked = []
+
+    def raw(texts):
+        asked.extend(texts)
+        return [np.frombuffer(t.encode(), np.uint8).astype(np.int32) for t in texts]
+
+    table = WordIds(raw, words=100, chars=200)
+    texts = [f"the common {' '.join(f'new{i}x{k}' for k in range(20))} words" for i in range(40)]
+    ids, counts = table.encode_column(pa.array(texts))
+    assert ids.astype(np.uint8).tobytes() == "".join(texts).encode() and counts.tolist() == list(map(len, texts))
+    assert max(asked.count(w) for w in ("the", " common", " words")) == 1
+    assert len(table.places) <= 200
+
+
 def test_packing_is_whole_and_tight(spark, mixed, data):
     rows, docs = mixed
     many = rows + [(1000 + r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
