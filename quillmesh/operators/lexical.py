@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions.binding import bind
 from quillmesh.functions.text import SPECIAL_IDS, token_id, tokens
 from quillmesh.functions.vectors import lexical_score
-from quillmesh.operators.skew import spread_join, spread_lookup
+from quillmesh.operators.skew import PAIRS_PER_TASK, spread_join, spread_lookup, tasks_for
 
 # Fixed value: how fast an occurrence loses weight with its position.
 POSITION_SCALE = 512.0
@@ -49,19 +49,20 @@ def first_places(words: Column) -> Column:
 
 
 def lexical_postings(
-    df: DataFrame, vocab: DataFrame, corpus_rows: Column, row_id: str, text: str = "text", in_corpus: bool = True
+    df: DataFrame, vocab: DataFrame, corpus_rows: Column, row_id: str, text: str = "text", in_corpus: bool = True, stored: bool = False
 ) -> DataFrame:
     """Long-form sparse weights ``(row_id, token_id, weight)``.
 
     The weight of an occurrence is ``idf / (1 + pos / 512)`` and a token keeps its largest one,
     which is that of its first occurrence, so the reduction happens inside the row before any
-    row is emitted. ``in_corpus=False`` also scores tokens the corpus does not have.
+    row is emitted. ``in_corpus=False`` also scores tokens the corpus does not have. ``stored``: ``df`` is the
+    corpus and ``vocab`` its stored vocabulary (see ``spread_lookup``).
     """
     found = df.select(row_id, F.explode(first_positions(F.col(text))).alias("p")).select(
         row_id, F.col("p.token").alias("token"), F.col("p.pos").alias("pos")
     )
     if in_corpus:
-        joined = spread_lookup(found, vocab, "token", "df", [row_id])
+        joined = spread_lookup(found, vocab, "token", "df", [row_id], stored=stored)
         idf, tid = F.col("idf"), F.col("token_id")
     else:
         joined = spread_lookup(found, vocab, "token", "df", [row_id], how="left")
@@ -118,13 +119,15 @@ def id_to_token(postings: DataFrame, vocab: DataFrame, row_id: str) -> DataFrame
 
 
 def lexical_score_matrix(
-    left: DataFrame, right: DataFrame, left_id: str, right_id: str, key_rows: DataFrame | None = None
+    left: DataFrame, right: DataFrame, left_id: str, right_id: str, key_rows: DataFrame | None = None, pairs_per_task: int = PAIRS_PER_TASK
 ) -> DataFrame:
     """Non-zero cells ``(left_id, right_id, score)`` of the matching-score matrix.
 
     Inputs are long-form weights. A posting-list join on the token with partial sums before the
     shuffle; tokens that are frequent on both sides are split (see ``spread_join``). Absent cells
-    are 0; ask for single cells with ``lexical_score_pairs``.
+    are 0; ask for single cells with ``lexical_score_pairs``. Sums are made by as many tasks as the pairs
+    need: once that is more than the session's setting, a task's pairs hardly share a cell, so none are
+    added up before the shuffle.
     """
     a = left.select("token_id", left_id, F.col("weight").alias("_wl"))
     b = right.select("token_id", right_id, F.col("weight").alias("_wr"))
@@ -133,6 +136,9 @@ def lexical_score_matrix(
         n_right = b.groupBy("token_id").agg(F.count(F.lit(1)).alias("n_right"))
         key_rows = n_left.join(n_right, "token_id")
     pairs = spread_join(a, b, "token_id", left_id, right_id, key_rows)
+    tasks = tasks_for(key_rows.agg(F.sum(F.col("n_left").cast("double") * F.col("n_right")) / pairs_per_task))
+    if tasks:
+        pairs = pairs.repartition(tasks, left_id, right_id)
     return pairs.groupBy(left_id, right_id).agg(F.sum(F.col("_wl") * F.col("_wr")).alias("score"))
 
 

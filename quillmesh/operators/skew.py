@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
@@ -39,6 +40,12 @@ def _budget(counts: DataFrame, size: Column, least: float) -> Column:
     return F.greatest(F.lit(float(least)), share)
 
 
+def tasks_for(needed: DataFrame) -> int | None:
+    """Tasks that a shuffle needs, from one number, where the session's setting has fewer."""
+    tasks = math.ceil(needed.first()[0] or 0)
+    return tasks if tasks > int(needed.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def spread_lookup(
     left: DataFrame,
     right: DataFrame,
@@ -48,6 +55,7 @@ def spread_lookup(
     how: str = "inner",
     rows_per_task: int = ROWS_PER_TASK,
     counts: DataFrame | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which has one row per key and knows in ``left_rows`` how many
     rows of ``left`` carry that key.
@@ -55,7 +63,8 @@ def spread_lookup(
     Hot keys get several salts: the left rows are dealt out by a hash of ``spread_by`` and the one
     right row is repeated per salt. Other keys join as usual (Spark picks broadcast or shuffle). The
     list of hot keys has at most ``MAX_HOT`` entries.
-    ``counts`` may name a cheaper table to read the hot keys from when ``right`` is costly.
+    ``counts`` may name a cheaper table to read the hot keys from when ``right`` is costly. ``stored``: that table is
+    read from storage, so its rows are added up first and the join gets as many tasks as they need.
     """
     known = right if counts is None else counts
     budget = _budget(known, F.col(left_rows), rows_per_task)
@@ -65,6 +74,9 @@ def spread_lookup(
         "_salt", F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_fan")).cast("int"), F.lit(0))
     )
     repeated = right.withColumn("_salts", fan).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    tasks = tasks_for(known.agg(F.sum(F.col(left_rows).cast("double")) / rows_per_task)) if stored else None
+    if tasks:
+        dealt, repeated = (side.repartition(tasks, on, "_salt") for side in (dealt, repeated))
     return dealt.join(repeated, [on, "_salt"], how).drop("_salt", "_fan")
 
 

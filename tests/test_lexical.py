@@ -124,3 +124,13 @@ def test_spread_join_equals_plain_join(spark, pairs_per_task, rows_per_task):
     rows = a.groupBy("k").agg(F.count(F.lit(1)).alias("n_left")).join(b.groupBy("k").agg(F.count(F.lit(1)).alias("n_right")), "k")
     out = spread_join(a, b, "k", "a", "b", rows, pairs_per_task, rows_per_task)
     assert sorted((r.a, r.b) for r in out.collect()) == sorted((r.a, r.b) for r in a.join(b, "k").collect())
+
+
+def test_matrix_sums_have_as_many_tasks_as_pairs_need(spark):
+    """40,000 pairs, 1,000 a task: 40 tasks add cells up although the session asks for fewer."""
+    a = spark.range(200).select(F.col("id").alias("l"), F.explode(F.array(F.lit(1), F.lit(2))).alias("token_id"), F.lit(2.0).alias("weight"))
+    b = spark.range(100).select(F.col("id").alias("r"), F.explode(F.array(F.lit(1), F.lit(2))).alias("token_id"), F.lit(0.5).alias("weight"))
+    out = lex.lexical_score_matrix(a, b, "l", "r", pairs_per_task=1000)
+    cells = out.select("*", F.spark_partition_id().alias("task")).collect()
+    assert len(cells) == 20_000 and {c.score for c in cells} == {2.0}
+    assert len({c.task for c in cells}) > 30
