@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmesh.llm import decontaminate, ngram_join, packing, secrets, toxicity
-from quillmesh.session import scratch_path
+from quillmesh.llm.tokens import BATCH_ROWS
+from quillmesh.session import materialize
 from quillmesh.sources.tables import table
 
 
@@ -50,7 +51,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn, each written and read again, so none is computed twice and lost executors cost one stage."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", BATCH_ROWS)
     return docs

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.tokens import encoder, with_end
+from quillmesh.llm.tokens import BATCH_ROWS, encoder, with_end
 from quillmesh.session import materialize, ship_package
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -221,13 +221,13 @@ def pack(pieces: DataFrame, room: int = SEQUENCE, rounds: int = ROUNDS) -> DataF
 
 def pack_documents(docs: DataFrame, room: int = SEQUENCE, tokenizer: str = TOKENIZER) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``: where every piece of every document goes."""
-    pieces = materialize(cut_pieces(docs, room, tokenizer).drop("ids"), "pieces")
+    pieces = materialize(cut_pieces(docs, room, tokenizer).drop("ids"), "pieces", BATCH_ROWS)
     return pack(pieces, room).drop("key")
 
 
 def sequences(docs: DataFrame, room: int = SEQUENCE, tokenizer: str = TOKENIZER) -> DataFrame:
     """``sequence_id, ids array<int>``: the packed sequences themselves, each at most ``room`` ids long."""
-    pieces = materialize(cut_pieces(docs, room, tokenizer, with_ids=True), "pieces")
+    pieces = materialize(cut_pieces(docs, room, tokenizer, with_ids=True), "pieces", BATCH_ROWS)
     placed = pack(pieces, room).groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -189,6 +189,21 @@ def test_toxicity_held_out(spark, data):
     assert all(r.toxicity < 0.5 for r in toxicity.score(docs, none).collect())
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """Rare insults are learned although 50 rows, as many as one part has, would show some of them once or not at all."""
+    dice = np.random.default_rng(11)
+    insults = [f"{k}scumbag" for k in range(10)]
+    rows = [(i, " ".join(f"word{k}" for k in dice.integers(0, 60, 20)) + (f" {insults[i // 3 % 10]}" if i % 3 == 0 else "")) for i in range(900)]
+    labels = [(i, 0, int(i % 3 == 0)) for i, _ in rows]
+    docs, marks = docs_of(spark, rows + rows[3:5]), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    machine = toxicity.train(docs, marks, rows=50)
+    again = toxicity.train(docs, marks, rows=50)
+    assert np.array_equal(machine.weights, again.weights) and np.array_equal(machine.factors, again.factors)
+    scored = toxicity.score(docs, machine).collect()
+    assert len(scored) == 902
+    assert [r.doc_id for r in scored if (r.toxicity >= 0.5) != (r.doc_id % 3 == 0)] == []
+
+
 def test_factorization_machine_learns_a_pair():
     dice = np.random.default_rng(0)
     rows, labels = [], []
