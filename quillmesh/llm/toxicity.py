@@ -307,8 +307,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     copies = docs.groupBy("doc_id").agg(F.count("*").alias("copies"))
     known = materialize(known.join(copies, F.col("label_id") == F.col("doc_id")).select("label_id", "toxic", "copies"), "labelled")
     n, pos = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, F.col("doc_id") == F.col("label_id"))
-    texts = texts.select("doc_id", "toxic", "text", "copies")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(~held_out("doc_id"))
+    # labels grow with the texts, so they are never sent whole to every executor
+    texts = texts.join(known.hint("merge"), F.col("doc_id") == F.col("label_id")).select("doc_id", "toxic", "text", "copies")
+    # read twice, and the shuffle files of the join go before those of the counts come
+    texts = materialize(texts, "labelled-texts", BATCH_ROWS)
     # of several texts with one id one counts; the others need no shuffle
     single, several = texts.where("copies = 1"), texts.where("copies > 1").mapInArrow(_features, _FEATURES)
     several = several.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("terms").alias("terms"))
