@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions.binding import bind
 from quillmesh.functions.text import SPECIAL_IDS, token_id, tokens
 from quillmesh.functions.vectors import lexical_score
-from quillmesh.operators.skew import PAIRS_PER_TASK, spread_join, spread_lookup, tasks_for
+from quillmesh.operators.skew import PAIRS_PER_TASK, gather_pairs, spread_join, spread_lookup
 
 # Fixed value: how fast an occurrence loses weight with its position.
 POSITION_SCALE = 512.0
@@ -123,11 +123,9 @@ def lexical_score_matrix(
 ) -> DataFrame:
     """Non-zero cells ``(left_id, right_id, score)`` of the matching-score matrix.
 
-    Inputs are long-form weights. A posting-list join on the token with partial sums before the
-    shuffle; tokens that are frequent on both sides are split (see ``spread_join``). Absent cells
-    are 0; ask for single cells with ``lexical_score_pairs``. Sums are made by as many tasks as the pairs
-    need: once that is more than the session's setting, a task's pairs hardly share a cell, so none are
-    added up before the shuffle.
+    Inputs are long-form weights. A posting-list join on the token; tokens that are frequent on both
+    sides are split (see ``spread_join``). Absent cells are 0; ask for single cells with
+    ``lexical_score_pairs``. Sums are made by as many tasks as the pairs need (see ``gather_pairs``).
     """
     a = left.select("token_id", left_id, F.col("weight").alias("_wl"))
     b = right.select("token_id", right_id, F.col("weight").alias("_wr"))
@@ -135,10 +133,7 @@ def lexical_score_matrix(
         n_left = a.groupBy("token_id").agg(F.count(F.lit(1)).alias("n_left"))
         n_right = b.groupBy("token_id").agg(F.count(F.lit(1)).alias("n_right"))
         key_rows = n_left.join(n_right, "token_id")
-    pairs = spread_join(a, b, "token_id", left_id, right_id, key_rows)
-    tasks = tasks_for(key_rows.agg(F.sum(F.col("n_left").cast("double") * F.col("n_right")) / pairs_per_task))
-    if tasks:
-        pairs = pairs.repartition(tasks, left_id, right_id)
+    pairs = gather_pairs(spread_join(a, b, "token_id", left_id, right_id, key_rows), left_id, right_id, key_rows, pairs_per_task)
     return pairs.groupBy(left_id, right_id).agg(F.sum(F.col("_wl") * F.col("_wr")).alias("score"))
 
 

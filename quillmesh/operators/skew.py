@@ -40,10 +40,19 @@ def _budget(counts: DataFrame, size: Column, least: float) -> Column:
     return F.greatest(F.lit(float(least)), share)
 
 
-def tasks_for(needed: DataFrame) -> int | None:
-    """Tasks that a shuffle needs, from one number, where the session's setting has fewer."""
-    tasks = math.ceil(needed.first()[0] or 0)
-    return tasks if tasks > int(needed.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+def tasks_for(needed: DataFrame) -> int:
+    """Tasks that a shuffle needs, from one number; not fewer than there are cores."""
+    return max(math.ceil(needed.first()[0] or 0), needed.sparkSession.sparkContext.defaultParallelism)
+
+
+def gather_pairs(pairs: DataFrame, left_id: str, right_id: str, key_rows: DataFrame, pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
+    """The pairs of a ``spread_join`` dealt by both ids to as many tasks as they need, to be added up there.
+
+    Pairs that share their ids come from other keys and so from other tasks: adding up in the tasks of the join finds next
+    to none to add, and the pairs of all hot cells that a task got would be held there at once.
+    """
+    needed = key_rows.agg(F.sum(F.col("n_left").cast("double") * F.col("n_right")) / pairs_per_task)
+    return pairs.repartition(tasks_for(needed), left_id, right_id)
 
 
 def spread_lookup(
@@ -64,7 +73,8 @@ def spread_lookup(
     right row is repeated per salt. Other keys join as usual (Spark picks broadcast or shuffle). The
     list of hot keys has at most ``MAX_HOT`` entries.
     ``counts`` may name a cheaper table to read the hot keys from when ``right`` is costly. ``stored``: that table is
-    read from storage, so its rows are added up first and the join gets as many tasks as they need.
+    read from storage, so its rows are added up first and the join gets as many tasks as they need, unless these are no
+    more than there are cores: tasks joined by their bytes afterwards would hold more rows the larger the tables are.
     """
     known = right if counts is None else counts
     budget = _budget(known, F.col(left_rows), rows_per_task)
@@ -74,8 +84,9 @@ def spread_lookup(
         "_salt", F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_fan")).cast("int"), F.lit(0))
     )
     repeated = right.withColumn("_salts", fan).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
-    tasks = tasks_for(known.agg(F.sum(F.col(left_rows).cast("double")) / rows_per_task)) if stored else None
-    if tasks:
+    cores = left.sparkSession.sparkContext.defaultParallelism
+    tasks = tasks_for(known.agg(F.sum(F.col(left_rows).cast("double")) / rows_per_task)) if stored else 0
+    if tasks > cores:
         dealt, repeated = (side.repartition(tasks, on, "_salt") for side in (dealt, repeated))
     return dealt.join(repeated, [on, "_salt"], how).drop("_salt", "_fan")
 
@@ -118,8 +129,7 @@ def spread_join(
             F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)).alias(other_salt),
         )
 
-    needed = F.ceil(F.greatest(F.sum(nl * nr) / pairs_per_task, F.sum(nl + nr) / rows_per_task))
-    tasks = max(int(key_rows.agg(needed).first()[0] or 0), left.sparkSession.sparkContext.defaultParallelism)
+    tasks = tasks_for(key_rows.agg(F.greatest(F.sum(nl * nr) / pairs_per_task, F.sum(nl + nr) / rows_per_task)))
     a = dealt(left, left_id, "_fl", "_fr", "_sl", "_sr").repartition(tasks, on, "_sl", "_sr")
     b = dealt(right, right_id, "_fr", "_fl", "_sr", "_sl").repartition(tasks, on, "_sl", "_sr")
     return a.join(b, [on, "_sl", "_sr"]).drop("_sl", "_sr")

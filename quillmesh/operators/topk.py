@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmesh.operators.lexical import POSITION_SCALE, first_positions, inverse_frequency
-from quillmesh.operators.skew import same_key_join, spread_join, spread_lookup
+from quillmesh.operators.skew import gather_pairs, same_key_join, spread_join, spread_lookup
 from quillmesh.session import materialize
 
 #: Blocks per halving of a token's weight.
@@ -79,6 +79,7 @@ def _partial(read: DataFrame, postings: DataFrame, query_id: str, doc_id: str) -
     n_left = read.groupBy("block").agg(F.count(F.lit(1)).alias("n_left"), F.any_value("rows").alias("n_right"))
     left = read.select("block", query_id, F.col("weight").alias("_wq"), "open")
     cells = spread_join(left, postings.select("block", doc_id, "weight"), "block", query_id, doc_id, n_left)
+    cells = gather_pairs(cells, query_id, doc_id, n_left)
     return cells.groupBy(query_id, doc_id).agg(F.sum(F.col("_wq") * F.col("weight") - F.col("open")).alias("score"))
 
 

@@ -134,3 +134,20 @@ def test_matrix_sums_have_as_many_tasks_as_pairs_need(spark):
     cells = out.select("*", F.spark_partition_id().alias("task")).collect()
     assert len(cells) == 20_000 and {c.score for c in cells} == {2.0}
     assert len({c.task for c in cells}) > 30
+
+
+def test_matrix_pairs_are_not_held_by_the_join(spark):
+    """Below the session's number of tasks, too: the join's tasks add nothing up, the sums' tasks get equal parts."""
+    a = spark.range(200).select(F.col("id").alias("l"), F.explode(F.array(F.lit(1), F.lit(2))).alias("token_id"), F.lit(2.0).alias("weight"))
+    b = spark.range(100).select(F.col("id").alias("r"), F.explode(F.array(F.lit(1), F.lit(2))).alias("token_id"), F.lit(0.5).alias("weight"))
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        out = lex.lexical_score_matrix(a, b, "l", "r", pairs_per_task=4000)
+        cells = out.select("*", F.spark_partition_id().alias("task")).collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(cells) == 20_000 and {c.score for c in cells} == {2.0}
+    assert len({c.task for c in cells}) == 10
+    final = plan.split("Initial Plan")[0]
+    assert max(line for line, text in enumerate(final.splitlines()) if "HashAggregate(keys=[l#" in text) < final.split("hashpartitioning(l#")[0].count("\n")
