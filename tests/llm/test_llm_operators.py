@@ -1,6 +1,7 @@
 """Each operator against a brute-force version or a round trip, with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -520,3 +521,24 @@ def test_pipeline_equals_stages_by_hand(spark, data):
     plain = {i: len(x) for (i, t), x in zip(rows, encode_plain(packing.TOKENIZER, [t for _, t in rows])) if not brute_base(t)}
     assert {r.doc_id: r.n for r in got if r.doc_id in plain} == plain
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secret_scan", "best_fit_packing"]
+
+
+def test_words_of_latin_letters_equal_the_library():
+    """Letters of Latin-1 in either case, marks after them, and words just outside: by the model, they have the tokenizer's ids."""
+    from quillmesh.llm import tokens
+
+    encoder = tokens._library(token_store.TOKENIZER)
+    assert encoder.latin
+    rng, letters = random.Random(8), "abcXYZ" + tokens._LATIN
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 9))) + "".join(rng.choices(tokens._MARKS, k=rng.randint(0, 3))) for _ in range(3000)]
+    words += ["it's", "L'ÉTÉ", "ab'", "ab'S", "'s", "x_", "_x", "µm", "ªº", "ÿ", "İI", "ŸÉ", "é", "É́", "K", "ΑΣ", "7é", "é7", "×", "é×É", "<|endoftext|>", "é<|endoftext|>", "<|ENDOFTEXT|>", "a" * 300, "É" * 300]
+    rng.shuffle(words)
+    texts = ["", "É", "\nÉ,", *words, *(rng.choice((" ", "\n", " \n")).join(rng.choices(words, k=40)) for _ in range(200)), *(" ".join(w for w in rng.choices(words, k=40) if max(w) < "Ā") for _ in range(200))]
+    ids, counts = encoder.encode_column(pa.array(texts))
+    want = encode_plain(token_store.TOKENIZER, texts)
+    got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [x[:-1].tolist() for x in want]
+    asked = []
+    raw, encoder.raw = encoder.raw, lambda new: asked.extend(new) or raw(new)
+    encoder.encode_column(pa.array(["Üblichst Üblichst, üblichst", "ÜBLICHST"]))
+    assert sorted(asked) == [" üblichst", " üblichst,", "üblichst"]
