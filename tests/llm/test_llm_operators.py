@@ -542,3 +542,25 @@ def test_words_of_latin_letters_equal_the_library():
     raw, encoder.raw = encoder.raw, lambda new: asked.extend(new) or raw(new)
     encoder.encode_column(pa.array(["Üblichst Üblichst, üblichst", "ÜBLICHST"]))
     assert sorted(asked) == [" üblichst", " üblichst,", "üblichst"]
+
+
+def test_marks_after_words_of_a_byte_level_vocabulary_are_looked_up_apart():
+    from tokenizers import Tokenizer
+
+    from quillmesh.llm import tokens
+
+    library = Tokenizer.from_file(tokens.tokenizer_path(packing.TOKENIZER))
+    table = tokens._library(packing.TOKENIZER)
+    dice = random.Random(11)
+    parts = [*"abcstvÀéßÿ×ªº.,;:!?'\"<|>_-&~19²", "'s", "'ll", "é", "😀", "ж", "<|endoftext|>", " ", "\x1c", "\r", " ", " ", " ", "\n", "\n\n", "\t", "  "]
+    texts = ["".join(dice.choices(parts[: dice.choice((10, 18, len(parts)))], k=dice.randint(0, 30))) for _ in range(2000)]
+    texts += ["word, word. word\nword! <|endoftext|>, x<|endoftext|>", "&&& *** a&&& ***b", "isn't it' s'll'"]
+    ids, counts = table.encode_column(pa.array([None, *texts], pa.string()))
+    assert counts[0] == 0
+    for text, own in zip(texts, np.split(ids, np.cumsum(counts)[1:-1])):
+        assert own.tolist() == library.encode(text, add_special_tokens=False).ids, text
+    asked = []
+    raw, table.raw = table.raw, lambda new: asked.extend(new) or raw(new)
+    table.encode_column(pa.array(["Of unheardof, unheardof. unheardof!? unheardof", "Of unheardof,"]))
+    # one word is asked for once, whatever marks follow it
+    assert [w for w in asked if "unheardof" in w] == [" unheardof"]
