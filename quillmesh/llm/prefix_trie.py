@@ -59,22 +59,31 @@ def numbered(turns: DataFrame) -> DataFrame:
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     rows = rows.select("conv", F.xxhash64("role", "text").alias("t1"), F.xxhash64(F.lit(1), "text", "role").alias("t2"), F.octet_length("text").cast("bigint").alias("n_bytes"))
 
+    names = [*rows.columns, "part", "at", "edge"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, now, count = TaskContext.get().partitionId(), None, 0
+        part, now, count, held = TaskContext.get().partitionId(), None, 0, []
         for batch in batches:
             conv = np.asarray(batch.column("conv"))
             if not len(conv):
                 continue
+            edge = np.zeros(len(conv), bool)
+            edge[0] = not held
+            if held:
+                yield pa.RecordBatch.from_arrays(held, names=names)
             starts = np.append(0, np.flatnonzero(conv[1:] != conv[:-1]) + 1)
             at = np.arange(len(conv)) - np.repeat(starts, np.diff(np.append(starts, len(conv))))
             if conv[0] == now:
                 at[: starts[1] if len(starts) > 1 else len(conv)] += count
             now, count = conv[-1], int(at[-1]) + 1
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.full(len(conv), part, np.int32)), pa.array(at)], names=[*batch.schema.names, "part", "at"])
-
-    stored = materialize(rows.mapInArrow(run, f"{_TURNS}, part int, at bigint"), "turns")
-    pieces = stored.groupBy("conv", "part").agg(F.count("*").alias("n"))
+            held = [*batch.columns, pa.array(np.full(len(conv), part, np.int32)), pa.array(at), edge]
+        if held:
+            held[-1][-1] = True
+            yield pa.RecordBatch.from_arrays(held, names=names)
+
+    stored = materialize(rows.mapInArrow(run, f"{_TURNS}, part int, at bigint, edge boolean"), "turns")
+    # the first and the last row of a task tell all: a conversation that goes on in the next task has its task's last row
+    pieces = stored.where("edge").select("conv", "part", "at").repartition(1).groupBy("conv", "part").agg((F.max("at") + 1).alias("n"))
     before = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     cut = pieces.withColumn("before", F.sum("n").over(before)).where("before > 0").select("conv", "part", "before")
     joined = stored.join(F.broadcast(cut), ["conv", "part"], "left")
@@ -94,13 +103,14 @@ def rebuilt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     turn = F.struct("pos", "t1", "t2", "n_bytes")
     info = rows.groupBy("conv").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("pos") < HEAD, turn))).alias("head"))
-    info = materialize(info, "conversations")
-    donors = info.select(F.col("conv").alias("_donor"), F.col("head").alias("_head"))
     donor = F.when(F.col("conv") == NO_ID, F.col("conv")).otherwise(F.col("conv") - F.pmod("conv", F.lit(5)))
-    plan = info.withColumn("h", head_size(F.col("conv"))).join(donors, donor == F.col("_donor"), "left")
-    taken = F.coalesce(F.slice("_head", F.lit(1), F.col("h").cast("int")), F.array().cast(info.schema["head"].dataType))
+    plan = info.withColumns({"h": head_size(F.col("conv")), "donor": donor})
+    # at most five conversations have one donor, which is the first of them if it is there
+    given = F.max(F.when(F.col("conv") == F.col("donor"), F.col("head"))).over(Window.partitionBy("donor"))
+    plan = plan.withColumn("given", given)
+    taken = F.coalesce(F.slice("given", F.lit(1), F.col("h").cast("int")), F.array().cast(info.schema["head"].dataType))
     plan = plan.select("conv", "n", "h", taken.alias("taken"))
-    plan = plan.withColumn("shift", F.size("taken") - F.col("h"))
+    plan = materialize(plan.withColumn("shift", F.size("taken") - F.col("h")), "conversations")
     totals = plan.select("conv", (F.size("taken") + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("total"))
     heads = plan.select("conv", F.explode("taken").alias("t")).select("conv", "t.*")
     own = rows.where(F.col("pos") >= head_size(F.col("conv")))
@@ -167,28 +177,29 @@ def _sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out.to_batches(max_chunksize=CHUNK_ROWS)
 
 
-def _shards(blocks: DataFrame) -> DataFrame:
+def _shards(blocks: DataFrame, totals: DataFrame) -> DataFrame:
     """The blocks in stored, sorted shards, with ``part, at, back, ahead``: the shared turns before and after, all known.
 
     Of two neighbouring shards only the last and the first row are compared: two rows per shard.
     """
-    blocks = materialize(blocks, "blocks")
-    parts = max(1, -(-blocks.count() // SHARD_ROWS))
+    n_blocks = totals.agg(F.sum(F.ceil(F.col("total") / WIDTH))).first()[0] or 0
+    parts = max(1, -(-n_blocks // SHARD_ROWS))
     dealt = blocks.repartitionByRange(parts, "b", "k1", "k2", "ids", "more", "conv")
     stored = materialize(dealt.mapInArrow(_sort_shard, f"{_BLOCK}, part int, at bigint, back bigint, ahead bigint, final boolean"), "shards")
-    ends = stored.where("at = 0 or final").select("part", "at", "final", F.struct("b", "k1", "k2").alias("key"), "ids")
-    before = Window.orderBy("part", "at")
-    ends = ends.withColumns({"last": F.lag(F.struct("part", "key", "ids")).over(before)}).where("at = 0 and last is not null")
+    ends = stored.where("at = 0 or final").select("part", "at", "final", F.struct("b", "k1", "k2").alias("key"), "ids").repartition(1)
+    order = Window.orderBy("part", "at")
+    ends = ends.withColumn("last", F.lag(F.struct("key", "ids")).over(order))
     same = F.zip_with("ids", "last.ids", lambda x, y: x.eqNullSafe(y) & x.isNotNull())
     at = F.array_position(same, False)
-    shared = F.floor(F.when(at > 0, at - 1).otherwise(F.size(same)) / 2)
-    border = ends.select("part", F.col("last.part").alias("other"), F.when(F.col("key") == F.col("last.key"), shared).otherwise(0).cast("bigint").alias("n"))
-    back = border.select("part", F.lit(0).cast("bigint").alias("at"), F.col("n").alias("_back"))
-    ahead = border.select(F.col("other").alias("part"), F.lit(True).alias("final"), F.col("n").alias("_ahead"))
-    known = stored.join(F.broadcast(back), ["part", "at"], "left").join(F.broadcast(ahead), ["part", "final"], "left")
+    shared = F.floor(F.when(at > 0, at - 1).otherwise(F.size(same)) / 2).cast("bigint")
     none = F.lit(0).cast("bigint")
-    ahead_of = F.when(F.col("final"), F.coalesce("_ahead", none)).otherwise(F.col("ahead"))
-    return known.select(*[n.split()[0] for n in _BLOCK.split(", ")], "part", "at", F.when(F.col("at") == 0, F.coalesce("_back", none)).otherwise(F.col("back")).alias("back"), ahead_of.alias("ahead"))
+    ends = ends.withColumn("n", F.when((F.col("at") == 0) & (F.col("key") == F.col("last.key")), shared).otherwise(none))
+    # the row after a shard's last one is the first of the next shard
+    ends = ends.withColumn("next", F.coalesce(F.lead("n").over(order), none))
+    border = ends.groupBy("part").agg(F.max(F.when(F.col("at") == 0, F.col("n"))).alias("_back"), F.max(F.when(F.col("final"), F.col("next"))).alias("_ahead"))
+    known = stored.join(F.broadcast(border), "part")
+    back, ahead = F.when(F.col("at") == 0, F.col("_back")).otherwise(F.col("back")), F.when(F.col("final"), F.col("_ahead")).otherwise(F.col("ahead"))
+    return known.select(*[n.split()[0] for n in _BLOCK.split(", ")], "part", "at", back.alias("back"), ahead.alias("ahead"))
 
 
 _NODE = "depth bigint, x1 bigint, x2 bigint, up1 bigint, up2 bigint, conv bigint, n bigint, children bigint, leaves bigint, saved bigint"
@@ -271,54 +282,55 @@ def _nodes(shards: DataFrame) -> DataFrame:
 
 
 def _ends(rows: DataFrame) -> DataFrame:
-    """``x1, x2, ends`` of rows ``(x1, x2, conv)``: the digest of the ascending ids per key, joined by commas.
+    """``depth, x1, x2, ends`` of rows ``(depth, x1, x2, conv)``: the digest of the ascending ids per key, joined by commas.
 
     Ids are sorted in ranges, so those of one key may be put in order by many tasks; only their joined texts, in long pieces, meet in
     one task, which streams them through the digest.
     """
+    key = ["depth", "x1", "x2"]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, "x1", "x2", "conv").sortWithinPartitions("x1", "x2", "conv")
+    dealt = rows.select(*key, "conv").repartitionByRange(parts, *key, "conv").sortWithinPartitions(*key, "conv")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, least, ids, chars = None, 0, [], 0
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
 
         def put():
             for column, value in zip(out, (*now, least, ",".join(ids))):
                 column.append(value)
 
         for batch in batches:
-            for x1, x2, conv in zip(*(c.to_pylist() for c in batch.columns)):
-                if (x1, x2) != now or chars > JOINED_CHARS:
+            for *at, conv in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != now or chars > JOINED_CHARS:
                     if now is not None:
                         put()
-                    now, least, ids, chars = (x1, x2), conv, [], 0
+                    now, least, ids, chars = at, conv, [], 0
                 ids.append("" if conv == NO_ID else str(conv))
                 chars += len(ids[-1]) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["x1", "x2", "least", "ids"])
-            out = [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, [pa.int64()] * 4 + [pa.string()])], names=[*key, "least", "ids"])
+            out = [[], [], [], [], []]
         if now is not None:
             put()
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["x1", "x2", "least", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, [pa.int64()] * 4 + [pa.string()])], names=[*key, "least", "ids"])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sha = None, None
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for x1, x2, _, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                if (x1, x2) == now:
+            out: list[list] = [[], [], [], []]
+            for *at, _, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                if at == now:
                     sha.update(("," + ids).encode())
                     continue
                 if now is not None:
                     for column, value in zip(out, (*now, sha.hexdigest())):
                         column.append(value)
-                now, sha = (x1, x2), hashlib.sha256(ids.encode())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.string()))], names=["x1", "x2", "ends"])
+                now, sha = at, hashlib.sha256(ids.encode())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, [pa.int64()] * 3 + [pa.string()])], names=[*key, "ends"])
         if now is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int64()), pa.array([now[1]], pa.int64()), pa.array([sha.hexdigest()])], names=["x1", "x2", "ends"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in now), pa.array([sha.hexdigest()])], names=[*key, "ends"])
 
-    pieces = dealt.mapInArrow(join, "x1 bigint, x2 bigint, least bigint, ids string")
-    return pieces.repartition("x1", "x2").sortWithinPartitions("x1", "x2", "least").mapInArrow(digest, "x1 bigint, x2 bigint, ends string")
+    pieces = dealt.mapInArrow(join, "depth bigint, x1 bigint, x2 bigint, least bigint, ids string")
+    return pieces.repartition(*key).sortWithinPartitions(*key, "least").mapInArrow(digest, "depth bigint, x1 bigint, x2 bigint, ends string")
 
 
 def trie(rows: DataFrame, totals: DataFrame) -> DataFrame:
@@ -328,24 +340,27 @@ def trie(rows: DataFrame, totals: DataFrame) -> DataFrame:
     smallest member and its depth.
     """
     ship_package(rows.sparkSession)
-    shards = _shards(_blocks(rows))
-    nodes = materialize(_nodes(shards), "nodes")
-    none = hashlib.sha256(b"").hexdigest()
-    ended = shards.where("not more").select("x1", "x2", "conv")
+    shards = _shards(_blocks(rows), totals)
+    none, zero = hashlib.sha256(b"").hexdigest(), F.lit(0).cast("bigint")
+    ended = shards.where("not more").select((F.col("b") * WIDTH + F.size("sizes")).alias("depth"), "x1", "x2", "conv")
     # the root's key is that of nothing; conversations without turns end there
-    turnless = totals.where("total = 0").select(F.lit(0).cast("bigint").alias("x1"), F.lit(0).cast("bigint").alias("x2"), "conv")
-    top = nodes.where("depth = 1").agg(F.count("*").alias("children"), F.sum("leaves").alias("below"), F.sum("saved").alias("saved"))
+    turnless = totals.where("total = 0").select(zero.alias("depth"), zero.alias("x1"), zero.alias("x2"), "conv")
+    # of the root only the ends are known here, and only if it has any
+    stored = materialize(_nodes(shards).join(_ends(ended.unionByName(turnless)), ["depth", "x1", "x2"], "full"), "nodes")
+    nodes, below_root = stored.where("depth > 0"), F.col("depth") == 1
+    top = stored.where("depth < 2").agg(
+        F.count(F.when(below_root, 1)).alias("children"), F.sum(F.when(below_root, F.col("leaves"))).alias("below"),
+        F.sum(F.when(below_root, F.col("saved"))).alias("saved"), F.max(F.when(F.col("depth") == 0, F.col("ends"))).alias("ends"),
+    )
     members = totals.agg(F.min("conv").alias("conv"), F.count("*").alias("n")).where("n > 0")
-    zero = F.lit(0).cast("bigint")
     root = members.join(F.broadcast(top), F.lit(True)).select(
         zero.alias("depth"), zero.alias("x1"), zero.alias("x2"), F.lit(None).cast("bigint").alias("up1"), F.lit(None).cast("bigint").alias("up2"),
-        "conv", "n", "children", F.coalesce("below", F.lit(1).cast("bigint")).alias("leaves"), F.coalesce("saved", zero).alias("saved"),
+        "conv", "n", "children", F.coalesce("below", F.lit(1).cast("bigint")).alias("leaves"), F.coalesce("saved", zero).alias("saved"), "ends",
     )
     every = nodes.unionByName(root)
     parents = every.where("children > 0").select(F.struct((F.col("depth") + 1).alias("depth"), F.col("x1"), F.col("x2")).alias("up"), F.col("conv").alias("parent"), F.col("children").alias("rows"))
     below = every.withColumn("up", F.struct("depth", F.col("up1").alias("x1"), F.col("up2").alias("x2")))
-    named = spread_lookup(below, parents, "up", "rows", ["x1", "x2"], how="left")
-    found = named.join(_ends(ended.unionByName(turnless)), ["x1", "x2"], "left")
+    found = spread_lookup(below, parents, "up", "rows", ["x1", "x2"], how="left")
     shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(f"{'' if c == 'conv' else 'parent_'}conv_id")
     return found.select(
         shown("conv"), "depth", shown("parent"), F.col("n").alias("n_convs"), F.col("children").alias("n_children"),

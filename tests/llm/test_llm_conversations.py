@@ -319,6 +319,26 @@ def test_trie_of_little(spark):
     assert tries(spark, [(None, None, None, None)]) == brute_trie([(None, None, None, None)])
 
 
+def test_trie_counts_turns_over_task_borders_and_stores_each_table_once(spark, monkeypatch):
+    from quillmesh import session
+
+    rows = [(7, t, "user", f"a{t}") for t in range(300)] + [(c, t, "user", f"a{t}") for c in (5, 6, 9, 12) for t in range(3)]
+    stored = []
+    monkeypatch.setattr(prefix_trie, "materialize", lambda df, name, *more: stored.append(name) or session.materialize(df, name, *more))
+    numbered = prefix_trie.numbered(turns_of(spark, rows))
+    # the long conversation lies in several tasks
+    places = defaultdict(list)
+    for r in numbered.collect():
+        places[r.conv].append(r.pos)
+    assert {c: sorted(p) for c, p in places.items()} == {7: [*range(300)], **{c: [0, 1, 2] for c in (5, 6, 9, 12)}}
+    turns, totals = prefix_trie.rebuilt(numbered)
+    # who takes what from whom is settled once, not again by every use
+    assert "Exchange" not in totals._jdf.queryExecution().executedPlan().toString()
+    out = prefix_trie.trie(turns, totals)
+    assert stored == ["turns", "conversations", "shards", "nodes"]
+    assert sorted(map(tuple, out.collect()), key=str) == brute_trie(rows)
+
+
 # --- long texts of item words ---------------------------------------------------------------------
 
 
