@@ -49,20 +49,21 @@ def first_places(words: Column) -> Column:
 
 
 def lexical_postings(
-    df: DataFrame, vocab: DataFrame, corpus_rows: Column, row_id: str, text: str = "text", in_corpus: bool = True, stored: bool = False
+    df: DataFrame, vocab: DataFrame, corpus_rows: Column, row_id: str, text: str = "text", in_corpus: bool = True, stored: bool = False, counts: DataFrame | None = None
 ) -> DataFrame:
     """Long-form sparse weights ``(row_id, token_id, weight)``.
 
     The weight of an occurrence is ``idf / (1 + pos / 512)`` and a token keeps its largest one,
     which is that of its first occurrence, so the reduction happens inside the row before any
     row is emitted. ``in_corpus=False`` also scores tokens the corpus does not have. ``stored``: ``df`` is the
-    corpus and ``vocab`` its stored vocabulary (see ``spread_lookup``).
+    corpus and ``vocab`` its stored vocabulary (see ``spread_lookup``); ``counts`` is the whole one where ``vocab`` is a part
+    of it, to leave out the tokens of others.
     """
     found = df.select(row_id, F.explode(first_positions(F.col(text))).alias("p")).select(
         row_id, F.col("p.token").alias("token"), F.col("p.pos").alias("pos")
     )
     if in_corpus:
-        joined = spread_lookup(found, vocab, "token", "df", [row_id], stored=stored)
+        joined = spread_lookup(found, vocab, "token", "df", [row_id], counts=counts, stored=stored)
         idf, tid = F.col("idf"), F.col("token_id")
     else:
         joined = spread_lookup(found, vocab, "token", "df", [row_id], how="left")

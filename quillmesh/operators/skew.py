@@ -17,6 +17,9 @@ PAIRS_PER_TASK = 2_000_000
 # Hot keys at most: a key is hot only if it also holds more than this part of all rows (or pairs), so the broadcast
 # lists have a size bound whatever the size of the data, and a task holds at most this part of them.
 MAX_HOT = 10_000
+# A key is dealt out in cells of at most this part of what a task may hold: chance gives some tasks several cells, and of
+# whole-sized ones the fullest task would hold a multiple that grows with the number of tasks.
+CELL = 1 / 16
 
 
 def same_key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -77,7 +80,7 @@ def spread_lookup(
     more than there are cores: tasks joined by their bytes afterwards would hold more rows the larger the tables are.
     """
     known = right if counts is None else counts
-    budget = _budget(known, F.col(left_rows), rows_per_task)
+    budget = _budget(known, F.col(left_rows), rows_per_task * CELL)
     fan = _fan(F.col(left_rows), budget)
     hot = known.where(F.col(left_rows) > budget).select(on, fan.alias("_fan"))
     dealt = left.join(F.broadcast(hot), on, "left").withColumn(
@@ -104,14 +107,14 @@ def spread_join(
     """Many-to-many inner join that splits hot keys on both sides into a grid of salts.
 
     ``key_rows`` is ``(on, n_left, n_right)``. A key is hot when it emits more than
-    ``pairs_per_task`` pairs or has more than ``rows_per_task`` rows on a side, and more than the
+    ``CELL`` of ``pairs_per_task`` pairs or has more than ``CELL`` of ``rows_per_task`` rows on a side, and more than the
     ``MAX_HOT``-th part of all of them, so the broadcast list has at most ``2 * MAX_HOT`` entries. The
-    grid has about as many cells as the pairs need tasks, shaped like the two sides so that the fewest
+    grid has cells of about that size, shaped like the two sides so that the fewest
     rows are repeated. The join has as many tasks as all pairs and rows need, whatever the session's setting, so the
     memory of a task does not grow with the tables. ``key_rows`` is read several times: pass a stored table.
     """
     nl, nr = F.col("n_left").cast("double"), F.col("n_right").cast("double")
-    pairs, rows = _budget(key_rows, nl * nr, pairs_per_task), _budget(key_rows, F.greatest(nl, nr), rows_per_task)
+    pairs, rows = _budget(key_rows, nl * nr, pairs_per_task * CELL), _budget(key_rows, F.greatest(nl, nr), rows_per_task * CELL)
     cells = F.greatest(F.ceil(nl * nr / pairs), F.lit(1))
     by_shape = F.ceil(F.sqrt(cells * nl / nr))
     hot = (

@@ -61,9 +61,11 @@ def _match_by_token(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id
     vocab = materialize(fit_lexical(corpus), "vocabulary")
     total = corpus.agg(F.count(F.lit(1)).alias("n")).scalar()
     q = lexical_postings(queries, vocab, total, query_id, in_corpus=False)
-    d = lexical_postings(corpus, vocab, total, doc_id, stored=True)
     n_left = q.groupBy("token_id").agg(F.count(F.lit(1)).alias("n_left"))
     key_rows = materialize(n_left.join(vocab.select("token_id", F.col("df").alias("n_right")), "token_id"), "key-rows")
+    # the corpus' other tokens meet nothing; frequent ones among them, which no list of shared keys knows, would lie in one task each
+    asked = vocab.join(key_rows.select("token_id"), "token_id", "left_semi")
+    d = lexical_postings(corpus, asked, total, doc_id, stored=True, counts=vocab)
     return lexical_score_matrix(q, d, query_id, doc_id, key_rows)
 
 

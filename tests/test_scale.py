@@ -158,3 +158,27 @@ def test_pieces_that_complete_a_request_are_not_stored():
     assert send((1, "old"), (2, "c")) == [] and held.written == 3 and held.timers == [7]
     assert [r.results for r in send((1, "b"), (0, "a"))] == [["a", "b", "c"]] and held.written == 3
     assert (held.values, held.one, held.timers) == ({}, None, [])
+
+
+def test_no_task_of_a_join_gets_many_times_its_share_of_pairs(spark):
+    """Forty keys that each fill a task: dealt whole, chance puts several of them into one."""
+    left = spark.range(400).select((F.col("id") % 40).alias("k"), F.col("id").alias("l"))
+    right = spark.range(16_000).select((F.col("id") % 40).alias("k"), F.col("id").alias("r"))
+    key_rows = spark.range(40).select(F.col("id").alias("k"), F.lit(10).alias("n_left"), F.lit(400).alias("n_right"))
+    pairs = spread_join(left, right, "k", "l", "r", key_rows, pairs_per_task=4000)
+    sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 160_000 and pairs.distinct().count() == 160_000
+    assert max(sizes) < 10_000
+
+
+def test_corpus_tokens_that_no_query_has_do_not_reach_the_join(spark, monkeypatch):
+    from quillmesh.plans import retrieval
+
+    seen = []
+    matrix = retrieval.lexical_score_matrix
+    monkeypatch.setattr(retrieval, "lexical_score_matrix", lambda q, d, *more: seen.append(d) or matrix(q, d, *more))
+    docs = spark.createDataFrame([(n, f"common word{n}") for n in range(30)], "doc_id bigint, text string")
+    queries = spark.createDataFrame([(0, "word3 word5 unheard"), (1, None)], "item_id bigint, text string")
+    found = retrieval.match_corpus(queries, docs, "item_id", "doc_id", small_chars=-1).collect()
+    assert sorted((r.item_id, r.doc_id) for r in found) == [(0, 3), (0, 5)]
+    assert sorted(r.doc_id for r in seen[0].collect()) == [3, 5]
