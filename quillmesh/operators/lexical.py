@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions.binding import bind
 from quillmesh.functions.text import SPECIAL_IDS, token_id, tokens
 from quillmesh.functions.vectors import lexical_score
-from quillmesh.operators.skew import PAIRS_PER_TASK, gather_pairs, spread_join, spread_lookup
+from quillmesh.operators.skew import PAIRS_PER_TASK, gather_pairs, grid_join, grid_shape, spread_join, spread_lookup
 
 # Fixed value: how fast an occurrence loses weight with its position.
 POSITION_SCALE = 512.0
@@ -56,7 +56,7 @@ def lexical_postings(
     The weight of an occurrence is ``idf / (1 + pos / 512)`` and a token keeps its largest one,
     which is that of its first occurrence, so the reduction happens inside the row before any
     row is emitted. ``in_corpus=False`` also scores tokens the corpus does not have. ``stored``: ``df`` is the
-    corpus and ``vocab`` its stored vocabulary (see ``spread_lookup``); ``counts`` is the whole one where ``vocab`` is a part
+    corpus and ``vocab`` its stored vocabulary, or a stored part of it (see ``spread_lookup``); ``counts`` is the whole one where ``vocab`` is a part
     of it, to leave out the tokens of others.
     """
     found = df.select(row_id, F.explode(first_positions(F.col(text))).alias("p")).select(
@@ -124,9 +124,12 @@ def lexical_score_matrix(
 ) -> DataFrame:
     """Non-zero cells ``(left_id, right_id, score)`` of the matching-score matrix.
 
-    Inputs are long-form weights. A posting-list join on the token; tokens that are frequent on both
-    sides are split (see ``spread_join``). Absent cells are 0; ask for single cells with
-    ``lexical_score_pairs``. Sums are made by as many tasks as the pairs need (see ``gather_pairs``).
+    Inputs are long-form weights. A posting-list join on the token in a grid of blocks of left and right ids: lists are
+    split over the blocks, and a pair's products are added up in the task that makes them (see ``grid_join``). Where so few
+    pairs share a token that repeating the rows for a grid would move more than the pairs, only tokens that are frequent are split (see
+    ``spread_join``), and pairs are shuffled to their sums (see ``gather_pairs``). Either way there are as many tasks as the pairs
+    need. ``key_rows`` is ``(token_id, n_left, n_right)`` of the shared tokens, stored; rows of other tokens are best left out then.
+    Absent cells are 0; ask for single cells with ``lexical_score_pairs``.
     """
     a = left.select("token_id", left_id, F.col("weight").alias("_wl"))
     b = right.select("token_id", right_id, F.col("weight").alias("_wr"))
@@ -134,8 +137,16 @@ def lexical_score_matrix(
         n_left = a.groupBy("token_id").agg(F.count(F.lit(1)).alias("n_left"))
         n_right = b.groupBy("token_id").agg(F.count(F.lit(1)).alias("n_right"))
         key_rows = n_left.join(n_right, "token_id")
+        # rows of other tokens meet nothing
+        a, b = (side.join(key_rows.select("token_id"), "token_id", "left_semi") for side in (a, b))
+    score = F.sum(F.col("_wl") * F.col("_wr")).alias("score")
+    nl, nr = F.col("n_left").cast("double"), F.col("n_right").cast("double")
+    sizes = key_rows.agg(*[F.coalesce(F.sum(n), F.lit(0.0)) for n in (nl, nr, nl * nr)]).first()
+    shape = grid_shape(*sizes, key_rows.sparkSession.sparkContext.defaultParallelism, pairs_per_task)
+    if shape:
+        return grid_join(a, b, "token_id", left_id, right_id, *shape).groupBy(left_id, right_id, "_cell").agg(score).drop("_cell")
     pairs = gather_pairs(spread_join(a, b, "token_id", left_id, right_id, key_rows), left_id, right_id, key_rows, pairs_per_task)
-    return pairs.groupBy(left_id, right_id).agg(F.sum(F.col("_wl") * F.col("_wr")).alias("score"))
+    return pairs.groupBy(left_id, right_id).agg(score)
 
 
 def lexical_score_pairs(df: DataFrame, left: str, right: str, out: str = "score") -> DataFrame:

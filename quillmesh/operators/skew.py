@@ -20,6 +20,8 @@ MAX_HOT = 10_000
 # A key is dealt out in cells of at most this part of what a task may hold: chance gives some tasks several cells, and of
 # whole-sized ones the fullest task would hold a multiple that grows with the number of tasks.
 CELL = 1 / 16
+# A stored lookup table of at most this many keys (some 120 bytes each) is handed to every executor.
+BROADCAST_KEYS = 500_000
 
 
 def same_key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -76,9 +78,12 @@ def spread_lookup(
     right row is repeated per salt. Other keys join as usual (Spark picks broadcast or shuffle). The
     list of hot keys has at most ``MAX_HOT`` entries.
     ``counts`` may name a cheaper table to read the hot keys from when ``right`` is costly. ``stored``: that table is
-    read from storage, so its rows are added up first and the join gets as many tasks as they need, unless these are no
+    read from storage, and so is ``right``, which is counted: with up to ``BROADCAST_KEYS`` keys it travels to the left rows, and
+    none of these is shuffled. Otherwise rows are added up first and the join gets as many tasks as they need, unless these are no
     more than there are cores: tasks joined by their bytes afterwards would hold more rows the larger the tables are.
     """
+    if stored and right.count() <= BROADCAST_KEYS:
+        return left.join(F.broadcast(right), on, how)
     known = right if counts is None else counts
     budget = _budget(known, F.col(left_rows), rows_per_task * CELL)
     fan = _fan(F.col(left_rows), budget)
@@ -136,3 +141,37 @@ def spread_join(
     a = dealt(left, left_id, "_fl", "_fr", "_sl", "_sr").repartition(tasks, on, "_sl", "_sr")
     b = dealt(right, right_id, "_fr", "_fl", "_sr", "_sl").repartition(tasks, on, "_sl", "_sr")
     return a.join(b, [on, "_sl", "_sr"]).drop("_sl", "_sr")
+
+
+def grid_shape(left_rows: int, right_rows: int, pairs: int, cores: int, pairs_per_task: int = PAIRS_PER_TASK, rows_per_task: int = ROWS_PER_TASK) -> tuple[int, int] | None:
+    """Blocks of left and of right ids for ``grid_join``, so that no cell has more pairs or rows than a task may hold.
+
+    Every left row is sent to each block of right ids and the other way round; of the shapes with enough cells the one
+    that sends the fewest rows is taken. None if sending the pairs themselves after a ``spread_join`` takes fewer.
+    """
+    cells = max(math.ceil(pairs / pairs_per_task), cores)
+    least_left, least_right = (max(math.ceil(2 * rows / rows_per_task), 1) for rows in (left_rows, right_rows))
+    ideal = max(min(int(math.sqrt(cells * left_rows / max(right_rows, 1))), cells), least_left)
+    shapes = [(n, max(math.ceil(cells / n), least_right)) for n in range(max(ideal - 8, least_left), ideal + 9)]
+    sent, shape = min((left_rows * r + right_rows * l, (l, r)) for l, r in shapes)
+    return shape if sent <= left_rows + right_rows + pairs else None
+
+
+def grid_join(left: DataFrame, right: DataFrame, on: str, left_id: str, right_id: str, left_blocks: int, right_blocks: int) -> DataFrame:
+    """Many-to-many inner join in a grid: one task for each block of left ids and block of right ids.
+
+    Blocks are hashes of the ids, so every key is split, hot or not, and all pairs of two ids meet in one task. They can be added
+    up there without a shuffle of pairs: group by both ids and ``_cell``, the task's number.
+    """
+
+    def block(row_id: str, blocks: int) -> Column:
+        return F.pmod(F.xxhash64(row_id), F.lit(blocks)).cast("int")
+
+    def dealt(df: DataFrame, first: Column, times: int, step: int) -> DataFrame:
+        cell = F.explode(F.sequence(first, first + F.lit(step * (times - 1)), F.lit(step))) if times > 1 else first
+        return df.withColumn("_cell", cell).repartitionById(left_blocks * right_blocks, "_cell")
+
+    a = dealt(left, block(left_id, left_blocks) * F.lit(right_blocks), right_blocks, 1)
+    b = dealt(right, block(right_id, right_blocks), left_blocks, right_blocks)
+    # by sorting: the hash table of a broadcast would hold the rows of all cells
+    return a.hint("merge").join(b, ["_cell", on])

@@ -32,7 +32,7 @@ def match_corpus(
     A small query table (its size is checked) travels to the corpus: every text is matched where it
     is read and all of a pair's partial sums meet in the task that holds the text, so that only
     finished scores are shuffled and no corpus-wide vocabulary is needed. Otherwise both sides are
-    turned into posting lists and joined by token with hot tokens split.
+    turned into posting lists and joined by token with long lists split (see ``lexical_score_matrix``).
     """
     chars = queries.agg(F.sum(F.char_length("text")).alias("n")).first()["n"] or 0
     if chars > small_chars:
@@ -60,11 +60,13 @@ def match_corpus(
 def _match_by_token(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str) -> DataFrame:
     vocab = materialize(fit_lexical(corpus), "vocabulary")
     total = corpus.agg(F.count(F.lit(1)).alias("n")).scalar()
-    q = lexical_postings(queries, vocab, total, query_id, in_corpus=False)
+    # stored, as each use would shuffle the vocabulary again
+    q = materialize(lexical_postings(queries, vocab, total, query_id, in_corpus=False), "query-postings")
     n_left = q.groupBy("token_id").agg(F.count(F.lit(1)).alias("n_left"))
     key_rows = materialize(n_left.join(vocab.select("token_id", F.col("df").alias("n_right")), "token_id"), "key-rows")
-    # the corpus' other tokens meet nothing; frequent ones among them, which no list of shared keys knows, would lie in one task each
-    asked = vocab.join(key_rows.select("token_id"), "token_id", "left_semi")
+    # the other tokens of both sides meet nothing; frequent ones among them, which no list of shared keys knows, would lie in one task each
+    q, asked = (side.join(key_rows.select("token_id"), "token_id", "left_semi") for side in (q, vocab))
+    asked = materialize(asked, "asked")
     d = lexical_postings(corpus, asked, total, doc_id, stored=True, counts=vocab)
     return lexical_score_matrix(q, d, query_id, doc_id, key_rows)
 

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions.text import token_ids, tokens
 from quillmesh.functions.vectors import common_values, token_weights, word_weights
-from quillmesh.operators import inference
+from quillmesh.operators import inference, skew
+from quillmesh.operators import lexical as lex
 from quillmesh.operators.runners import HEAD_B, HEAD_B_OUT, HEAD_W, HEAD_W_OUT, HeadRerankRunner
 from quillmesh.operators import runners
 from quillmesh.operators.skew import spread_join
-from quillmesh.plans import catalog
+from quillmesh.plans import catalog, retrieval
 from quillmesh.session import ship_package
 from quillmesh.streaming.pieces import GatherPieces
 
@@ -182,3 +183,75 @@ def test_corpus_tokens_that_no_query_has_do_not_reach_the_join(spark, monkeypatc
     found = retrieval.match_corpus(queries, docs, "item_id", "doc_id", small_chars=-1).collect()
     assert sorted((r.item_id, r.doc_id) for r in found) == [(0, 3), (0, 5)]
     assert sorted(r.doc_id for r in seen[0].collect()) == [3, 5]
+
+
+def final_plan(df):
+    df.collect()
+    return plan(df).split("Initial Plan")[0]
+
+
+def test_matrix_shuffles_posting_lists_but_no_pairs(spark):
+    """Pairs are many times the postings; they are added up in the tasks that make them."""
+    postings = spark.range(3000).select((F.col("id") % 300).alias("id"), (F.col("id") % 20).alias("token_id"), F.lit(2.0).alias("weight"))
+    matrix = lex.lexical_score_matrix(postings.withColumnRenamed("id", "l"), postings.withColumnRenamed("id", "r"), "l", "r", pairs_per_task=50_000)
+    above = final_plan(matrix.select("*", F.spark_partition_id().alias("task"))).split("SortMergeJoin")[0]
+    assert "HashAggregate(keys=[l#" in above and "Exchange" not in above
+    pairs = postings.withColumnRenamed("id", "l").join(postings.withColumnRenamed("id", "r"), "token_id")
+    wanted = pairs.groupBy("l", "r").agg((F.count(F.lit(1)) * 4.0).alias("score"))
+    assert sorted(map(tuple, matrix.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+@pytest.mark.parametrize("pairs_per_task", [30, 10**6])
+def test_matrix_of_repeated_and_null_ids(spark, pairs_per_task):
+    left = [(i % 9 or None, i % 4, float(i % 5)) for i in range(60)]
+    right = [(f"d{i % 13}" if i % 13 else None, i % 5, float(i % 3)) for i in range(80)]
+    a = spark.createDataFrame(left, "l bigint, token_id bigint, weight double")
+    b = spark.createDataFrame(right, "r string, token_id bigint, weight double")
+    wanted = {}
+    for l, s, v in left:
+        for r, t, w in right:
+            if s == t:
+                wanted[l, r] = wanted.get((l, r), 0.0) + v * w
+    got = [((c.l, c.r), c.score) for c in lex.lexical_score_matrix(a, b, "l", "r", pairs_per_task=pairs_per_task).collect()]
+    assert len(got) == len(wanted) and dict(got) == pytest.approx(wanted)
+
+
+def test_matrix_with_few_pairs_is_not_repeated_over_a_grid(spark):
+    """Each token once on either side: shuffling the 4,000 pairs moves less than any grid of 400 cells."""
+    rows = spark.range(4000).select(F.col("id").alias("token_id"), F.col("id"), F.lit(1.0).alias("weight"))
+    matrix = lex.lexical_score_matrix(rows.withColumnRenamed("id", "l"), rows.withColumnRenamed("id", "r"), "l", "r", pairs_per_task=10)
+    assert "_cell" not in plan(matrix)
+    assert sorted((c.l, c.r, c.score) for c in matrix.collect()) == [(i, i, 1.0) for i in range(4000)]
+
+
+@pytest.mark.parametrize("left,right,pairs", [(0, 0, 0), (8_000, 300_000_000, 2.7e9), (5e6, 4e6, 1e12), (3e8, 1_000, 5e10), (50_000, 50_000, 2.5e9)])
+def test_grid_cells_hold_what_a_task_may(left, right, pairs):
+    l, r = skew.grid_shape(left, right, pairs, 8)
+    assert l * r >= 8 and pairs / (l * r) <= skew.PAIRS_PER_TASK and left / l + right / r <= skew.ROWS_PER_TASK
+    assert left * r + right * l <= left + right + pairs
+
+
+def test_grid_takes_the_shape_that_sends_the_fewest_rows():
+    assert skew.grid_shape(8_000, 300_000_000, 2.7e9, 8) == (1, 1350)
+    assert skew.grid_shape(300_000_000, 8_000, 2.7e9, 8) == (1350, 1)
+    l, r = skew.grid_shape(1e6, 1e6, 1e12, 8)
+    assert l * r >= 500_000 and abs(l - r) < 20
+    assert skew.grid_shape(1e9, 1e9, 1e10, 8) is None
+
+
+def test_corpus_rows_are_not_shuffled_to_a_small_vocabulary(spark, tmp_path):
+    spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"), F.lit(40).alias("n")).write.parquet(str(tmp_path / "keys"))
+    known = spark.read.parquet(str(tmp_path / "keys"))
+    left = spark.range(3000).select("id", (F.col("id") % 75).alias("k"))
+    out = skew.spread_lookup(left, known, "k", "n", ["id"], rows_per_task=10, stored=True)
+    assert "hashpartitioning" not in final_plan(out)
+    assert sorted(map(tuple, out.select("id", "k", "v").collect())) == [(i, i % 75, i % 75 * 2) for i in range(3000) if i % 75 < 50]
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_scores_by_token_are_the_same_for_large_and_small_vocabularies(spark, monkeypatch, most):
+    monkeypatch.setattr(skew, "BROADCAST_KEYS", most)
+    docs = spark.createDataFrame([(n, f"common word{n % 7} word{n % 3}") for n in range(40)] + [(40, None), (None, "word1"), (7, "word2 word2")], "doc_id bigint, text string")
+    queries = spark.createDataFrame([(0, "word1 common"), (1, "word5 unheard word2"), (None, "word6"), (2, None)], "item_id bigint, text string")
+    rows = [[((r.item_id, r.doc_id), r.score) for r in retrieval.match_corpus(queries, docs, "item_id", "doc_id", chars).collect()] for chars in (-1, 10**6)]
+    assert len(rows[0]) == len(rows[1]) > 40 and dict(rows[0]) == pytest.approx(dict(rows[1]))
